@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
 from granary.plans import check_sql  # noqa: F401
-from granary.plans import projection_queries, scan_queries  # noqa: F401
+from granary.plans import join_queries, projection_queries, scan_queries  # noqa: F401
 from granary.plans.registry import QUERIES  # noqa: F401

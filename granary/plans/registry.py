@@ -76,7 +76,7 @@ def _present_sql(columns: str) -> str:
 def _needed(sql: str, found: list[str]) -> list[str]:
     """CTEs the text refers to, each after those it refers to itself."""
     for name, body in CTES.items():
-        if name not in found and re.search(rf"\b{name}\b", sql):
+        if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
             _needed(body, found)
             if name not in found:
                 found.append(name)
