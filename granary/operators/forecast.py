@@ -87,8 +87,8 @@ def _project(y: np.ndarray, x: np.ndarray, x_next: np.ndarray, o: Order):
         e[skip:] = _least_squares(long_ar, w[skip:])[1]
     start = max(max(ar, default=0), skip + max(ma, default=0))
     n = len(w) - start
-    k = const + len(ar) + len(ma) + u.shape[1]
-    if n <= k + 1:
+    n_params = const + len(ar) + len(ma) + u.shape[1]
+    if n <= n_params + 1:
         return None
     design = np.hstack([np.ones((n, const)), _lagged(w, ar, start), _lagged(e, ma, start), u[start:]])
     coef, err = _least_squares(design, w[start:])
@@ -114,9 +114,9 @@ def _project(y: np.ndarray, x: np.ndarray, x_next: np.ndarray, o: Order):
             full[k + t] = full[t] + step[t]
             wave[t] = impulse[t] + (wave[t - k] if t >= k else 0.0)
         step, impulse = full[k:], wave
-    sigma2 = sse / (n - k)
+    sigma2 = sse / (n - n_params)
     llf = -n / 2 * (np.log(2 * np.pi * sse / n) + 1)
-    return step, np.sqrt(sigma2 * np.cumsum(impulse ** 2)), -2 * llf + 2 * (k + 1), n
+    return step, np.sqrt(sigma2 * np.cumsum(impulse ** 2)), -2 * llf + 2 * (n_params + 1), n
 
 
 def prepare(df: DataFrame, s: Series, price: str, eps: float = 1e-6) -> DataFrame:
@@ -124,105 +124,106 @@ def prepare(df: DataFrame, s: Series, price: str, eps: float = 1e-6) -> DataFram
     return interpolate(as_monthly(df, s), s, price).withColumn("log_price", log_of(F.col(price), eps))
 
 
-_COLUMNS = ("month date, actual_log double, predicted_log double, se_log double, aic double, n_train int")
+_FORECAST = ("model_order string, features string, month date, actual_log double, predicted_log double, "
+             "se_log double, aic double, n_train int")
 
+Spec = tuple[Order, tuple[str, ...]]
 
-def _forecast_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows ``(keys, spec, month, y, x[], split)`` to one forecast row per test month."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    names = [*keys, "spec"]
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", " + _COLUMNS
-    order_fields = [f for f in Order.__dataclass_fields__]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        train, test = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "test"]
-        spec = pdf["spec"].iloc[0]
-        o = Order(**{f: int(spec[f]) for f in order_fields})
-        stack = lambda part: np.array([np.asarray(v, float) for v in part["x"]]).reshape(len(part), -1)
-        got = _project(train["y"].to_numpy(float), stack(train), stack(test), o) if len(test) and len(train) else None
-        out = test[[*keys, "spec", "month"]].copy()
-        out["actual_log"] = test["y"]
-        for name, value in zip(("predicted_log", "se_log", "aic", "n_train"), got or (np.nan,) * 4):
-            out[name] = value
-        out["n_train"] = out["n_train"].astype("Int32")
-        return out if got else out.iloc[:0]
+@dataclass(frozen=True)
+class Sizes:
+    """Fewest complete rows of a series, fewest and wanted test rows."""
+
+    rows: int = MIN_MONTHS
+    test_rows: int = 1
+    hold_out: int = HOLD_OUT
+
 
-    return rows.groupBy(*names).applyInPandas(run, schema)
+def _forecast_groups(df: DataFrame, s: Series, y: str, specs: Sequence[Spec], sizes: Sizes, split: str | None) -> DataFrame:
+    """One row per series, spec and test month.
 
+    The specs are tried inside the task of a series: its few hundred rows are shuffled
+    once, not once per spec. Without a ``split`` column the last complete months of each
+    spec are held out.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    keys = list(s.keys)
+    used = sorted({x for _, xs in specs for x in xs})
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + _FORECAST
 
-def _spec(o: Order, features: str):
-    return F.struct(*[F.lit(getattr(o, f)).alias(f) for f in Order.__dataclass_fields__], F.lit(features).alias("features"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_month")
+        target = pdf["_y"].to_numpy(float)
+        factors = {x: pdf[x].to_numpy(float) for x in used}
+        held = (pdf[split] == "test").to_numpy() if split else None
+        parts = []
+        for o, xs in specs:
+            x = np.column_stack([factors[c] for c in xs]) if xs else np.empty((len(pdf), 0))
+            rows = np.flatnonzero(~np.isnan(target) & ~np.isnan(x).any(axis=1))
+            if split:
+                test, train = rows[held[rows]], rows[~held[rows]]
+            else:
+                train, test = rows[:-sizes.hold_out], rows[-sizes.hold_out:]
+            if len(rows) < sizes.rows or len(test) < sizes.test_rows or not len(train):
+                continue
+            got = _project(target[train], x[train], x[test], o)
+            if got is None or not np.isfinite(got[0]).all():
+                continue
+            parts.append(pd.DataFrame({
+                **{k: pdf[k].iloc[0] for k in keys}, "model_order": o.label(), "features": ", ".join(xs),
+                "month": pdf["_month"].to_numpy()[test], "actual_log": target[test], "predicted_log": got[0],
+                "se_log": got[1], "aic": got[2], "n_train": got[3]}))
+        columns = [*keys, *(c.split(" ")[0] for c in _FORECAST.split(", "))]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
+    cols = [*[F.col(k) for k in keys], F.col(s.time).alias("_month"), F.col(y).cast("double").alias("_y"),
+            *[F.col(x).cast("double").alias(x) for x in used], *([F.col(split)] if split else [])]
+    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _priced(out: DataFrame, keys: Sequence[str]) -> DataFrame:
     p, se = F.col("predicted_log"), F.col("se_log")
     return out.select(
-        *keys, "spec", "month", F.exp("actual_log").alias("actual"), F.exp(p).alias("predicted"),
+        *keys, "model_order", "features", "month", F.exp("actual_log").alias("actual"), F.exp(p).alias("predicted"),
         F.exp(p - _Z95 * se).alias("lower"), F.exp(p + _Z95 * se).alias("upper"), "aic", "n_train")
 
 
-def _with_specs(rows: DataFrame, specs: Sequence[tuple[Order, Sequence[str]]], y: str, keep: Sequence[str],
-                size: int) -> DataFrame:
-    """Each row once per spec that it is complete for; the split is made per spec."""
-    options = F.array(*[
-        F.struct(_spec(o, ", ".join(xs)).alias("spec"), F.array(*[F.col(x).cast("double") for x in xs]).cast("array<double>").alias("x"))
-        for o, xs in specs])
-    return rows.select(*keep, F.col(y).alias("y"), F.explode(options).alias("o")).select(
-        *keep, "y", "o.spec", "o.x").filter(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
-
-
 def forecast_arx(df: DataFrame, s: Series, y: str, exog: Sequence[str], order: Order = Order(),
                  hold_out: int = HOLD_OUT, min_months: int = MIN_MONTHS) -> DataFrame:
     """Forecast of the last ``hold_out`` complete months of every series with 95 % bounds.
 
     ``y`` is a log price; the result is in prices. Series with fewer than ``min_months``
-    complete months yield no rows.
+    complete months, or too short for the order, yield no rows.
     """
-    rows = _with_specs(df, [(order, exog)], y, [*s.keys, s.time], 1).withColumnRenamed(s.time, "month")
-    by = Series((*s.keys, "spec"), "month")
-    long_enough = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_months)
-    rows = rows.join(long_enough.select(*s.keys), list(s.keys), "left_semi")
-    return _priced(_forecast_groups(split_tail(rows, by, hold_out), s.keys), s.keys)
+    sizes = Sizes(min_months, hold_out, hold_out)
+    return _priced(_forecast_groups(df, s, y, [(order, tuple(exog))], sizes, None), s.keys)
 
 
 def forecast_errors(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """RMSE, R2 and the rest per series and spec."""
-    by = [*keys, "spec"]
-    aic = forecast.groupBy(*by).agg(F.first("aic").alias("aic"), F.first("n_train").alias("n_train"))
-    return fit_metrics(forecast, by).join(aic, by)
+    """RMSE, R2 and the rest per series and model."""
+    return fit_metrics(forecast, [*keys, "model_order", "features", "aic", "n_train"])
 
 
 def feature_subsets(df: DataFrame, s: Series, y: str, candidates: Sequence[str], max_vars: int | None = None,
                     hold_out: int = HOLD_OUT) -> DataFrame:
-    """All non-empty feature subsets as one job, ranked by R2 within each series.
+    """All non-empty feature subsets in one job, to be ranked by R2 within each series.
 
     The test months are the last of the series whatever the subset; a subset counts with at
     least 50 complete rows, 6 of them in the test months.
     """
     subsets = [c for k in range(1, (max_vars or len(candidates)) + 1) for c in combinations(candidates, k)]
     marked = split_tail(df, s, hold_out)
-    rows = _with_specs(marked, [(SUBSET_ORDER, c) for c in subsets], y, [*s.keys, s.time, "split"], len(subsets))
-    by = [*s.keys, "spec"]
-    sizes = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("split") == "test").alias("_t"))
-    ok = sizes.filter((F.col("_n") >= SUBSET_MIN_ROWS) & (F.col("_t") >= SUBSET_MIN_TEST))
-    rows = rows.join(ok.select(*by), by, "left_semi").withColumnRenamed(s.time, "month")
-    errors = forecast_errors(_priced(_forecast_groups(rows, s.keys), s.keys), s.keys)
-    return errors.select(
-        *s.keys, F.col("spec.features").alias("features"),
-        F.size(F.split("spec.features", ", ")).alias("num_vars"), "n", "rmse", "r2", "aic")
+    sizes = Sizes(SUBSET_MIN_ROWS, SUBSET_MIN_TEST, hold_out)
+    out = _forecast_groups(marked, s, y, [(SUBSET_ORDER, c) for c in subsets], sizes, "split")
+    errors = forecast_errors(_priced(out, s.keys), s.keys)
+    return errors.select(*s.keys, "features", F.size(F.split("features", ", ")).alias("num_vars"), "n", "rmse", "r2", "aic")
 
 
 def order_search(df: DataFrame, s: Series, y: str, exog: Sequence[str], orders: Sequence[Order] | None = None,
                  hold_out: int = HOLD_OUT, min_months: int = MIN_MONTHS) -> DataFrame:
     """Best order of each series by AIC over the grid, with its error on the test months."""
-    specs = [(o, exog) for o in (orders or order_grid())]
-    complete = df.dropna(subset=[y, *exog])
-    long_enough = complete.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_months)
-    marked = split_tail(complete.join(long_enough.select(*s.keys), list(s.keys), "left_semi"), s, hold_out)
-    rows = _with_specs(marked, specs, y, [*s.keys, s.time, "split"], len(specs)).withColumnRenamed(s.time, "month")
-    errors = forecast_errors(_priced(_forecast_groups(rows, s.keys), s.keys), s.keys)
-    label = F.format_string("(%d,%d,%d)x(%d,%d,%d,%d)", *[F.col(f"spec.{f}") for f in Order.__dataclass_fields__])
-    flat = errors.select(*s.keys, label.alias("order"), "aic", "rmse", "r2", "n_train")
-    return best_row(flat, s.keys, F.col("aic"), ["order"], largest=False)
+    specs = [(o, tuple(exog)) for o in (orders or order_grid())]
+    out = _forecast_groups(df, s, y, specs, Sizes(min_months, hold_out, hold_out), None)
+    errors = forecast_errors(_priced(out, s.keys), s.keys).select(
+        *s.keys, "model_order", "aic", "rmse", "r2", "n_train")
+    return best_row(errors, s.keys, F.col("aic"), ["model_order"], largest=False)

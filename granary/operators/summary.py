@@ -175,8 +175,8 @@ def encode(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     from functools import reduce
 
     def mapping(c: str) -> DataFrame:
-        values = df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).dropna().distinct()
-        return values.withColumn("code", F.row_number().over(W.partitionBy("column").orderBy("value")) - 1)
+        values = df.select(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")).dropna().distinct()
+        return values.withColumn("code", F.row_number().over(W.partitionBy("variable").orderBy("value")) - 1)
 
     maps = [mapping(c) for c in cols]
     out = df
