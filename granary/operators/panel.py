@@ -14,7 +14,9 @@ from granary.operators.quantiles import exact_quantiles
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with a missing group key belong to no group."""
-    return df.dropna(subset=list(keys))
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
 
 
 def price_per_kg(df: DataFrame, mode: str = "first_number") -> DataFrame:

@@ -27,23 +27,28 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     bounds = []
     for p in probs.values():
         bounds += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
+    if not keys:
+        # One group: a constant key keeps the bracket join an equi-join.
+        whole = df.select(F.lit(1).alias("_all"), F.col(col))
+        return exact_quantiles(whole, ["_all"], col, probs).drop("_all")
     rows = df.select(*keys, F.col(col).cast("double").alias("_x"))
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_x", bounds, SKETCH_ACCURACY).alias("_b"), F.count("_x").alias("_n"))
     brackets = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_b")
 
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on = same[0] if same else F.lit(True)
+    on = same[0]
     for c in same[1:]:
         on = on & c
-    inside = rows.filter(F.col("_x").isNotNull()).join(brackets, on)
+    inside = rows.join(brackets, on)
     wanted = F.array(*[
         F.struct(F.lit(i).alias("q"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi"))
         for i in range(len(names))
     ])
     banded = inside.select(*keys, "_n", "_x", F.explode(wanted).alias("w")).select(
         *keys, "_n", "_x", F.col("w.q").alias("_q"),
-        F.when(F.col("_x") < F.col("w.lo"), -1).when(F.col("_x") > F.col("w.hi"), 1).otherwise(0).alias("_band"))
+        F.when(F.col("_x").isNull(), 2).when(F.col("_x") < F.col("w.lo"), -1).when(
+            F.col("_x") > F.col("w.hi"), 1).otherwise(0).alias("_band"))
     counted = banded.groupBy(
         *keys, "_q", "_band", F.when(F.col("_band") == 0, F.col("_x")).alias("_v"),
     ).agg(F.count("_x").alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
@@ -64,8 +69,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     picked = running.groupBy(*keys, "_q").agg(
         at(low).alias("_lo"), at(high).alias("_hi"), F.first(rank - low).alias("_f"))
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
-    wide = picked.groupBy(*keys).agg(
+    return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == i, value)).alias(n) for i, n in enumerate(names)])
-    # Groups with nothing but NULLs never reach ``picked``.
-    right = wide.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *names)
-    return sketch.select(*keys).join(right, on, "left").select(*keys, *names) if keys else wide

@@ -77,8 +77,7 @@ def grouped_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], f
     v = [y, *xs]
     k = len(xs)
     by = [*keys, fixed_effect] if fixed_effect else list(keys)
-    rows = with_keys(df, by) if by else df
-    part = rows.dropna(subset=v).groupBy(*by).agg(*_moments(v))
+    part = with_keys(df, [*by, *v]).groupBy(*by).agg(*_moments(v))
     if fixed_effect:
         cols = [c for c in part.columns if c.startswith("s")and "_" in c and c[1].isdigit()]
         grand = F.sum(F.col("n") * F.col("m0")) / F.sum("n")

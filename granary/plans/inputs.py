@@ -28,6 +28,11 @@ SELECT n_name AS countryiso3,
             ELSE CAST(-15 + (s_suppkey * 37 % 740) * 0.05 AS DOUBLE) END AS latitude,
        CAST(25 + (s_suppkey * 101 % 540) * 0.05 AS DOUBLE) AS longitude,
        CAST(l_shipdate AS DATE) AS date,
+       commodity, unit,
+       CASE WHEN l_linenumber = 7 THEN NULL
+            ELSE l_extendedprice / l_quantity END AS usdprice
+FROM {lineitem}
+JOIN (SELECT p_partkey,
        CASE split_part(p_name, ' ', 2)
             WHEN 'anvil' THEN 'Milling cost (Maize)'
             ELSE concat(CASE split_part(p_name, ' ', 2)
@@ -37,11 +42,8 @@ SELECT n_name AS countryiso3,
                  ELSE 'Oil' END, ' (', split_part(p_name, ' ', 1), ')') END AS commodity,
        CASE p_size % 8 WHEN 0 THEN 'KG' WHEN 1 THEN '100 KG' WHEN 2 THEN '50 KG'
             WHEN 3 THEN '3.5 KG' WHEN 4 THEN 'L' WHEN 5 THEN '500 ML'
-            WHEN 6 THEN 'LCU/3.5kg' ELSE NULL END AS unit,
-       CASE WHEN l_linenumber = 7 THEN NULL
-            ELSE l_extendedprice / l_quantity END AS usdprice
-FROM {lineitem}
-JOIN {part} ON p_partkey = l_partkey
+            WHEN 6 THEN 'LCU/3.5kg' ELSE NULL END AS unit
+      FROM {part}) goods ON p_partkey = l_partkey
 JOIN {supplier} ON s_suppkey = l_suppkey
 JOIN {nation} ON n_nationkey = s_nationkey""",
     "macro_index": """
