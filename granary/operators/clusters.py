@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -56,19 +56,22 @@ def kmeans(k: int, **params) -> KMeans:
     return KMeans(k=k, seed=SEED, predictionCol="cluster", featuresCol="features", maxIter=100, **params)
 
 
-def sweep(vectors: DataFrame, ks: Sequence[int] = SWEEP) -> DataFrame:
+def sweep(vectors: DataFrame, ks: Sequence[int] = SWEEP, parallelism: int = 4) -> DataFrame:
     """Inertia and mean silhouette (squared Euclidean) per number of clusters."""
     spark = vectors.sparkSession
     vectors = vectors.persist()
     try:
         scorer = ClusteringEvaluator(predictionCol="cluster", featuresCol="features")
-        rows = []
-        for k in ks:
+
+        def one(k: int):
             model = kmeans(k).fit(vectors)
-            labelled = model.transform(vectors)
             used = len({tuple(c) for c in model.clusterCenters()})
-            rows.append((k, float(model.summary.trainingCost),
-                         float(scorer.evaluate(labelled)) if used > 1 else None))
+            silhouette = float(scorer.evaluate(model.transform(vectors))) if used > 1 else None
+            return k, float(model.summary.trainingCost), silhouette
+
+        vectors.count()
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = list(pool.map(one, ks))
     finally:
         vectors.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")

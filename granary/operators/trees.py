@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -26,10 +27,11 @@ SCAN_MIN_ROWS = 36
 
 
 def forest(target: str, **params) -> RandomForestRegressor:
-    """All features at every split and exact category splits are what the price models use."""
+    """A forest that weighs all features at every split. The node of each row is cached:
+    passing rows down trees of depth 30 anew for every level costs several times the fit."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=target, predictionCol="predicted", featureSubsetStrategy="all",
-        minInstancesPerNode=1, seed=SEED, cacheNodeIds=False, maxMemoryInMB=1024, **{**PANEL_FOREST, **params})
+        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024, **{**PANEL_FOREST, **params})
 
 
 def boosting(target: str, **params) -> GBTRegressor:
@@ -60,8 +62,13 @@ def fit_and_score(df: DataFrame, model, features: Sequence[str], target: str, ke
 
     Returns the predictions (``actual``, ``predicted``) and the fitted model.
     """
-    rows = assembled(df.dropna(subset=[target, *features]), features)
-    fitted = model.fit(rows.filter(F.col("split") == "train"))
+    rows = assembled(df.dropna(subset=[target, *features]), features).select(*keep, "split", target, "features")
+    # MLlib reads its input several times; the panel behind it is a long plan.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = model.fit(rows.filter(F.col("split") == "train"))
+    finally:
+        rows.unpersist()
     value = F.exp if back else (lambda c: F.col(c))
     scored = fitted.transform(rows).select(
         *keep, "split", value(target).alias("actual"), value("predicted").alias("predicted"))
