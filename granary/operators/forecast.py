@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.numeric import log_of
 from granary.operators.panel import best_row
-from granary.operators.series import Series, as_monthly, interpolate, split_tail
+from granary.operators.series import Series, as_monthly, interpolate, split_tail, spread
 from granary.operators.summary import fit_metrics
 
 #: Held-out months, orders and the shortest series.
@@ -169,16 +169,23 @@ def _forecast_groups(df: DataFrame, s: Series, y: str, specs: Sequence[Spec], si
             got = _project(target[train], x[train], x[test], o)
             if got is None or not np.isfinite(got[0]).all():
                 continue
-            parts.append(pd.DataFrame({
-                **{k: pdf[k].iloc[0] for k in keys}, "model_order": o.label(), "features": ", ".join(xs),
-                "month": pdf["_month"].to_numpy()[test], "actual_log": target[test], "predicted_log": got[0],
-                "se_log": got[1], "aic": got[2], "n_train": got[3]}))
-        columns = [*keys, *(c.split(" ")[0] for c in _FORECAST.split(", "))]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+            parts.append((o.label(), ", ".join(xs), test, got))
+        if not parts:
+            return pd.DataFrame(columns=[*keys, *(c.split(" ")[0] for c in _FORECAST.split(", "))])
+        sizes_of = [len(test) for _, _, test, _ in parts]
+        each = lambda values: np.repeat(np.array(list(values), dtype=object), sizes_of)
+        joined = lambda arrays, kind=float: np.concatenate([np.empty(0, kind), *arrays])
+        at = joined((test for _, _, test, _ in parts), int).astype(int)
+        return pd.DataFrame({
+            **{k: [pdf[k].iloc[0]] * len(at) for k in keys},
+            "model_order": each(p[0] for p in parts), "features": each(p[1] for p in parts),
+            "month": pdf["_month"].to_numpy()[at], "actual_log": target[at],
+            "predicted_log": joined(p[3][0] for p in parts), "se_log": joined(p[3][1] for p in parts),
+            "aic": each(p[3][2] for p in parts).astype(float), "n_train": each(p[3][3] for p in parts).astype("int32")})
 
     cols = [*[F.col(k) for k in keys], F.col(s.time).alias("_month"), F.col(y).cast("double").alias("_y"),
             *[F.col(x).cast("double").alias(x) for x in used], *([F.col(split)] if split else [])]
-    return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    return spread(df.select(*cols), keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _priced(out: DataFrame, keys: Sequence[str]) -> DataFrame:

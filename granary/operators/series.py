@@ -29,6 +29,16 @@ class Series:
         return W.partitionBy(*self.keys).orderBy(F.col(self.time).desc())
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One shuffle by key into the session's number of partitions.
+
+    For grouped Python work: its cost is not in its bytes, and without a given number
+    adaptive execution would merge small partitions until a few tasks do everything.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def as_monthly(df: DataFrame, s: Series) -> DataFrame:
     """Every month from the first to the last of each series; added rows hold NULLs.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.tails import normal_cdf
-from granary.operators.series import Series
+from granary.operators.series import Series, spread
 
 # MacKinnon (1994) approximation for a test with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -25,32 +25,32 @@ def _dickey_fuller(x: np.ndarray) -> tuple[float, int, int] | None:
         return None
     dx = np.diff(x)
 
-    def fit(lag: int, start: int):
+    def design(lag: int, start: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(start, len(dx))
-        design = np.column_stack(
-            [x[rows], *[dx[rows - j] for j in range(1, lag + 1)], np.ones(len(rows))])
-        coef, _, rank, _ = np.linalg.lstsq(design, dx[rows], rcond=None)
-        if rank < design.shape[1] or len(rows) <= design.shape[1]:
-            return None
-        sse = float(((dx[rows] - design @ coef) ** 2).sum())
-        return design, coef, sse, len(rows)
+        return np.column_stack(
+            [np.ones(len(rows)), x[rows], *[dx[rows - j] for j in range(1, lag + 1)]]), dx[rows]
 
-    # Lags are compared on the sample the longest of them allows.
-    scores = []
-    for lag in range(top + 1):
-        got = fit(lag, top)
-        if got and got[2] > 0:
-            n = got[3]
-            scores.append((n * math.log(got[2] / n) + 2 * (lag + 2), lag))
-    if not scores:
+    # Lags are compared on the sample the longest of them allows. The models are nested, so
+    # one orthogonal basis yields the error sum of each.
+    full, target = design(top, top)
+    n = len(target)
+    if n <= full.shape[1]:
         return None
-    lag = min(scores)[1]
-    got = fit(lag, lag)
-    if got is None:
+    basis, upper = np.linalg.qr(full)
+    if np.abs(np.diag(upper)).min() <= 1e-10 * np.abs(np.diag(upper)).max():
         return None
-    design, coef, sse, n = got
-    se = math.sqrt(sse / (n - design.shape[1]) * np.linalg.inv(design.T @ design)[0, 0])
-    return (coef[0] / se, lag, n) if se > 0 else None
+    sse = target @ target - np.cumsum((basis.T @ target) ** 2)[1:]
+    if (sse <= 0).any():
+        return None
+    lag = int(np.argmin(n * np.log(sse / n) + 2 * (np.arange(top + 1) + 2)))
+
+    best, target = design(lag, lag)
+    n, k = best.shape
+    inverse = np.linalg.inv(best.T @ best)
+    coef = inverse @ (best.T @ target)
+    err = target - best @ coef
+    se = math.sqrt(float(err @ err) / (n - k) * inverse[1, 1])
+    return (coef[1] / se, lag, n) if se > 0 else None
 
 
 def stationarity(df: DataFrame, s: Series, col: str, level: float = 0.05) -> DataFrame:
@@ -69,7 +69,8 @@ def stationarity(df: DataFrame, s: Series, col: str, level: float = 0.05) -> Dat
         row = {**{k: [pdf[k].iloc[0]] for k in names}, "statistic": [stat], "lag": [lag], "n_used": [n]}
         return pd.DataFrame(row).astype({"statistic": float, "lag": "Int32", "n_used": "Int32"})
 
-    tested = df.select(*names, s.time, col).dropna(subset=[col]).groupBy(*names).applyInPandas(
+    rows = df.select(*names, s.time, col).filter(F.col(col).isNotNull())
+    tested = spread(rows, names).groupBy(*names).applyInPandas(
         run, f"{key_types}, statistic double, lag int, n_used int")
     t = F.when(~F.isnan("statistic"), F.col("statistic"))
     z = sum((F.lit(c) * F.pow(t, i) for i, c in enumerate(SMALL_P)), F.lit(0.0))

@@ -169,18 +169,14 @@ def fit_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred
 def encode(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Alphabetical integer codes (missing: -1) and the mapping as a table.
 
-    Ranks come from the distinct values only; those meet in one window per column, as many
-    rows as the column has categories.
+    One pass finds the distinct values of all columns; they are ranked in one window by
+    column, with as many rows as the column has categories.
     """
-    from functools import reduce
-
-    def mapping(c: str) -> DataFrame:
-        values = df.select(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")).dropna().distinct()
-        return values.withColumn("code", F.row_number().over(W.partitionBy("variable").orderBy("value")) - 1)
-
-    maps = [mapping(c) for c in cols]
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
+    mapping = values.withColumn("code", F.row_number().over(W.partitionBy("variable").orderBy("value")) - 1)
     out = df
-    for c, m in zip(cols, maps):
-        out = out.join(m.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), [c], "left").withColumn(
-            f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
-    return out, reduce(lambda a, b: a.unionByName(b), maps)
+    for c in cols:
+        codes = mapping.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        out = out.join(codes, [c], "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+    return out, mapping

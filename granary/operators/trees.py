@@ -83,7 +83,7 @@ def importances(fitted, features: Sequence[str], spark, top: int | None = None)
 
 
 def drought_lag_scan(df: DataFrame, s: Series, target: str, index: str, flag: str, base: Sequence[str],
-                     lags: Sequence[int] = SCAN_LAGS, hold_out: int = 12, parallelism: int = 4, **params) -> DataFrame:
+                     lags: Sequence[int] = SCAN_LAGS, hold_out: int = 12, parallelism: int = 8, **params) -> DataFrame:
     """One boosted model per lag of the index and its drought flag: R2 and RMSE in prices.
 
     ``df`` is monthly and carries the base features. The lagged columns of all fits come

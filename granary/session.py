@@ -20,6 +20,9 @@ SETTINGS = {
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
+    # One task is one core: linear algebra must not start threads of its own.
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+        os.environ.setdefault(name, "1")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("granary")
