@@ -73,7 +73,8 @@ def flatten_grid(t):
 @query("a7_positional_sheet", "date:d energy_index:6 food_index:6 fertilizer_index:6", """
 SELECT CAST(concat(substr(c0, 1, 4), '-', substr(c0, 6, 2), '-01') AS DATE) AS date, TRY_CAST(c2 AS DOUBLE) AS energy_index,
        TRY_CAST(c6 AS DOUBLE) AS food_index, TRY_CAST(c12 AS DOUBLE) AS fertilizer_index
-FROM index_sheet WHERE rn >= (SELECT min(rn) FROM index_sheet WHERE c0 = '1996M01')""")
+FROM index_sheet WHERE rn >= (SELECT min(rn) FROM index_sheet WHERE c0 = '1996M01')
+  AND (c2 IS NOT NULL OR c6 IS NOT NULL OR c12 IS NOT NULL)""")
 def positional_sheet(t):
     rows = tables.read_sheet(t.index_sheet, start="1996M01")
     rows = rows.dropna("all", subset=["energy_index", "food_index", "fertilizer_index"])
