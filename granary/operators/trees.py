@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -92,18 +91,19 @@ def drought_lag_scan(df: DataFrame, s: Series, target: str, index: str, flag: st
     """
     wide = lag_months(lag_months(df, s, index, lags, "_i"), s, flag, lags, "_d")
 
-    def one(k: int) -> DataFrame:
+    def one(k: int) -> tuple | None:
         features = [*base, f"_i_{k}", f"_d_{k}"]
-        rows = wide.dropna(subset=[target, *features])
+        rows = wide.select(*s.keys, s.time, target, *features).dropna(subset=[target, *features])
         enough = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SCAN_MIN_ROWS)
         rows = split_tail(rows.join(enough.select(*s.keys), list(s.keys), "left_semi"), s, hold_out)
         if rows.isEmpty():
             return None
         scored, _ = fit_and_score(rows, boosting(target, **{**SCAN_BOOSTING, **params}), features, target, back=True)
-        return fit_metrics(scored.filter("split = 'test'"), []).select(F.lit(k).alias("lag"), "n", "r2", "rmse")
+        m = fit_metrics(scored.filter("split = 'test'"), []).first()
+        return k, m["n"], m["r2"], m["rmse"]
 
+    # One row per lag comes back: a fit is an action anyway, and scoring it at once finds
+    # the caller's table still cached.
     with ThreadPoolExecutor(parallelism) as pool:
         results = [r for r in pool.map(one, lags) if r is not None]
-    if not results:
-        return df.sparkSession.createDataFrame([], "lag int, n long, r2 double, rmse double")
-    return reduce(lambda a, b: a.unionByName(b), results)
+    return df.sparkSession.createDataFrame(results, "lag int, n long, r2 double, rmse double")
