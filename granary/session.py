@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder for written tables below ``spark.checkpoint.dir``.
 
-    The cluster names a folder all executors can reach. Only where it names none, as in a
-    plain local run, a temporary folder takes its place.
+    The cluster names a folder all executors can reach. Where it names none, only a session
+    whose tasks all run on this machine may fall back on a temporary folder; any other one
+    gets an error, because executors would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, "granary-" + uuid.uuid4().hex)
