@@ -3,8 +3,9 @@
 Every shingle of five words (a shorter text is one shingle) is hashed once. The top bits of the
 hash name one of 128 bins, each bin keeps its smallest hash. An empty bin takes the value of the
 first filled bin on a walk of its own through all bins (optimal densification: each empty bin
-draws its donors independently, and alike in all documents). Of each value the four low bits are
-stored, 128 of them packed into eight longs. Two fingerprints agree by chance in 1/16 of the
+draws its donors independently, and alike in all documents). Of each value, hashed once more with
+the bin number so that one donor does not agree by chance in many bins at once, the four low bits
+are stored, 128 of them packed into eight longs. Two fingerprints agree by chance in 1/16 of the
 bins, which the likeness takes out: ``(agreeing - 1/16) / (1 - 1/16)``, kept within 0 and 1.
 
 All of it happens inside one row: sort the hashes, keep the first of each bin, pack. Only the
@@ -85,7 +86,7 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str]) -> DataFrame:
         df = df.select(*keep, F.when(F.size(m) == BINS, F.col(m)).when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), own)).alias(d))
         at = lambda i, t: F.get(d, (F.get(start, i) + F.get(step, i) * t) % BINS)
         walk = lambda i: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda t: at(i, t)), lambda x: x.isNotNull()), F.lit(0))
-        low = F.transform(d, lambda v, i: F.coalesce(v, *[at(i, F.lit(t)) for t in range(TRIES)], walk(i)).bitwiseAND(F.lit((1 << BITS) - 1)))
+        low = F.transform(d, lambda v, i: F.xxhash64(F.coalesce(v, *[at(i, F.lit(t)) for t in range(TRIES)], walk(i)), i).bitwiseAND(F.lit((1 << BITS) - 1)))
         df = df.select(*keep, low.alias(d))
         packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)), lambda k: F.aggregate(
             F.slice(d, k * PER_LONG + 1, F.lit(PER_LONG)), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, BITS).bitwiseOR(v)))
