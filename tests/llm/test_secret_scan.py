@@ -1,0 +1,82 @@
+"""Secret scans: base kinds against plain patterns, structures built byte by byte."""
+
+import base64
+import hashlib
+import json
+import re
+
+from granary.llm import secret_scan as S
+
+SF = "/root/testdata/sf0.01"
+
+
+def der(tag, body):
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + head + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([7]) * k) for k in (129, 3, 128, 65, 65, 64, 64, 64)))
+EC = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+PUBLIC = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\xce\x3d\x02\x01")) + der(3, b"\0" + bytes(64)))
+SSH = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(range(32))))
+JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (json.dumps({"alg": "HS256"}).encode(), b'{"sub":1}', b"signature"))
+
+
+def kinds(text):
+    return [k for _, _, k in S.scan(text)[1]]
+
+
+def test_structures_are_confirmed_and_broken_ones_are_not():
+    for data, kind in ((RSA, "der"), (EC, "der"), (PUBLIC, "der"), (SSH, "ssh")):
+        text = base64.b64encode(data).decode()
+        assert kinds(f"see {text} here") == [kind]
+        assert kind not in kinds("see " + base64.b64encode(data[:-2]).decode())
+        assert kind not in kinds("see " + base64.b64encode(data + b"xyz").decode())
+    assert "der" in kinds("key " + EC.hex() + " end") and "der" not in kinds("key " + EC.hex()[:-2])
+    assert kinds(f"bearer {JWT}") == ["jwt"]
+    assert kinds("bearer eyJub3QiOjF9.e30.c2ln") == []
+    pem = "-----BEGIN EC PRIVATE KEY-----\n" + base64.b64encode(EC).decode() + "\n-----END EC PRIVATE KEY-----"
+    assert "pem" in kinds("x " + pem)
+    assert kinds("Q" * 200) == [] and kinds("M" * 400) == []
+
+
+def test_base_spans():
+    text = "é password = 'hunter2!' TOKEN: abc api-key=1234567 apikey=1234567 AKIA" + "A" * 16 + " " + "0a" * 12 + " " + "0a" * 11
+    base = S.base_spans(text)
+    assert [(text[a:b], k) for a, b, k in sorted(base)] == [
+        ("password = 'hunter2", "assign"), ("apikey=1234567", "assign"), ("AKIA" + "A" * 16, "access"), ("0a" * 12, "hex")]
+    assert S.base_spans("toKen=1234567") == [] and S.base_spans("") == []
+
+
+def test_report_matches_plain_patterns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ours = {r["doc_id"]: r for r in S.report(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(ours) == len(rows)
+    seen = 0
+    for r in rows:
+        t, spans = r["text"] or "", []
+        for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I | re.A):
+            spans += [(m.start(), 0, f"assign:{m.start()}:{m.end()}")] if len(m[2]) >= 6 else []
+        spans += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        text = ",".join(x for *_, x in sorted(spans))
+        got = ours[r["doc_id"]]
+        assert got["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert (got["n_assign"], got["n_access"], got["n_hex"]) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert set(filter(None, text.split(","))) <= set(got["spans"].split(","))
+        seen += len(spans)
+    assert seen > 10
+
+
+def test_redaction_and_edge_rows(spark):
+    rows = [(1, None, 1), (2, "", 2), (3, "a token = abcdef b", 3), (3, "a token = abcdef b", 3), (4, "x " * 50_000, None), (None, "AKIA" + "B" * 16, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    out = S.redacted(docs)
+    assert out.columns == docs.columns
+    texts = sorted((r["text"] or "~") for r in out.collect())
+    assert texts == sorted(["~", "", "a [assign] b", "a [assign] b", "x " * 50_000, "[access]"])
+    assert S.report(docs).count() == 6 and S.report(docs.limit(0)).count() == 0 and S.redacted(docs.limit(0)).count() == 0
+    spans = S.with_spans(docs.drop("spans"), ["doc_id"]).where("size(__spans) > 0").count()
+    assert spans == 3
