@@ -140,9 +140,10 @@ def report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
     docs = docs.select("doc_id", text_of().alias("text"))
     links = written(successors(docs.select("doc_id", F.length("text").alias("n_chars"))), "next-links")
-    heads = docs.join(links, "doc_id").groupBy(F.col("prev_id").alias("doc_id")).agg(
-        F.min(F.expr("left(text, prev_chars div 2)")).alias("head"))
-    both = docs.join(links.select("doc_id", "next_id"), "doc_id", "left").join(heads, "doc_id", "left")
+    # Both uses of this join read one shuffle of the texts.
+    linked = docs.join(links, "doc_id", "left")
+    heads = linked.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(F.expr("left(text, prev_chars div 2)")).alias("head"))
+    both = linked.select("doc_id", "next_id", "text").join(heads, "doc_id", "left")
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.lit("")))

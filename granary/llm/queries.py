@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, fingerprints, licenses, mixing, quality, secret_scan
+from granary.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality, secret_scan, substring_dedup, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -21,16 +21,18 @@ def _over(table: str, report: Callable[[DataFrame], DataFrame]) -> Build:
 
 
 QUERIES: dict[str, Build] = {
+    "op1_substring_dedup": _over("documents", substring_dedup.report),
     "op2_license_scan": _over("documents", licenses.report),
     "op3_source_mix": _over("documents", mixing.report),
     "op4_secret_scan": _over("documents", secret_scan.report),
     "op5_fingerprints": _over("documents", fingerprints.report),
     "op6_byte_bpe": _over("documents", bpe.report),
+    "op8_ngram_join": _over("documents", ngram_join.joined),
+    "op9_warc": _over("pages", warc.report),
     "op10_quality_rules": _over("documents", quality.report),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": mixing.copies_sql(),
-    "op6_byte_bpe": _over("documents", bpe.report),
     "op10_quality_rules": quality.report_sql(),
 }

@@ -75,7 +75,7 @@ def test_redaction_and_edge_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     out = S.redacted(docs)
     assert out.columns == docs.columns
-    texts = sorted((r["text"] or "~") for r in out.collect())
+    texts = sorted("~" if r["text"] is None else r["text"] for r in out.collect())
     assert texts == sorted(["~", "", "a [assign] b", "a [assign] b", "x " * 50_000, "[access]"])
     assert S.report(docs).count() == 6 and S.report(docs.limit(0)).count() == 0 and S.redacted(docs.limit(0)).count() == 0
     spans = S.with_spans(docs.drop("spans"), ["doc_id"]).where("size(__spans) > 0").count()
