@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality, secret_scan, substring_dedup, warc
+from granary.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def _over(table: str, report: Callable[[DataFrame], DataFrame]) -> Build:
     return build
 
 
+def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.report(docs, labels)
+
+
 QUERIES: dict[str, Build] = {
     "op1_substring_dedup": _over("documents", substring_dedup.report),
     "op2_license_scan": _over("documents", licenses.report),
@@ -27,6 +32,7 @@ QUERIES: dict[str, Build] = {
     "op4_secret_scan": _over("documents", secret_scan.report),
     "op5_fingerprints": _over("documents", fingerprints.report),
     "op6_byte_bpe": _over("documents", bpe.report),
+    "op7_toxicity": _toxicity,
     "op8_ngram_join": _over("documents", ngram_join.joined),
     "op9_warc": _over("pages", warc.report),
     "op10_quality_rules": _over("documents", quality.report),
