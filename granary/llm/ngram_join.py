@@ -190,6 +190,25 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "node binary, own binary").dropDuplicates(["node"])
 
 
+def plausible(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                width = min(len(p), len(q))
+                differ = int(np.bitwise_count(_fold(p, width) ^ _fold(q, width)).sum())
+                keep.append(linked(m, n, min((m + n - differ) // 2, m, n)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left, right = (attributes.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k)) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets link."""
 
@@ -387,7 +406,8 @@ def joined(docs: DataFrame) -> DataFrame:
         hubs = own.withColumn("hub", F.min(rank).over(Window.partitionBy("token")))
         votes = hubs.where(F.col("hub.comp") != F.col("comp")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best"))
-        pairs = written(_ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))), "join-seeds")
+        pairs = _ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")))
+        pairs = written(plausible(pairs, attributes), "join-seeds")
         labels = _linked_labels(docs, members, labels, pairs)
     sorted_rows = postings.join(labels, "node").join(attributes, "node").select("token", "node", "n", "comp", "sig")
     sorted_rows = sorted_rows.repartition("token").sortWithinPartitions("token", "n", "node")
