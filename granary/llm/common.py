@@ -48,6 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that fulfil a condition on columns that are costly to compute.
+
+    The optimizer would push the condition below the projections it rests on and compute their
+    nested expressions again inside it, once per mention. A row number, which is not
+    deterministic, keeps the filter above them.
+    """
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
                bound: int = BROADCAST_ROWS) -> DataFrame:
     """Joins rows of any size with a table of one row per key.

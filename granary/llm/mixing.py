@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import join_small, text_of, words_of, written
+from granary.llm.common import join_small, text_of, where_computed, words_of, written
 
 P = "__mix_"
 #: Weights of the sources in code point order, repeating; words wanted per word there is; most copies.
@@ -126,7 +126,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     narrow = written(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
     held = docs.select(F.struct(*docs.columns).alias(P + "row"), "doc_id", "source", "text")
     held = _sized(held).drop("text")
-    out = with_copies(held, cuts_of(narrow)).where(F.col(P + "copies") > 0)
+    out = where_computed(with_copies(held, cuts_of(narrow)), F.col(P + "copies") > 0)
     out = out.select(P + "row", F.explode(F.sequence(F.lit(1), F.col(P + "copies").cast("int"))))
     return out.select(P + "row.*")
 

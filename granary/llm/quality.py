@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BLANK_RUN, text_of, words_of
+from granary.llm.common import BLANK_RUN, text_of, where_computed, words_of
 
 P = "__quality_"
 #: Low bits of a packed window that hold its place in the text.
@@ -146,7 +146,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with the columns of the input."""
-    return judge(docs, rules, text).where(F.size(P + "broken") == 0).select(*docs.columns)
+    judged = judge(docs, rules, text).select(*docs.columns, (F.size(P + "broken") == 0).alias(P + "kept"))
+    return where_computed(judged, F.col(P + "kept")).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
