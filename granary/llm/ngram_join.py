@@ -82,8 +82,11 @@ def linked(a: int, b: int, common: int) -> bool:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """About as many bits as the set has shingles: a power of two from 256 to 65,536."""
-    bits = min(max(256, 1 << int(len(own) - 1).bit_length()), 65_536)
+    """At least four bits for each shingle: a power of two from 256 to 262,144.
+
+    So few shingles hide behind another's bit that the bound on the overlap stays sharp.
+    """
+    bits = min(max(256, 4 << int(len(own) - 1).bit_length()), 262_144)
     out = np.zeros(bits, np.uint8)
     out[(own >> np.uint64(40)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
