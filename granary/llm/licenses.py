@@ -89,10 +89,10 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
 
 
 def anchors(total: int, frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> list[list[int]]:
-    """Positions of each template's words of highest IDF; earlier ones first among equals."""
+    """Positions of each template's words of highest IDF among those that files hold; earlier ones first among equals."""
     def idf(word: str) -> float:
         return math.log((total + 1) / (frequencies.get(word, 0) + 1))
-    return [sorted(sorted(range(len(t.words)), key=lambda i: (-idf(t.words[i]), i))[:ANCHORS]) for t in templates]
+    return [(i for i in range(len(t.words)) if frequencies.get(t.words[i])), key=lambda i: (-idf(t.words[i]), i))[:ANCHORS]) for t in templates]
 
 
 def scan(docs: DataFrame, places: list[list[int]], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
