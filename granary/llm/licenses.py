@@ -92,7 +92,8 @@ def anchors(total: int, frequencies: dict[str, int], templates: tuple[Template,
     """Positions of each template's words of highest IDF among those that files hold; earlier ones first among equals."""
     def idf(word: str) -> float:
         return math.log((total + 1) / (frequencies.get(word, 0) + 1))
-    return [(i for i in range(len(t.words)) if frequencies.get(t.words[i])), key=lambda i: (-idf(t.words[i]), i))[:ANCHORS]) for t in templates]
+    held = [[i for i, w in enumerate(t.words) if frequencies.get(w)] for t in templates]
+    return [sorted(sorted(h, key=lambda i, t=t: (-idf(t.words[i]), i))[:ANCHORS]) for t, h in zip(templates, held)]
 
 
 def scan(docs: DataFrame, places: list[list[int]], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -102,6 +103,8 @@ def scan(docs: DataFrame, places: list[list[int]], templates: tuple[Template, ..
         for p in places[t]:
             postings.setdefault(template.words[p], []).append((t, p))
     ends = {phrase.split()[-1] for phrase, _ in BASE}
+    if not postings:  # no file holds a template word; keep the index typed
+        postings[""] = [(0, 0)]
     index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (
         F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
     texts = F.array(*[F.array(*[F.lit(w) for w in t.words]) for t in templates])
