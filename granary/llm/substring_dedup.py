@@ -9,7 +9,7 @@ windows always meet in one shard. Consecutive windows with one minimizer travel
    class has are dropped, since none of their windows can occur elsewhere.
 2. The segments of shared minimizers are cut out in a second pass, one copy per class, and equal
    segments are grouped before they are shuffled any further, so that copied passages arrive
-   once. Segments of a minimizer with more than ``CROWD`` of them are cut into single windows,
+   once. Segments of a minimizer with more than ``CROWD`` different ones are cut into single windows,
    which again are grouped: a passage shared by a third of all documents becomes a few rows.
 3. Each shard builds an FM-index of its segments: the suffix array of the concatenation, sorted
    as far as ``WINDOW`` words, the Burrows-Wheeler transform as a wavelet matrix of bit vectors
@@ -43,7 +43,7 @@ from granary.llm.shingles import rolling_hashes, word_hashes
 
 WINDOW = 50
 GRAM = 20
-#: Segments of one minimizer above which they are cut into windows.
+#: Different segments of one minimizer above which they are cut into windows.
 CROWD = 200
 #: Words of segments that one index holds, about.
 SHARD_WORDS = 400_000
@@ -247,20 +247,27 @@ def repeats(sequences: list[np.ndarray], documents: np.ndarray, window: int = WI
 # The job.
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_words, keys) per row: digest of the word sequence and its distinct minimizers."""
+    """(doc_id, node, n_words, keys, segs) per row: digest of the word sequence, and the minimizers of
+    its segments beside hashes of the segments' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, segs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_in(text)
                 nodes.append(sequence_digest(words))
                 sizes.append(len(words))
-                keys.append(np.unique(minimizers(word_hashes(words))).view(np.int64) if len(words) >= WINDOW else np.empty(0, np.int64))
+                hashes = word_hashes(words)
+                own = minimizers(hashes)
+                begin, _ = segments_of(own)
+                windows = rolling_hashes(hashes, WINDOW)
+                keys.append(own[begin].view(np.int64))
+                segs.append((np.add.reduceat(windows, begin) if len(begin) else windows).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_words", "keys"])
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.int64()))],
+                                             names=["doc_id", "node", "n_words", "keys", "segs"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, node binary, n_words bigint, keys array<bigint>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, node binary, n_words bigint, keys array<bigint>, segs array<bigint>")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -367,11 +374,14 @@ def report(docs: DataFrame) -> DataFrame:
     long = signed.where(F.col("n_words") >= WINDOW)
     classes = written(long.groupBy("node").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     reps = long.join(classes.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    keys = reps.select("node", F.explode("keys").alias("key"))
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
-    counts = written(counts, "dedup-keys")
+    own = reps.select("node", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("segs").alias("seg")))).toDF("node", "key", "seg")
+    # Equal segments count once: near copies crowd no minimizer, different surroundings of one passage do.
+    kinds = own.groupBy("key", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    counts = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = written(counts.where(F.col("lo") != F.col("hi")).select("key", "kinds"), "dedup-keys")
+    keys = own.select("node", "key").distinct()
     shared = keys.join(counts, "key").groupBy("node").agg(
-        F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("classes") > CROWD, F.col("key"))).alias("crowded"))
+        F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("kinds") > CROWD, F.col("key"))).alias("crowded"))
     shared = written(shared.join(classes, "node"), "dedup-shared")
     # One text per class with a shared minimizer: rows of its smallest id, told apart by digest.
     digest_rows = signed.select(F.col("doc_id").alias("id"), "node").distinct().join(shared, "node").where(F.col("id") == F.col("rep"))
