@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from granary.functions.numeric import pair_count, safe_corr
 from granary.operators.series import Series, fill_both
 from granary.operators.summary import well_observed
 
@@ -106,6 +107,17 @@ def cluster_mean_series(series: DataFrame, labels: DataFrame, key: str, time: st
         F.avg(value).alias("cluster_mean"))
 
 
+def cluster_correlation(series: DataFrame, labels: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Correlation of each series with the mean series of its cluster: one row per series and cluster.
+
+    The means are small (clusters times months); no two series are paired.
+    """
+    means = cluster_mean_series(series, labels, key, time, value)
+    rows = series.join(labels.select(key, "cluster"), [key]).join(means, ["cluster", time])
+    x, y = F.col(value), F.col("cluster_mean")
+    return rows.groupBy("cluster", key).agg(pair_count(x, y).alias("n"), safe_corr(x, y).alias("corr"))
+
+
 def composition(members: DataFrame, country: str = "countryiso3") -> DataFrame:
     """Markets per cluster and country with their share of the cluster."""
     counts = members.groupBy("cluster", country).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Correlations of prices with indices: guarded, split by phase, lagged, pairwise."""
+"""Correlations of prices with indices: guarded, split by phase, lagged, between columns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import pair_count, safe_corr
-from granary.operators.panel import best_row, pivot_mean, top_groups, with_keys
+from granary.operators.panel import best_row, top_groups, with_keys
 from granary.operators.series import Series, as_monthly
 
 #: Fewest rows for a correlation, and for one of its two phases.
@@ -113,13 +113,3 @@ def top_correlations(block: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` strongest rows with the direction of the effect."""
     ranked = block.filter("corr IS NOT NULL").orderBy(F.abs(F.col("corr")).desc(), "feature", "target").limit(n)
     return ranked.withColumn("direction", F.when(F.col("corr") > 0, "up").otherwise("down"))
-
-
-def series_corr_matrix(df: DataFrame, time: str, key: str, series: Sequence, value: str) -> DataFrame:
-    """Pairwise correlation of listed series over their common dates.
-
-    The listed series become columns (mean on duplicates) and the pairs are aggregates over
-    the dates; no rows are paired.
-    """
-    wide = pivot_mean(df.filter(F.col(key).isin(list(series))), [time], key, series, value, "s_")
-    return corr_matrix(wide, [f"s_{v}" for v in series])

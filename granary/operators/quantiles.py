@@ -62,8 +62,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
 
     def at(k):
         hit = (F.col("_start") <= k) & (k < F.col("_end"))
-        # Outside the bracket only the row next to it can be asked for.
-        edge = F.when(F.col("_band") == -1, F.col("_max")).otherwise(F.col("_min"))
+        # Outside the bracket only the row next to it is known.
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        edge = F.when(F.col("_band") == 0, F.col("_min")).when(
+            (F.col("_band") == -1) & (k == F.col("_end") - 1), F.col("_max")).when(
+            (F.col("_band") == 1) & (k == F.col("_start")), F.col("_min")).otherwise(missed)
         return F.max(F.when(hit, edge))
 
     picked = running.groupBy(*keys, "_q").agg(

@@ -79,7 +79,7 @@ def grouped_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], f
     by = [*keys, fixed_effect] if fixed_effect else list(keys)
     part = with_keys(df, [*by, *v]).groupBy(*by).agg(*_moments(v))
     if fixed_effect:
-        cols = [c for c in part.columns if c.startswith("s")and "_" in c and c[1].isdigit()]
+        cols = [c for c in part.columns if c.startswith("s") and "_" in c and c[1].isdigit()]
         grand = F.sum(F.col("n") * F.col("m0")) / F.sum("n")
         between = F.sum(F.col("n") * F.col("m0") * F.col("m0")) - F.sum("n") * grand * grand
         part = part.groupBy(*keys).agg(
@@ -98,7 +98,9 @@ def grouped_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], f
     b = [F.col("_z.coef")[i] for i in range(k)]
     explained = sum((b[i] * s(0, i + 1) for i in range(k)), F.lit(0.0))
     n, g = F.col("n"), F.col("n_effects")
-    out = solved.withColumn("sse", F.greatest(s(0, 0) - explained, F.lit(0.0))).withColumn("df_resid", n - k - g)
+    # greatest() would skip the NULL of a fit that is short of rank and call it perfect.
+    sse = F.when(explained.isNotNull(), F.greatest(s(0, 0) - explained, F.lit(0.0)))
+    out = solved.withColumn("sse", sse).withColumn("df_resid", n - k - g)
     out = out.withColumn("sigma2", F.try_divide("sse", F.when(F.col("df_resid") > 0, F.col("df_resid"))))
     out = out.withColumn("r2", 1 - F.try_divide("sse", "sst"))
     df_model = k + g - 1
@@ -165,19 +167,20 @@ def residual_diagnostics(res: DataFrame, s: Series) -> DataFrame:
     step = F.col("residual") - F.lag("residual").over(s.window())
     n = F.col("n")
     out = res.withColumn("_step", step).groupBy(*s.keys).agg(
-        F.count("residual").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.try_divide(F.sum(F.col("_step") * F.col("_step")), F.sum(F.col("residual") * F.col("residual"))).alias("durbin_watson"),
         F.skewness("residual").alias("skew"), (F.kurtosis("residual") + 3).alias("kurtosis"))
     jb = n / 6 * (F.col("skew") * F.col("skew") + (F.col("kurtosis") - 3) * (F.col("kurtosis") - 3) / 4)
     return out.withColumn("jarque_bera", jb).withColumn("p_jarque_bera", F.exp(-F.col("jarque_bera") / 2))
 
 
-def compare_models(df: DataFrame, keys: Sequence[str], y: str, models: dict[str, Sequence[str]]) -> DataFrame:
+def compare_models(df: DataFrame, keys: Sequence[str], y: str, models: dict[str, Sequence[str]],
+                   min_n: int = MIN_ROWS) -> DataFrame:
     """R2 and AIC of several regressor sets on one and the same sample."""
     every = sorted({x for xs in models.values() for x in xs})
     sample = df.dropna(subset=[y, *every])
     out = None
     for name, xs in models.items():
-        fit = grouped_ols(sample, keys, y, xs).select(F.lit(name).alias("model"), *keys, "n", "r2", "aic")
+        fit = grouped_ols(sample, keys, y, xs, min_n=min_n).select(F.lit(name).alias("model"), *keys, "n", "r2", "aic")
         out = fit if out is None else out.unionByName(fit)
     return out

@@ -23,6 +23,9 @@ SCAN_BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 4}
 PRICE_LAGS = (1, 3, 6, 12, 24)
 SCAN_LAGS = tuple(range(25))
 SCAN_MIN_ROWS = 36
+#: Cut points tried per feature. MLlib's own 32 would merge districts and prices into 32 classes;
+#: a feature with at most this many values is split exactly. Memory per tree node grows with it.
+MAX_BINS = 256
 
 
 def forest(target: str, **params) -> RandomForestRegressor:
@@ -30,13 +33,14 @@ def forest(target: str, **params) -> RandomForestRegressor:
     passing rows down trees of depth 30 anew for every level costs several times the fit."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=target, predictionCol="predicted", featureSubsetStrategy="all",
-        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024, **{**PANEL_FOREST, **params})
+        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024,
+        **{"maxBins": MAX_BINS, **PANEL_FOREST, **params})
 
 
 def boosting(target: str, **params) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="features", labelCol=target, predictionCol="predicted", lossType="squared",
-        featureSubsetStrategy="all", seed=SEED, **{**SERIES_BOOSTING, **params})
+        featureSubsetStrategy="all", seed=SEED, **{"maxBins": MAX_BINS, **SERIES_BOOSTING, **params})
 
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -139,24 +139,6 @@ def correlation_matrix(t):
     return correlation.corr_matrix(wide, _MACRO)
 
 
-_SHOWN = 15
-cte("shown_markets", f"SELECT DISTINCT market_id FROM market_inflation ORDER BY market_id LIMIT {_SHOWN}")
-
-
-@query("d10_series_correlation", "x y n corr:4", f"""
-SELECT concat('s_', CAST(a.market_id AS VARCHAR)) AS x, concat('s_', CAST(b.market_id AS VARCHAR)) AS y,
-       count(CASE WHEN a.inflation_rate IS NOT NULL THEN b.inflation_rate END) AS n,
-       {guarded_corr('a.inflation_rate', 'b.inflation_rate')} AS corr
-FROM market_inflation a JOIN market_inflation b ON a.month = b.month AND a.market_id < b.market_id
-WHERE a.market_id IN (SELECT * FROM shown_markets) AND b.market_id IN (SELECT * FROM shown_markets)
-GROUP BY a.market_id, b.market_id""")
-def series_correlation(t):
-    # The heat map shows the first fifteen markets: that limit is part of the report.
-    rows = flows.market_inflation(t.price_obs)
-    shown = [r.market_id for r in rows.select("market_id").distinct().orderBy("market_id").limit(_SHOWN).collect()]
-    return correlation.series_corr_matrix(rows, "month", "market_id", shown, "inflation_rate")
-
-
 cte("cell_change", """
 SELECT *, CASE WHEN countryiso3 IS NOT NULL AND lag(f) OVER w <> 0 THEN f / lag(f) OVER w - 1 END AS inflation_rate FROM (
  SELECT *, last_value(per_unit_price IGNORE NULLS) OVER (PARTITION BY cell_id, countryiso3 ORDER BY month
@@ -404,6 +386,17 @@ def cluster_mean_series(t):
     return clusters.cluster_mean_series(flows.market_inflation(t.price_obs), market_labels(t), "market_id", "month", "inflation_rate")
 
 
+@query("d10_series_correlation", "cluster market_id n corr:4", f"""
+SELECT cluster, market_id, count(CASE WHEN inflation_rate IS NOT NULL THEN cluster_mean END) AS n,
+       {guarded_corr('inflation_rate', 'cluster_mean')} AS corr
+FROM market_inflation JOIN market_label USING (market_id)
+JOIN (SELECT cluster, month, avg(inflation_rate) AS cluster_mean FROM market_inflation JOIN market_label USING (market_id)
+      GROUP BY cluster, month) m USING (cluster, month)
+GROUP BY cluster, market_id""")
+def series_correlation(t):
+    return clusters.cluster_correlation(flows.market_inflation(t.price_obs), market_labels(t), "market_id", "month", "inflation_rate")
+
+
 @query("d25_cluster_composition", "cluster countryiso3 n share:6", """
 SELECT cluster, countryiso3, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY cluster) AS share
 FROM market_label LEFT JOIN (SELECT DISTINCT market_id, countryiso3 FROM price_obs) m USING (market_id) GROUP BY cluster, countryiso3""")

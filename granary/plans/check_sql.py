@@ -201,8 +201,8 @@ def impact_rows(prices: str) -> str:
 SELECT p.countryiso3, p.month, commodity_group, usdprice, scale, spi, energy_index, food_index,
        CASE WHEN usdprice + 1e-6 > 0 THEN ln(usdprice + 1e-6) END AS log_price,
        ln(energy_index + 1e-6) AS log_energy, ln(food_index + 1e-6) AS log_food,
-       CASE WHEN spi < -0.5 THEN spi WHEN spi IS NOT NULL THEN 0.0 END AS spi_drought,
-       CASE WHEN spi > 0.5 THEN spi WHEN spi IS NOT NULL THEN 0.0 END AS spi_flood
+       CASE WHEN spi < -0.5 THEN spi ELSE 0.0 END AS spi_drought,
+       CASE WHEN spi > 0.5 THEN spi ELSE 0.0 END AS spi_flood
 FROM {prices} p JOIN country_spi USING (countryiso3, month) LEFT JOIN macro_month USING (month)"""
 
 

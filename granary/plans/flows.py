@@ -78,11 +78,10 @@ def with_logs(rows: DataFrame, price: str) -> DataFrame:
 
 
 def regression_rows(prices: DataFrame, indices: DataFrame, macro: DataFrame, price: str) -> DataFrame:
-    """Prices, index by scale, its drought and flood parts and log controls."""
+    """Prices, index by scale, its drought and flood parts (0 where there is no index) and log controls."""
     rows = panel.join_on(price_index_rows(prices, indices), macro_months(macro), ["month"], "left")
     return with_logs(rows, price).withColumns({
-        "spi_drought": F.when(F.col("spi").isNotNull(), below(F.col("spi"), -0.5)),
-        "spi_flood": F.when(F.col("spi").isNotNull(), above(F.col("spi"), 0.5))})
+        "spi_drought": below(F.col("spi"), -0.5), "spi_flood": above(F.col("spi"), 0.5)})
 
 
 def at_best_scale(rows: DataFrame, keys: Sequence[str], price: str, mode: str, min_n: int = 20) -> DataFrame:
@@ -164,7 +163,7 @@ def forecast_panel(prices: DataFrame, indices_wide: DataFrame, macro: DataFrame,
     rows = rows.withColumns({
         "log_energy": log_of(F.col("energy_index")), "log_food": log_of(F.col("food_index")),
         "log_fertilizer": log_of(F.col("fertilizer_index")),
-        "drought": F.when(spi.isNotNull(), below(spi, -0.5)), "flood": F.when(spi.isNotNull(), above(spi, 0.5)),
+        "drought": below(spi, -0.5), "flood": above(spi, 0.5),
         "drought_severe": F.when(spi < 0.5, 1).otherwise(0), "flood_severe": F.when(spi > 0.5, 1).otherwise(0),
         "drought_spi": below(spi, 0.0), "flood_spi": above(spi, 0.0)})
     w = s.window()

@@ -26,20 +26,23 @@ def gamma_fit(t):
     return index.fit_gamma(totals, "total", ["iy", "ix", "scale"])
 
 
-_CALIBRATION = index.clamp_calibration(index.CALIBRATION, (1995, 2000))
+_CALIBRATED = (f"CASE WHEN year(time) BETWEEN greatest({index.CALIBRATION[0]}, (SELECT min(year(time)) FROM grid_precip)) "
+               f"AND least({index.CALIBRATION[1]}, (SELECT max(year(time)) FROM grid_precip)) THEN total END")
 
 
-@query("h1_calibrated_index_fit", "iy ix mo scale alpha:4 beta:4 zero_share:6", """
+@query("h1_calibrated_index_fit", "iy ix mo scale alpha:4 beta:4 zero_share:6", f"""
 SELECT iy, ix, scale, mo, zero_share, (1 + sqrt(1 + 4 * spread / 3)) / (4 * spread) AS alpha,
        mean / ((1 + sqrt(1 + 4 * spread / 3)) / (4 * spread)) AS beta
 FROM (SELECT iy, ix, scale, month(time) AS mo, avg(x) FILTER (WHERE x > 0) AS mean,
              CASE WHEN ln(avg(x) FILTER (WHERE x > 0)) - avg(ln(CASE WHEN x > 0 THEN x END)) > 1e-12
                THEN ln(avg(x) FILTER (WHERE x > 0)) - avg(ln(CASE WHEN x > 0 THEN x END)) END AS spread,
              count(*) FILTER (WHERE x = 0) / nullif(count(x), 0) AS zero_share
-      FROM (SELECT *, CASE WHEN year(time) BETWEEN 1995 AND 2000 THEN total END AS x FROM rain_sums) y GROUP BY ALL) m""")
+      FROM (SELECT *, {_CALIBRATED} AS x FROM rain_sums) y GROUP BY ALL) m""")
 def calibrated_index_fit(t):
     totals = index.accumulate_scales(t.grid_precip, "precip", index.ANALYSED_SCALES)
-    fit = index.fit_gamma(totals, "total", ["iy", "ix", "scale"], _CALIBRATION)
+    years = t.grid_precip.agg(F.min(F.year("time")), F.max(F.year("time"))).first()
+    calibration = index.clamp_calibration(index.CALIBRATION, tuple(years)) if years[0] else None
+    fit = index.fit_gamma(totals, "total", ["iy", "ix", "scale"], calibration)
     return fit.select("iy", "ix", "scale", F.month("time").alias("mo"), "alpha", "beta", "zero_share").dropDuplicates(
         ["iy", "ix", "scale", "mo"])
 
@@ -84,7 +87,9 @@ def national_impact(t):
     return flows.national_impact(t.price_obs, flows.country_index(t.grid_precip, t.grid_layers), t.macro_index)
 
 
-add(ols("national_rows", [*_NATIONAL, "scale"], "log_price", flows.SPLIT_TERMS, "every_ols"))
+# These models are fitted on whatever is complete, as long as there are more rows than terms.
+_ANY = len(flows.SPLIT_TERMS) + 2
+add(ols("national_rows", [*_NATIONAL, "scale"], "log_price", flows.SPLIT_TERMS, "every_ols", min_n=_ANY))
 
 
 @query("h4_every_scale", "countryiso3 commodity_group scale n r2:5 aic:3 coef_spi_drought:4 p_spi_drought:4 coef_spi_flood:4 p_spi_flood:4", f"""
@@ -92,30 +97,33 @@ SELECT countryiso3, commodity_group, scale, n, r2, aic, coef_spi_drought, {t_pva
        coef_spi_flood, {t_pvalue('(coef_spi_flood / se_spi_flood)', 'df_resid')} AS p_spi_flood FROM every_ols_fit""")
 def every_scale(t):
     rows = flows.national_rows(t.price_obs, flows.country_index(t.grid_precip, t.grid_layers), t.macro_index)
-    return regression.grouped_ols(rows, [*_NATIONAL, "scale"], "log_price", flows.SPLIT_TERMS)
+    return regression.grouped_ols(rows, [*_NATIONAL, "scale"], "log_price", flows.SPLIT_TERMS, min_n=_ANY)
 
 
-# The raw index is defined wherever its two parts are, so both models share one sample.
-add(ols("national_rows", [*_NATIONAL, "scale"], "log_price", ["spi", "log_energy", "log_food"], "raw_ols"))
+# Months without an index are left out here, so both models share one sample.
+cte("indexed_rows", "SELECT * FROM national_rows WHERE spi IS NOT NULL")
+add(ols("indexed_rows", [*_NATIONAL, "scale"], "log_price", ["spi", "log_energy", "log_food"], "raw_ols", min_n=_ANY))
+add(ols("indexed_rows", [*_NATIONAL, "scale"], "log_price", flows.SPLIT_TERMS, "split_ols", min_n=_ANY))
 
 
 @query("h5_model_comparison", "countryiso3 commodity_group scale model n r2:5 aic:3", """
 SELECT countryiso3, commodity_group, scale, 'raw' AS model, n, r2, aic FROM raw_ols_fit
-UNION ALL SELECT countryiso3, commodity_group, scale, 'split', n, r2, aic FROM every_ols_fit""")
+UNION ALL SELECT countryiso3, commodity_group, scale, 'split', n, r2, aic FROM split_ols_fit""")
 def model_comparison(t):
     rows = flows.national_rows(t.price_obs, flows.country_index(t.grid_precip, t.grid_layers), t.macro_index)
     return regression.compare_models(rows, [*_NATIONAL, "scale"], "log_price", {
-        "raw": ["spi", "log_energy", "log_food"], "split": flows.SPLIT_TERMS})
+        "raw": ["spi", "log_energy", "log_food"], "split": flows.SPLIT_TERMS}, _ANY)
 
 
-add(ols("national_rows_24", _NATIONAL, "log_price", flows.SPLIT_TERMS, "diag_ols"))
-cte("national_rows_24", "SELECT * FROM national_rows WHERE scale = 24")
+add(ols("national_rows_24", _NATIONAL, "log_price", flows.SPLIT_TERMS, "diag_ols", min_n=_ANY))
+cte("national_rows_24", "SELECT * FROM indexed_rows WHERE scale = 24")
 _FIT_COLUMNS = "n df_resid r2:5 adj_r2:5 f:3 llf:3 aic:3 bic:3 intercept:3 se_spi_drought:4 se_log_food:4"
 
 
 def _diagnosed(t):
     rows = flows.national_rows(t.price_obs, flows.country_index(t.grid_precip, t.grid_layers, [24]), t.macro_index)
-    return rows, regression.grouped_ols(rows, _NATIONAL, "log_price", flows.SPLIT_TERMS)
+    rows = rows.dropna(subset=["spi"])
+    return rows, regression.grouped_ols(rows, _NATIONAL, "log_price", flows.SPLIT_TERMS, min_n=_ANY)
 
 
 @query("h6_fit_statistics", f"countryiso3 commodity_group {_FIT_COLUMNS}", """
@@ -267,11 +275,6 @@ def boosted_trees(t):
     return summary.fit_metrics(scored, ["split"])
 
 
-# The operator's default is 100 rounds at rate 0.05. Every round is a handful of Spark jobs
-# whatever the data size, so the registered scan over all 25 lags takes fewer, larger steps.
-SCAN_ROUNDS = {"maxIter": 10, "stepSize": 0.3}
-
-
 @query("h15_drought_lag_scan", "lag n r2:6 rmse:6")
 def drought_lag_scan(t):
     from granary.operators.series import calendar_features, lag_months
@@ -279,7 +282,7 @@ def drought_lag_scan(t):
     base = ["lag_price_1", "lag_price_3", "lag_price_12", "month_num"]
     rows = rows.select(*_NATIONAL, "month", "log_price", "spi_12", "drought_severe", *base).persist()
     try:
-        return trees.drought_lag_scan(rows, _NS, "log_price", "spi_12", "drought_severe", base, **SCAN_ROUNDS)
+        return trees.drought_lag_scan(rows, _NS, "log_price", "spi_12", "drought_severe", base)
     finally:
         rows.unpersist()
 

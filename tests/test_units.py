@@ -87,6 +87,16 @@ def test_tails_against_integration():
         density = np.exp((a - 1) * np.log(x) - x - math.lgamma(a))
         if a > 1:
             assert abs(tails.gamma_cdf(np.array([a]), np.array([7.0]))[0] - np.trapezoid(density, x)) < 1e-7
+    for a in (1e6, 1e8, 1e11):  # the expansion, against a normal law with the skewness of the gamma law
+        for z in (-2.5, -0.3, 0.0, 0.7, 2.0):
+            got = tails.gamma_cdf(np.array([a]), np.array([a + z * math.sqrt(a)]))[0]
+            density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+            assert abs(got - (0.5 * math.erfc(-z / math.sqrt(2)) - density * (z * z - 1) / (3 * math.sqrt(a)))) < 3 / a
+    edge = np.array([9999.999, 10000.001])  # both sides of the switch
+    for x in (9800.0, 9999.5, 10250.0):
+        low, high = tails.gamma_cdf(edge, np.array([x, x]))
+        assert abs(low - high) < 1e-4
+        assert abs(tails._gamma_cdf_large(edge[:1], np.array([x]))[0] - low) < 1e-8
     p = np.array([0.001, 0.2, 0.5, 0.9, 0.99999])
     z = tails.normal_quantile(p)
     assert np.allclose([0.5 * math.erfc(-v / math.sqrt(2)) for v in z], p, atol=1e-14)
