@@ -412,7 +412,11 @@ def joined(docs: DataFrame) -> DataFrame:
         pairs = _ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")))
         pairs = written(plausible(pairs, attributes), "join-seeds")
         labels = _linked_labels(docs, members, labels, pairs)
-    sorted_rows = postings.join(labels, "node").join(attributes, "node").select("token", "node", "n", "comp", "sig")
+    # Blocks that lie in one component by now have nothing to add: they go before bitmaps join the rows.
+    block = Window.partitionBy("token")
+    spread = postings.join(labels, "node").select("token", "node", "comp", F.min("comp").over(block).alias("lo"), F.max("comp").over(block).alias("hi"))
+    mixed = written(spread.where(F.col("lo") != F.col("hi")).select("token", "node", "comp"), "join-mixed")
+    sorted_rows = mixed.join(attributes, "node").select("token", "node", "n", "comp", "sig")
     sorted_rows = sorted_rows.repartition("token").sortWithinPartitions("token", "n", "node")
     pairs = written(_ordered(sorted_rows.mapInArrow(block_candidates, "a binary, b binary")), "join-candidates")
     labels = _linked_labels(docs, members, labels, pairs)
