@@ -12,7 +12,8 @@ sets form one class; only classes are joined. Two of them link if
 3. Seeding rounds: each class is verified against one partner, the hub it shares most blocks
    with outside its component. Near copies become one component after a few verified pairs
    each, instead of all pairs of their group.
-4. The rest is exact: in each block a signature tree is built over the classes in order of size.
+4. The rest is exact: blocks of one component, and all but one of the blocks with the same
+   classes, are let go; in each other block a signature tree is built over the classes in order of size.
    Its nodes hold OR- and AND-combined bitmaps, size ranges and component ranges. A dual traversal
    descends into pairs of nodes; it prunes a pair if the sizes or the largest possible overlap
    rule out a link, or if both lie in one component already. Pairs that remain are verified on
@@ -389,6 +390,19 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def open_blocks(rows: DataFrame) -> DataFrame:
+    """(token, node, comp) rows of the blocks that bitmaps are needed for.
+
+    Blocks that lie in one component by now have nothing to add. Of blocks that hold the same
+    classes one is enough: two long texts share thousands of shingles, which all say the same.
+    Blocks are told apart by their size and two sums of hashes of their classes.
+    """
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)]
+    blocks = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), *sums)
+    chosen = blocks.where(F.col("lo") != F.col("hi")).groupBy("size", "h0", "h1").agg(F.min("token").alias("token"))
+    return rows.join(chosen.select("token"), "token", "left_semi").select("token", "node", "comp")
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -412,10 +426,7 @@ def joined(docs: DataFrame) -> DataFrame:
         pairs = _ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")))
         pairs = written(plausible(pairs, attributes), "join-seeds")
         labels = _linked_labels(docs, members, labels, pairs)
-    # Blocks that lie in one component by now have nothing to add: they go before bitmaps join the rows.
-    block = Window.partitionBy("token")
-    spread = postings.join(labels, "node").select("token", "node", "comp", F.min("comp").over(block).alias("lo"), F.max("comp").over(block).alias("hi"))
-    mixed = written(spread.where(F.col("lo") != F.col("hi")).select("token", "node", "comp"), "join-mixed")
+    mixed = written(open_blocks(postings.join(labels, "node")), "join-mixed")
     sorted_rows = mixed.join(attributes, "node").select("token", "node", "n", "comp", "sig")
     sorted_rows = sorted_rows.repartition("token").sortWithinPartitions("token", "n", "node")
     pairs = written(_ordered(sorted_rows.mapInArrow(block_candidates, "a binary, b binary")), "join-candidates")
