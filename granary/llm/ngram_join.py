@@ -9,7 +9,7 @@ sets form one class; only classes are joined. Two of them link if
    last, and keeps the head in which two linked sets must share a shingle (prefix filter), and
    a bitmap of the set. The order only decides how many candidates there are, never the result.
 2. Classes meet in blocks, one per shared head shingle; shingles of one class fall away.
-3. Seeding rounds: each class is verified against one partner, the hub it shares most blocks
+3. Seeding: each class is verified against one partner, the hub it shares most blocks
    with outside its component. Near copies become one component after a few verified pairs
    each, instead of all pairs of their group.
 4. The rest is exact: blocks of one component, and all but one of the blocks with the same
@@ -17,7 +17,9 @@ sets form one class; only classes are joined. Two of them link if
    Its nodes hold OR- and AND-combined bitmaps, size ranges and component ranges. A dual traversal
    descends into pairs of nodes; it prunes a pair if the sizes or the largest possible overlap
    rule out a link, or if both lie in one component already. Pairs that remain are verified on
-   their full sets.
+   their full sets. First come a few turns in which each component of a block gives one plausible
+   pair, so that large groups of near copies grow together; blocks without a plausible pair are
+   done with at the first turn. The last turn gives every pair that is left.
 
 Nothing is dropped: every pair of classes that links shares a block and is either in one component
 already or verified. Components are found by min-label rounds with pointer jumping, each round a
@@ -48,7 +50,9 @@ PERCENT = 85
 FREQUENT = 500_000
 #: Shingles counted together before those met once are let go.
 COUNTED = 2_000_000
-SEEDINGS = 3
+SEEDINGS = 1
+#: Rounds in which a component is verified against one plausible partner a block, before the exact rest.
+ROUNDS = 4
 LEAF = 32
 FAN = 4
 #: Hash classes of the prefilter on ids; its table never has more rows.
@@ -312,8 +316,8 @@ def _apart(x: Node, y: Node) -> bool:
     return not linked(int(x.small), int(y.small), min(common, int(x.small), int(y.small))) and common < int(x.small)
 
 
-def candidate_pairs(bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a block, sorted by size, that may link and lie in different components."""
+def candidate_pairs(bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of a block, sorted by size, that may link and lie in different components, with the bound on their similarity."""
     root = build_tree(bits, sizes, comps)
     stack = [(root, root)]
     while stack:
@@ -338,7 +342,22 @@ def candidate_pairs(bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> I
             most = np.minimum((total - differ) // 2, np.minimum(sizes[i], sizes[j]))
             ok = 100 * most >= PERCENT * (total - most)
             if ok.any():
-                yield i[ok], j[ok]
+                yield i[ok], j[ok], (most / np.maximum(total - most, 1))[ok]
+
+
+def one_partner(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], comps: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of all candidate pairs one for each component: the most similar one, in later turns one drawn by a hash."""
+    best, left, right = np.full(int(comps.max()) + 1, -1.0), *np.zeros((2, int(comps.max()) + 1), np.int64)
+    for i, j, key in found:
+        if turn:
+            key = (finished((i.astype(np.uint64) << np.uint64(32)) + j.astype(np.uint64) + multiplier(turn)) >> np.uint64(11)).astype(float)
+        for own in (comps[i], comps[j]):
+            order = np.lexsort((key, own))
+            last = order[np.append(own[order][1:] != own[order][:-1], True)]
+            last = last[key[last] > best[own[last]]]
+            best[own[last]], left[own[last]], right[own[last]] = key[last], i[last], j[last]
+    if (best >= 0).any():
+        yield left[best >= 0], right[best >= 0]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -359,29 +378,32 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, node, n, comp, sig) sorted by token and size -> candidate pairs."""
-    seen: set[int] = set()
-    for block in _blocks(batches):
-        nodes = block.column("node").to_pylist()
-        comp_names = block.column("comp").to_pylist()
-        numbers = {c: i for i, c in enumerate(dict.fromkeys(comp_names))}
-        if len(nodes) < 2 or len(numbers) < 2:
-            continue
-        # The same classes often meet in many blocks of one task.
-        key = hash(tuple(nodes))
-        if key in seen:
-            continue
-        if len(seen) > 1_000_000:
-            seen.clear()
-        seen.add(key)
-        comps = np.array([numbers[c] for c in comp_names])
-        sizes = block.column("n").to_numpy()
-        sigs = block.column("sig").to_pylist()
-        width = min(map(len, sigs)) // 8
-        bits = np.stack([_fold(np.frombuffer(s, np.uint64), width) for s in sigs])
-        for i, j in candidate_pairs(bits, sizes, comps):
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in i], pa.binary()), pa.array([nodes[k] for k in j], pa.binary())], names=["a", "b"])
+def block_candidates(turn: int | None):
+    """(token, node, n, comp, sig) sorted by token and size -> candidate pairs (token, a, b).
+
+    In a turn each component of a block gives one pair; without one (None) all pairs are given. A
+    block that gives none has no plausible pair and is done with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            nodes = block.column("node").to_pylist()
+            comp_names = block.column("comp").to_pylist()
+            numbers = {c: i for i, c in enumerate(dict.fromkeys(comp_names))}
+            if len(numbers) < 2:
+                continue
+            comps = np.array([numbers[c] for c in comp_names])
+            sizes = block.column("n").to_numpy()
+            sigs = block.column("sig").to_pylist()
+            width = min(map(len, sigs)) // 8
+            bits = np.stack([_fold(np.frombuffer(s, np.uint64), width) for s in sigs])
+            token = block.column("token")[0].as_py()
+            found = candidate_pairs(bits, sizes, comps)
+            for i, j, *_ in found if turn is None else one_partner(found, comps, turn):
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(i), pa.int64()), pa.array([nodes[k] for k in i], pa.binary()),
+                                                  pa.array([nodes[k] for k in j], pa.binary())], names=["token", "a", "b"])
+
+    return run
 
 
 # The join.
@@ -426,11 +448,18 @@ def joined(docs: DataFrame) -> DataFrame:
         pairs = _ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")))
         pairs = written(plausible(pairs, attributes), "join-seeds")
         labels = _linked_labels(docs, members, labels, pairs)
-    mixed = written(open_blocks(postings.join(labels, "node")), "join-mixed")
-    sorted_rows = mixed.join(attributes, "node").select("token", "node", "n", "comp", "sig")
-    sorted_rows = sorted_rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    pairs = written(_ordered(sorted_rows.mapInArrow(block_candidates, "a binary, b binary")), "join-candidates")
-    labels = _linked_labels(docs, members, labels, pairs)
+    blocks = written(open_blocks(postings.join(labels, "node")), "join-mixed").drop("comp")
+    for turn in [*range(ROUNDS), None]:
+        rows_of = blocks.join(labels, "node").join(attributes, "node").select("token", "node", "n", "comp", "sig")
+        rows_of = rows_of.repartition("token").sortWithinPartitions("token", "n", "node")
+        given = written(rows_of.mapInArrow(block_candidates(turn), "token bigint, a binary, b binary").distinct(), "join-candidates")
+        if given.isEmpty():
+            break
+        labels = _linked_labels(docs, members, labels, written(_ordered(given), "join-pairs"))
+        # Blocks without a plausible pair are done with, as are those that are one component by now.
+        left = blocks.join(given.select("token").distinct(), "token", "left_semi")
+        if turn is not None:
+            blocks = written(open_blocks(left.join(labels, "node")), "join-mixed").drop("comp")
     # The label of a component is the smallest id in it.
     reps = members.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
