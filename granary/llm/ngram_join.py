@@ -52,7 +52,7 @@ FREQUENT = 500_000
 COUNTED = 2_000_000
 SEEDINGS = 1
 #: Rounds in which a component is verified against one plausible partner a block, before the exact rest.
-ROUNDS = 4
+ROUNDS = 2
 LEAF = 32
 FAN = 4
 #: Hash classes of the prefilter on ids; its table never has more rows.
