@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    """One temporary folder a process; the setting itself cannot be changed in a running session."""
+    return tempfile.mkdtemp(prefix="granary-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder for written tables below ``spark.checkpoint.dir``.
 
@@ -50,6 +57,5 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return os.path.join(base, "granary-" + uuid.uuid4().hex)
