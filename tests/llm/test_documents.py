@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -164,6 +165,21 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.report(docs, labels.where("toxic = 0")).collect()} == {0.5}
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    """One toxic row in ten: no ordinary row is left out for that, and unlabelled texts count in the shared backoff."""
+    rows = [(i, f"plain w{i} w{i} " + ("vile" if i % 10 == 0 else "kind")) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(1000, "w0 other")], "doc_id long, text string")
+    marks = toxicity.training_marks(spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    trained = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    words = toxicity.counted_words(docs, marks)
+    got = {r["word"]: r for r in words.collect()}
+    of = lambda w: got[int(toxicity.hashes_of(w).view(np.int64)[0])]
+    assert (of("plain")["b0"], of("plain")["b1"]) == (sum(i % 10 > 0 for i in trained), sum(i % 10 == 0 for i in trained))
+    assert of("plain")["n"] == 300 and of("w0")["n"] == 3 and of("other")["n"] == 1 and of("other")["b0"] == of("other")["b1"] == 0
+    sums = toxicity.totals(words)
+    assert sums["b0"] + sums["b1"] == 4 * len(trained) and sums["n"] == 1202
+
+
 @pytest.mark.parametrize("report", [quality.report, licenses.report, mixing.report, fingerprints.report, ngram_join.joined, substring_dedup.report])
 def test_edge_rows(edge, report):
     rows = report(edge).collect()
