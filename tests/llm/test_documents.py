@@ -180,6 +180,14 @@ def test_toxicity_counts_every_labelled_row(spark):
     assert sums["b0"] + sums["b1"] == 4 * len(trained) and sums["n"] == 1202
 
 
+def test_toxicity_pair_below_the_discount_in_one_class_is_not_absent(spark):
+    words = spark.createDataFrame([(5, 55, 50, 5, 50, 5), (6, 900_000, 100_000, 10_000, 100_000, 10_000)], "word long, n long, c0 long, c1 long, b0 long, b1 long")
+    pair = "array<struct<word:long,c0:double,c1:double,b0:double,b1:double>>"
+    contexts = spark.createDataFrame([(9, 100.0, 100.0, 85.0, 100.0, [(5, 45.0, 25.0, 45.0, 25.0)])], f"before long, nb0 double, nb1 double, fb0 double, fb1 double, pairs {pair}")
+    model = toxicity.evident(words, contexts, toxicity.totals(words), "b", [0], 0.0)
+    assert len(model.pairs.keys) == 1 and abs(model.pairs.values[0, 0]) < 1.0
+
+
 @pytest.mark.parametrize("report", [quality.report, licenses.report, mixing.report, fingerprints.report, ngram_join.joined, substring_dedup.report])
 def test_edge_rows(edge, report):
     rows = report(edge).collect()
