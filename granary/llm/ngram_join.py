@@ -479,7 +479,16 @@ def _linked_labels(docs: DataFrame, members: DataFrame, labels: DataFrame, pairs
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of each component's smallest id, once each, with the columns of the input."""
-    first = joined(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept
+    """One row of each component, with the columns of the input: that of the smallest id.
+
+    Rows meet under a key of their own, so that repeated rows, rows that share an id and rows
+    without an id are told apart. Null ids come last; further ties go to the smallest digest of
+    the text, then to the smallest key. Rows without a set have no copies and all stay.
+    """
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "group-rows")
+    groups = joined(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(text_of(), 256).alias("digest"), F.col("__key").alias("key"))
+    ranked = keyed.select("__key", order.alias("rank")).join(groups, "__key")
+    # A minimum per group is aggregated before the shuffle, so a large group does not land in one task.
+    kept = ranked.groupBy("__group").agg(F.min("rank").alias("first")).select(F.col("first.key").alias("__key"))
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)

@@ -110,6 +110,18 @@ def test_ngram_join(spark, docs, texts):
     assert got == join_by_hand(dict(chain)) and len({c for _, c in got.values()}) == 1
 
 
+def test_one_per_group_keeps_one_row_a_component(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [(1, " ".join(base), "a"), (1, " ".join(base), "a"), (None, near, "b"), (None, near, "b"), (7, "something else entirely in here", "c"), (1, "its own text under a shared id", "d"),
+            (None, "no id and no copy at all", "e"), (None, "v " + " ".join(f"u{i}" for i in range(90)), "f"), (None, " ".join(f"u{i}" for i in range(90)), "f"), (8, "", "g"), (9, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = ngram_join.one_per_group(docs)
+    assert got.columns == docs.columns
+    assert sorted(r["source"] for r in got.collect()) == list("acdefgh")
+    assert ngram_join.one_per_group(docs.limit(0)).count() == 0
+
+
 def test_fingerprints(docs, texts):
     rows = {r["doc_id"]: r for r in fingerprints.report(docs).collect()}
     ids = sorted(texts)
