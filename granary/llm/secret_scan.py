@@ -2,7 +2,7 @@
 
 Base kinds are plain patterns. What the method adds must prove itself by its structure: runs of
 base64 or hexadecimal digits are decoded and the bytes are parsed as key encodings whose nested
-lengths must add up exactly (DER sequences of private and public keys, the OpenSSH private key
+lengths must add up exactly (DER sequences of private keys, encrypted ones too, and public keys, the OpenSSH private key
 container, SSH public key blobs), and three dot-joined base64url parts must start with a JSON
 header that names a signing algorithm. Runs that do not parse are not reported.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -37,10 +38,18 @@ LEAST = {"assign": 6, "access": 20}
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Candidates of the method: long runs of one alphabet, and signed tokens.
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ARMOURED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Lines may be wrapped, also by escaped line ends as in JSON and source code.
+LINE_END = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
+ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}(?:" + LINE_END + r"[A-Za-z0-9+/_-]+={0,2})*")
+PIECE = re.compile(r"\\+[rn]|[A-Za-z0-9+/_-]+={0,2}")
+ARMOURED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/]|[\"'][ \t]*[+.,]?\s*[\"'])+)-----END \1-----")
+#: What is no part of the base64 text in an armour: blanks, escaped ones, joints of string literals.
+BETWEEN = re.compile(r"[\"'][ \t]*[+.,]?\s*[\"']|\\+[nrt]|\\+(?=/)|\s+")
+#: Where a key can begin: 0x30 with a length, the container's name, a length below 256 and a name.
+STARTS = re.compile(r"M[A-P]|b3BlbnNzaC1rZXkt|AAAA[A-D]")
+HEX_STARTS = re.compile(r"30|6f70656e7373682d|000000(?=[0-9a-f]{2}(?:737368|6563647361|736b))", re.IGNORECASE)
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-HEX_KEY = re.compile(r"(?i:30[0-9a-f]{62,})")
+HEX_KEY = re.compile(r"(?i:[0-9a-f]{64,})")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "ssh", "der")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
@@ -79,8 +88,22 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
+#: Object identifiers 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1.
+PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with ``data`` (six bytes or more), else None."""
+    if data[:1] != b"\x30":
+        return None
+    if not data[1] & 0x80:
+        return 2 + data[1]
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2:2 + n], "big") if 1 <= n <= 4 else None
+
+
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence shaped like a private key (PKCS#1, PKCS#8, SEC1) or a public key info."""
+    """A DER sequence shaped like a private key (PKCS#1, PKCS#8 plain or encrypted, SEC1) or a public key info."""
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -95,6 +118,8 @@ def is_der_key(data: bytes) -> bool:
             return True
         if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:
             return is_algorithm(parts[1][1])
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: a password scheme of PKCS#5 or PKCS#12
+        return is_algorithm(parts[0][1]) and der_items(parts[0][1])[0][1].startswith(PASSWORD_SCHEMES) and len(parts[1][1]) >= 16
     return tags == [0x30, 0x03] and is_algorithm(parts[0][1]) and parts[1][1][:1] == b"\0" and len(parts[1][1]) > 16
 
 
@@ -158,19 +183,62 @@ def confirmed(text: str) -> Iterator[Span]:
                 yield m.start(), m.end(), "jwt"
     if "-----BEGIN " in text:
         for m in ARMOURED.finditer(text):
-            if key_kind(unbase64(re.sub(r"\s+", "", m[2]))):
+            if key_kind(unbase64(BETWEEN.sub("", m[2]))):
                 yield m.start(), m.end(), "pem"
-    # A DER key begins with 0x30 and an SSH blob with a zero byte or the container's name, so
-    # that its base64 text begins with M, A or b.
     for m in ENCODED.finditer(text):
-        if m[0][0] in "MAb":
-            kind = key_kind(unbase64(m[0]))
-            if kind:
-                yield m.start(), m.end(), kind
+        yield from encoded_keys(m[0], m.start())
     for m in HEX_KEY.finditer(text):
-        run = m[0]
-        if len(run) % 2 == 0 and key_kind(binascii.unhexlify(run)):
-            yield m.start(), m.end(), "der"
+        yield from hex_keys(m[0], m.start())
+
+
+def encoded_keys(run: str, offset: int) -> Iterator[Span]:
+    """Keys in lines of base64: each begins anywhere and ends with a line."""
+    if not STARTS.search(run):
+        return
+    pieces = [(p.start(), p.end()) for p in PIECE.finditer(run) if p[0][0] != "\\"]
+    body = "".join(run[a:b] for a, b in pieces)
+    ends, places, size = [], [], 0
+    for a, b in pieces:
+        places.append((size, a))
+        size += b - a
+        ends.append((size, b))
+    done = 0
+    for m in STARTS.finditer(body):
+        at = m.start()
+        if at < done:
+            continue
+        head = unbase64(body[at:at + 8])
+        if not head or len(head) < 6:
+            continue
+        total = der_size(head)
+        if total is None and not (head == b"openss" or head[:3] == b"\0\0\0" and head[4:] in (b"ss", b"ec", b"sk")):
+            continue
+        least = -(-4 * total // 3) if total else 32
+        for end, place in ends[bisect.bisect_left(ends, (at + least,)):]:
+            if total and end > at + least + 2:
+                break
+            kind = key_kind(unbase64(body[at:end]))
+            if kind:
+                base, first = places[bisect.bisect_right(places, (at, len(run))) - 1]
+                yield offset + first + at - base, offset + place, kind
+                done = end
+                break
+            if "=" in body[end - 1:end]:
+                break
+
+
+def hex_keys(run: str, offset: int) -> Iterator[Span]:
+    """Keys in a run of hexadecimal digits: each begins anywhere and ends with the run."""
+    for m in HEX_STARTS.finditer(run):
+        left = len(run) - m.start()
+        if left % 2 or left < 64:
+            continue
+        if m[0] == "30" and 2 * (der_size(binascii.unhexlify(run[m.start():m.start() + 12])) or 0) != left:
+            continue
+        kind = key_kind(binascii.unhexlify(run[m.start():]))
+        if kind:
+            yield offset + m.start(), offset + len(run), kind
+            return
 
 
 def base_spans(text: str) -> list[Span]:

@@ -41,6 +41,29 @@ def test_structures_are_confirmed_and_broken_ones_are_not():
     assert kinds("Q" * 200) == [] and kinds("M" * 400) == []
 
 
+def test_keys_in_escaped_wrapped_and_glued_text():
+    b64 = lambda d: base64.b64encode(d).decode()
+    lines = [b64(RSA)[i:i + 64] for i in range(0, len(b64(RSA)), 64)]
+    armour = ["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"]
+    assert "pem" in kinds(json.dumps({"private_key": "\n".join(armour)}))
+    assert "pem" in kinds(" +\n".join(f'"{x}\\n"' for x in armour).replace(f'"{armour[0]}', armour[0], 1))
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        text = "key:" + end + end.join(lines) + end + "and so on"
+        (start, stop, kind), = [x for x in S.scan(text)[1] if x[2] == "der"]
+        assert text[start:].startswith(lines[0]) and text[:stop].endswith(lines[-1])
+    for before in ("/", "_", "-", "x", "path/to"):
+        for data, kind in ((EC, "der"), (SSH, "ssh")):
+            text = before + b64(data)
+            assert [(a, k) for a, _, k in S.scan(text)[1] if k in ("der", "ssh")] == [(len(before), kind)]
+    two = b64(EC) + "\n" + b64(PUBLIC)
+    assert kinds(two) == ["der", "der"]
+    assert "ssh" in kinds("x " + SSH.hex()) and "der" in kinds("x ab" + EC.hex())
+    scheme = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b""))
+    assert kinds(b64(der(0x30, scheme + der(4, bytes(48))))) == ["der"]
+    hashed = der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b""))
+    assert kinds(b64(der(0x30, hashed + der(4, bytes(32))))) == []
+
+
 def test_base_spans():
     text = "é password = 'hunter2!' TOKEN: abc api-key=1234567 apikey=1234567 AKIA" + "A" * 16 + " " + "0a" * 12 + " " + "0a" * 11
     base = S.base_spans(text)
