@@ -3,8 +3,9 @@
 The index holds, for each licence template, its words with their positions. How rare a word is
 comes from the corpus: one aggregation counts in how many documents each template word occurs
 (at most as many rows as the templates have words, whatever the corpus). Each template is found
-by its ``ANCHORS`` words of highest inverse document frequency: a file's words among them are
-looked up, every posting votes for the place where its template would start (position in the
+by the ``ANCHORS`` words of its mandatory phrase with the highest inverse document frequency, so
+that every file with the phrase is verified, whatever else it or other files hold: a file's words
+among them are looked up, every posting votes for the place where its template would start (position in the
 file less position in the template), and places with two votes or more are verified: all words
 of the template's mandatory phrase must stand at their relative positions. The score is the
 largest share of a template's words that stand where they should; a base phrase counts as 1.
@@ -89,10 +90,10 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
 
 
 def anchors(total: int, frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> list[list[int]]:
-    """Positions of each template's words of highest IDF among those that files hold; earlier ones first among equals."""
+    """Positions of the words of highest IDF in each mandatory phrase, if files hold them; earlier ones first among equals."""
     def idf(word: str) -> float:
         return math.log((total + 1) / (frequencies.get(word, 0) + 1))
-    held = [[i for i, w in enumerate(t.words) if frequencies.get(w)] for t in templates]
+    held = [[i for i in range(*t.mandatory) if frequencies.get(t.words[i])] for t in templates]
     return [sorted(sorted(h, key=lambda i, t=t: (-idf(t.words[i]), i))[:ANCHORS]) for t, h in zip(templates, held)]
 
 

@@ -156,6 +156,18 @@ def test_licenses(spark, docs, texts):
     assert got == {1: "bsd", 2: "", 3: ""}
 
 
+def test_every_file_with_a_mandatory_phrase_is_labelled(spark):
+    """The rarest held words of the long MIT template lie outside its mandatory phrase."""
+    phrase = "permission is hereby granted free of charge to any person obtaining a"
+    rows = [(k, phrase + " thing of its own") for k in range(6)] + [(9, "associated documentation files"), (10, "for any person and a charge")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k][0] == "mit" and got[k][1] >= 12 / 20 for k in range(6)) and got[9] == got[10] == ("", 0.0)
+    # In each template, where its other words are rarer.
+    for t in licenses.TEMPLATES:
+        found = licenses.anchors(5, {w: 1 + 2 * (w in t.words[slice(*t.mandatory)]) for w in t.words}, (t,))[0]
+        assert len(found) >= 2 and all(t.mandatory[0] <= p < t.mandatory[1] for p in found)
+
+
 def test_warc(spark):
     rows = [(1, "u", "same"), (2, None, "same"), (3, "v", None), (4, "w", ""), (5, "x", "a\r\n\r\nb é"), (5, "x", "a\r\n\r\nb é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
