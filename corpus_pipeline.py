@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
+    """Of each group of near copies one row, that of the smallest id."""
     return ngram_join.one_per_group(docs)
 
 
@@ -51,7 +51,7 @@ STAGES = [
     ("tokens", to_tokens),
 ]
 
-#: Token ids and decoded secrets are beyond SQL; a brute-force version in the tests takes its place.
+#: Token ids and decoded secrets are beyond SQL. No brute-force version of the whole chain takes its place yet.
 ORACLE_SQL = None
 
 
