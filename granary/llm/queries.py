@@ -9,7 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity, warc
+from granary.llm import (
+    bpe, fingerprints, licenses, merkle, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity, warc,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -36,9 +38,11 @@ QUERIES: dict[str, Build] = {
     "op8_ngram_join": _over("documents", ngram_join.joined),
     "op9_warc": _over("pages", warc.report),
     "op10_quality_rules": _over("documents", quality.report),
+    "op12_merkle_manifest": _over("documents", merkle.report),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mix": mixing.copies_sql(),
     "op10_quality_rules": quality.report_sql(),
+    "op12_merkle_manifest": merkle.report_sql(),
 }
