@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import (
-    bpe, fingerprints, licenses, merkle, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity, warc,
+    bpe, fingerprints, language, licenses, merkle, mixing, ngram_join, quality, secret_scan, substring_dedup, toxicity, warc, whitening,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,9 @@ QUERIES: dict[str, Build] = {
     "op8_ngram_join": _over("documents", ngram_join.joined),
     "op9_warc": _over("pages", warc.report),
     "op10_quality_rules": _over("documents", quality.report),
+    "op11_language_id": _over("documents", language.report),
     "op12_merkle_manifest": _over("documents", merkle.report),
+    "op13_whitening": _over("embeddings", whitening.report),
 }
 
 ORACLE_SQL: dict[str, str] = {

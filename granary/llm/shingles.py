@@ -18,7 +18,8 @@ def finished(x: np.ndarray) -> np.ndarray:
 
 
 def multiplier(i: int) -> np.uint64:
-    return np.uint64((_STEP * (2 * i + 3)) & _MASK | 1)
+    """Mixed, so that multipliers are in no progression: else ``a b b a`` and ``b a a b`` would hash alike."""
+    return finished(np.array([(_STEP * (i + 1)) & _MASK], np.uint64))[0] | np.uint64(1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
