@@ -7,10 +7,11 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from granary.functions.numeric import pair_count, safe_corr
+from granary.functions.numeric import log_of, pair_count, safe_corr, zero_if_null
 from granary.operators.panel import best_row, top_groups, with_keys
-from granary.operators.series import Series, as_monthly
+from granary.operators.series import Series, as_monthly, interpolate
 
 #: Fewest rows for a correlation, and for one of its two phases.
 MIN_ROWS, MIN_PHASE_ROWS = 20, 10
@@ -73,16 +74,42 @@ def most_observed(corrs: DataFrame, n: int = 4, key: str = "commodity_group") ->
 def lagged_correlation(df: DataFrame, s: Series, target: str, feature: str, max_lag: int) -> DataFrame:
     """Correlation of the target with the feature 0..max_lag months earlier, per series.
 
-    One window pass yields all lags; they become aggregate columns, then rows.
+    ``df`` is a monthly series without gaps in either column (see :func:`lag_series`). A series
+    becomes one row of arrays as long as the calendar: values about their means, and running
+    sums of them and of their squares, so that a lag's own sums are differences of two entries
+    and only the products of the shifted arrays are added up per lag.
     """
-    w = s.window()
-    lagged = as_monthly(df, s).select(
-        *s.keys, target, *[F.lag(feature, k).over(w).alias(f"_l{k}") for k in range(max_lag + 1)])
-    wide = lagged.groupBy(*s.keys).agg(F.array(*[
-        F.struct(F.lit(k).alias("lag"), pair_count(F.col(target), F.col(f"_l{k}")).alias("n"),
-                 safe_corr(F.col(target), F.col(f"_l{k}")).alias("corr"))
-        for k in range(max_lag + 1)]).alias("_a"))
-    return wide.select(*s.keys, F.inline("_a"))
+    w, whole = s.window().rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*s.keys)
+    y, x = (F.col(c) - F.avg(c).over(whole) for c in (target, feature))
+    rows = df.select(*s.keys, s.time, y.alias("y"), x.alias("x")).select(
+        *s.keys, F.struct(F.col(s.time).alias("t"), "y", "x", F.sum("y").over(w).alias("sy"), F.sum("x").over(w).alias("sx"),
+                          F.sum(F.col("y") * F.col("y")).over(w).alias("syy"), F.sum(F.col("x") * F.col("x")).over(w).alias("sxx")).alias("m"))
+    arrays = rows.groupBy(*s.keys).agg(F.array_sort(F.collect_list("m")).alias("m"))
+    n = F.size("m")
+
+    def at(k: Column) -> Column:
+        size = n - k
+        late, early = F.slice("m", k + 1, size), F.slice("m", 1, size)
+        head = lambda c: F.when(k > 0, F.element_at("m", F.greatest(k, F.lit(1)))[c]).otherwise(0.0)
+        sy, syy = (F.element_at("m", n)[c] - head(c) for c in ("sy", "syy"))
+        sx, sxx = (F.element_at("m", size)[c] for c in ("sx", "sxx"))
+        sxy = F.aggregate(F.zip_with(late, early, lambda a, b: a["y"] * b["x"]), F.lit(0.0), lambda total, v: total + v)
+        varies = lambda part, c: F.array_min(F.transform(part, lambda v: v[c])) < F.array_max(F.transform(part, lambda v: v[c]))
+        top = sxy - sx * sy / size
+        r = F.try_divide(top, F.sqrt(F.greatest(syy - sy * sy / size, F.lit(0.0)) * F.greatest(sxx - sx * sx / size, F.lit(0.0))))
+        return F.struct(k.alias("lag"), size.cast("long").alias("n"),
+                        F.when((size >= 2) & varies(late, "y") & varies(early, "x"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"))
+
+    lags = F.sequence(F.lit(0), F.least(F.lit(max_lag), n - 1))
+    return arrays.select(*s.keys, F.inline(F.transform(lags, at)))
+
+
+def lag_series(df: DataFrame, s: Series, price: str, feature: str) -> DataFrame:
+    """Monthly log price without gaps, beside the feature with 0 (its mean) where it is missing;
+    months before the first price are left out."""
+    filled = interpolate(as_monthly(df, s), s, price)
+    out = filled.select(*s.keys, s.time, log_of(F.col(price)).alias(price), zero_if_null(F.col(feature)).alias(feature))
+    return out.filter(F.col(price).isNotNull())
 
 
 def strongest_lag(lags: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from granary.functions.numeric import log_of
 from granary.operators.panel import best_row
@@ -43,6 +44,10 @@ class Order:
         seasonal = lambda n: [self.season * k for k in range(1, n + 1)]
         return sorted({*range(1, self.p + 1), *seasonal(self.sp)}), sorted({*range(1, self.q + 1), *seasonal(self.sq)})
 
+    def filters(self) -> list[int]:
+        """Months back of each difference."""
+        return [1] * self.d + [self.season] * self.sd
+
     def label(self) -> str:
         return f"({self.p},{self.d},{self.q})x({self.sp},{self.sd},{self.sq},{self.season})"
 
@@ -58,53 +63,139 @@ def _lagged(v: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
     return np.column_stack([v[start - k: len(v) - k] for k in lags]) if lags else np.empty((len(v) - start, 0))
 
 
-def _least_squares(design: np.ndarray, target: np.ndarray):
-    coef = np.linalg.lstsq(design, target, rcond=None)[0] if design.shape[1] else np.empty(0)
-    return coef, target - design @ coef
+#: A column whose part beyond the others is a smaller share of its square than this is not swept in.
+COLLINEAR = 1e-6
+
 
+class Sweep:
+    """Least squares of one target on any columns of one table, by sweeping its Gram matrix.
 
-def _project(y: np.ndarray, x: np.ndarray, x_next: np.ndarray, o: Order):
+    The matrix is formed once, of columns scaled to length one (centred where there is a
+    constant). From one fit to the next only the columns that differ are swept in or out, so
+    subsets in Gray-code order cost one sweep each. Nearly collinear columns are solved by
+    orthogonal decomposition instead, which gives the shortest coefficients.
+    """
+
+    def __init__(self, columns: np.ndarray, target: np.ndarray, constant: bool):
+        self.columns, self.target, self.constant = columns, target, constant
+        z = np.column_stack([columns, target])
+        self.means = z.mean(axis=0) if constant else np.zeros(z.shape[1])
+        flat = 1e-12 * np.linalg.norm(z, axis=0)
+        z = z - self.means
+        self.scale = np.linalg.norm(z, axis=0)
+        self.scale[self.scale <= flat] = 1.0
+        z = z / self.scale
+        self.gram = z.T @ z
+        self.inside: set[int] = set()
+
+    def _turn(self, k: int) -> bool:
+        """Sweeps column ``k`` in, or out again; False where it is collinear with those inside."""
+        a, pivot = self.gram, self.gram[k, k]
+        if k not in self.inside and pivot < COLLINEAR:
+            return False
+        row, column = a[k] / pivot, a[:, k].copy()
+        a -= np.outer(column, row)
+        a[k], a[:, k] = row, (column if k in self.inside else -column) / pivot * (-1 if k in self.inside else 1)
+        a[k, k] = 1 / pivot
+        self.inside ^= {k}
+        return True
+
+    def fit(self, wanted: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (a constant first) and residuals."""
+        wanted = list(wanted)
+        design = self.columns[:, wanted]
+        if self.constant:
+            design = np.hstack([np.ones((len(design), 1)), design])
+        if all([self._turn(k) for k in sorted(self.inside ^ set(wanted), key=lambda k: k in wanted)]):
+            coef = self.gram[wanted, -1] * self.scale[-1] / self.scale[wanted]
+            if self.constant:
+                coef = np.concatenate([[self.means[-1] - coef @ self.means[wanted]], coef])
+        else:
+            coef = np.linalg.lstsq(design, self.target, rcond=None)[0]
+        return coef, self.target - design @ coef
+
+
+class Sample:
+    """Training months of one series with the factors of the months to come; keeps what its models share."""
+
+    def __init__(self, y: np.ndarray, x: np.ndarray, x_next: np.ndarray):
+        self.y, self.x, self.x_next = y, x, x_next
+        self.kept: dict[tuple, object] = {}
+
+    def once(self, key: tuple, make):
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key]
+
+    def differenced(self, o: Order):
+        """Series and factors after the differences of an order, and what undoes them; None if too short."""
+        def make():
+            w, u, heads = self.y, np.vstack([self.x, self.x_next]), []
+            for k in o.filters():
+                if len(w) <= k:
+                    return None
+                heads.append(w[-k:])
+                w, u = w[k:] - w[:-k], u[k:] - u[:-k]
+            return w, u[: len(w)], u[len(w):], heads
+        return self.once(("w", o.d, o.sd), make)
+
+    def shocks(self, o: Order, exog: Sequence[int], w: np.ndarray, u: np.ndarray):
+        """Residuals of a long autoregression and the months it needs; None if too short."""
+        def make():
+            skip = max(1, min(10, len(w) // 5))
+            rows = len(w) - skip
+            if rows <= skip + len(exog) + 1:
+                return None
+            e = np.zeros(len(w))
+            long_ar = np.hstack([np.ones((rows, 1)), _lagged(w, range(1, skip + 1), skip), u[skip:, exog]])
+            e[skip:] = w[skip:] - long_ar @ np.linalg.lstsq(long_ar, w[skip:], rcond=None)[0]
+            return e, skip
+        return self.once(("e", o.d, o.sd, tuple(exog)), make)
+
+    def sweep(self, o: Order, start: int, exog: Sequence[int], w: np.ndarray, u: np.ndarray, e: np.ndarray, skip: int):
+        """The table of every lag an order with this start may use, to be swept; and the place of each."""
+        def make():
+            ar = [k for k in sorted({1, o.season}) if k <= start]
+            ma = [k for k in sorted({1, o.season}) if skip and skip + k <= start]
+            table = np.hstack([_lagged(w, ar, start), _lagged(e, ma, start), u[start:]])
+            places = {("ar", k): i for i, k in enumerate(ar)} | {("ma", k): len(ar) + i for i, k in enumerate(ma)}
+            return Sweep(table, w[start:], not o.filters()), places, len(ar) + len(ma)
+        return self.once(("s", o.d, o.sd, start, skip, tuple(exog) if skip else ()), make)
+
+
+def _project(sample: Sample, o: Order, exog: Sequence[int]):
     """Point forecast, its standard error and AIC; None where the series is too short."""
-    filters = [1] * o.d + [o.season] * o.sd
-    ar, ma = o.lags()
-    w, u = y, np.vstack([x, x_next])
-    heads = []
-    for k in filters:
-        if len(w) <= k:
-            return None
-        heads.append(w[-k:])
-        w, u = w[k:] - w[:-k], u[k:] - u[:-k]
-    u, u_next = u[: len(w)], u[len(w):]
+    ready = sample.differenced(o)
+    if ready is None:
+        return None
+    w, u, u_next, heads = ready
+    filters, (ar, ma) = o.filters(), o.lags()
     const = 0 if filters else 1
-    e = np.zeros(len(w))
-    skip = 0
+    e, skip = np.zeros(len(w)), 0
     if ma:
-        skip = max(1, min(10, len(w) // 5))
-        rows = len(w) - skip
-        if rows <= skip + u.shape[1] + 1:
+        ready = sample.shocks(o, exog, w, u)
+        if ready is None:
             return None
-        long_ar = np.hstack([np.ones((rows, 1)), _lagged(w, range(1, skip + 1), skip), u[skip:]])
-        e[skip:] = _least_squares(long_ar, w[skip:])[1]
+        e, skip = ready
     start = max(max(ar, default=0), skip + max(ma, default=0))
     n = len(w) - start
-    n_params = const + len(ar) + len(ma) + u.shape[1]
+    n_params = const + len(ar) + len(ma) + len(exog)
     if n <= n_params + 1:
         return None
-    design = np.hstack([np.ones((n, const)), _lagged(w, ar, start), _lagged(e, ma, start), u[start:]])
-    coef, err = _least_squares(design, w[start:])
+    sweep, places, first = sample.sweep(o, start, exog, w, u, e, skip)
+    coef, err = sweep.fit([*(places["ar", k] for k in ar), *(places["ma", k] for k in ma), *(first + i for i in exog)])
     sse = float(err @ err)
     if not np.isfinite(sse) or sse <= 0:
         return None
     phi, theta = coef[const: const + len(ar)], coef[const + len(ar): const + len(ar) + len(ma)]
-    beta = coef[const + len(ar) + len(ma):]
+    effect = u_next[:, exog] @ coef[const + len(ar) + len(ma):] + (coef[0] if const else 0.0)
     h = len(u_next)
     shocks = np.concatenate([e[:start], err, np.zeros(h)])
     path = np.concatenate([w, np.zeros(h)])
     impulse = np.zeros(h)
     for t in range(h):
         i = len(w) + t
-        path[i] = (coef[0] if const else 0.0) + sum(c * path[i - k] for c, k in zip(phi, ar)) \
-            + sum(c * shocks[i - k] for c, k in zip(theta, ma)) + u_next[t] @ beta
+        path[i] = effect[t] + sum(c * path[i - k] for c, k in zip(phi, ar)) + sum(c * shocks[i - k] for c, k in zip(theta, ma))
         impulse[t] = (t == 0) + sum(c * impulse[t - k] for c, k in zip(phi, ar) if k <= t) \
             + sum(c for c, k in zip(theta, ma) if k == t)
     step = path[len(w):]
@@ -119,6 +210,15 @@ def _project(y: np.ndarray, x: np.ndarray, x_next: np.ndarray, o: Order):
     return step, np.sqrt(sigma2 * np.cumsum(impulse ** 2)), -2 * llf + 2 * (n_params + 1), n
 
 
+def gray_rank(members: Sequence[int]) -> int:
+    """Place of a subset in Gray-code order, in which neighbours differ in one member."""
+    mask, rank = sum(1 << i for i in members), 0
+    while mask:
+        rank ^= mask
+        mask >>= 1
+    return rank
+
+
 def prepare(df: DataFrame, s: Series, price: str, eps: float = 1e-6) -> DataFrame:
     """Monthly grid, interpolated price and its log."""
     return interpolate(as_monthly(df, s), s, price).withColumn("log_price", log_of(F.col(price), eps))
@@ -151,22 +251,29 @@ def _forecast_groups(df: DataFrame, s: Series, y: str, specs: Sequence[Spec], si
     used = sorted({x for _, xs in specs for x in xs})
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + _FORECAST
 
+    at_of = {x: i for i, x in enumerate(used)}
+    ordered = sorted(specs, key=lambda spec: gray_rank([at_of[x] for x in spec[1]]))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_month")
         target = pdf["_y"].to_numpy(float)
-        factors = {x: pdf[x].to_numpy(float) for x in used}
+        x = pdf[used].to_numpy(float).reshape(len(pdf), len(used))
         held = (pdf[split] == "test").to_numpy() if split else None
-        parts = []
-        for o, xs in specs:
-            x = np.column_stack([factors[c] for c in xs]) if xs else np.empty((len(pdf), 0))
-            rows = np.flatnonzero(~np.isnan(target) & ~np.isnan(x).any(axis=1))
+        parts, samples = [], {}
+        for o, xs in ordered:
+            exog = [at_of[c] for c in xs]
+            rows = np.flatnonzero(~np.isnan(target) & ~np.isnan(x[:, exog]).any(axis=1))
             if split:
                 test, train = rows[held[rows]], rows[~held[rows]]
             else:
                 train, test = rows[:-sizes.hold_out], rows[-sizes.hold_out:]
             if len(rows) < sizes.rows or len(test) < sizes.test_rows or not len(train):
                 continue
-            got = _project(target[train], x[train], x[test], o)
+            # Specs with the same complete months share one table; a factor missing in one of them is in no such spec.
+            known = rows.tobytes()
+            if known not in samples:
+                samples[known] = Sample(target[train], np.nan_to_num(x[train]), np.nan_to_num(x[test]))
+            got = _project(samples[known], o, exog)
             if got is None or not np.isfinite(got[0]).all():
                 continue
             parts.append((o.label(), ", ".join(xs), test, got))
@@ -213,7 +320,7 @@ def forecast_errors(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def feature_subsets(df: DataFrame, s: Series, y: str, candidates: Sequence[str], max_vars: int | None = None,
                     hold_out: int = HOLD_OUT) -> DataFrame:
-    """All non-empty feature subsets in one job, to be ranked by R2 within each series.
+    """All non-empty feature subsets in one job, ranked by R2 within each series.
 
     The test months are the last of the series whatever the subset; a subset counts with at
     least 50 complete rows, 6 of them in the test months.
@@ -223,7 +330,9 @@ def feature_subsets(df: DataFrame, s: Series, y: str, candidates: Sequence[str],
     sizes = Sizes(SUBSET_MIN_ROWS, SUBSET_MIN_TEST, hold_out)
     out = _forecast_groups(marked, s, y, [(SUBSET_ORDER, c) for c in subsets], sizes, "split")
     errors = forecast_errors(_priced(out, s.keys), s.keys)
-    return errors.select(*s.keys, "features", F.size(F.split("features", ", ")).alias("num_vars"), "n", "rmse", "r2", "aic")
+    rank = F.row_number().over(W.partitionBy(*s.keys).orderBy(F.desc_nulls_last("r2"), "features"))
+    return errors.select(*s.keys, "features", F.size(F.split("features", ", ")).alias("num_vars"), "n", "rmse", "r2", "aic",
+                         rank.alias("rank"))
 
 
 def order_search(df: DataFrame, s: Series, y: str, exog: Sequence[str], orders: Sequence[Order] | None = None,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,9 +66,9 @@ def fill_nearest(df: DataFrame, value: str, time: str = "time", max_radius: floa
     ``iy``, then the smaller ``ix``. Months without any value stay as they are.
 
     The search is split by axis. Along each grid line the nearest value to the left and to
-    the right is found with running windows; a line is as long as the grid is wide. Then
-    one array per column, as long as the grid is high, is searched up and down, no further
-    than the distance already found on the own line. No cell pairs are joined.
+    the right is found with running windows; a line is as long as the grid is wide. Then each
+    column, as long as the grid is high, takes the lower envelope of its lines' distances in
+    one pass up and one down (see :func:`nearest_rows`). No cell pairs are joined.
     """
     line = W.partitionBy(time, "iy")
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("ix").alias("sx"), F.col(value).alias("v")))
@@ -75,31 +77,67 @@ def fill_nearest(df: DataFrame, value: str, time: str = "time", max_radius: floa
     sides = df.select(time, "iy", "ix", value, left.alias("l"), right.alias("r"))
     use_left = F.col("r").isNull() | (F.col("ix") - F.col("l.sx") <= F.col("r.sx") - F.col("ix"))
     nearest = sides.withColumn("near", F.when(use_left, F.col("l")).otherwise(F.col("r")))
-    cell = F.struct(
-        "iy", F.col(value).alias("own"), F.abs(F.col("ix") - F.col("near.sx")).alias("dx"),
-        F.col("near.sx").alias("sx"), F.col("near.v").alias("v"))
-    columns = nearest.groupBy(time, "ix").agg(F.array_sort(F.collect_list(cell)).alias("col"))
-
-    limit = F.lit(2 ** 30) if max_radius is None else F.lit(int(max_radius))
-    limit2 = F.lit(float("inf")) if max_radius is None else F.lit(float(max_radius) ** 2)
-
-    def search(c, position):
-        reach = F.least(F.coalesce(c["dx"], limit), limit, F.size("col"))
-        start = F.greatest(F.lit(1), position + 1 - reach)
-        span = F.slice("col", start, position + 1 + reach - start + 1)
-        options = F.transform(
-            F.filter(span, lambda s: s["dx"].isNotNull()),
-            lambda s: F.struct(
-                ((s["iy"] - c["iy"]) * (s["iy"] - c["iy"]) + s["dx"] * s["dx"]).alias("d2"),
-                s["iy"].alias("sy"), s["sx"].alias("sx"), s["v"].alias("v")))
-        best = F.array_min(options)
-        return F.when(best["d2"] <= limit2, best["v"])
-
-    filled = F.transform("col", lambda c, i: F.struct(
-        c["iy"].alias("iy"), c["own"].alias("own"), F.coalesce(c["own"], search(c, i)).alias("fill")))
-    return columns.select(time, "ix", F.explode(filled).alias("c")).select(
-        time, F.col("c.iy").alias("iy"), "ix", F.col("c.fill").alias(value),
-        (F.col("c.own").isNull() & F.col("c.fill").isNotNull()).alias("was_filled"))
+    cell = F.struct(F.col("iy").cast("long").alias("iy"), F.col(value).alias("own"),
+                    F.abs(F.col("ix") - F.col("near.sx")).cast("long").alias("dx"), F.col("near.v").alias("v"))
+    columns = nearest.groupBy(time, "ix").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    limit = float("inf") if max_radius is None else float(max_radius) ** 2
+
+    def search(batches):
+        for batch in batches:
+            cells = batch.column("cells")
+            flat, ends = cells.flatten(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
+            rows, reach = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("iy", "dx"))
+            source, squared = np.empty(len(flat), np.int64), np.empty(len(flat))
+            for start, end in zip(ends[:-1], ends[1:]):
+                place, d2 = nearest_rows(rows[start:end], reach[start:end])
+                source[start:end], squared[start:end] = place + start, d2
+            known = squared <= limit
+            filled = flat.field("v").take(pa.array(np.where(known, source, 0), mask=~known))
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([batch.column(time), batch.column("ix"), listed(flat.field("iy")), listed(flat.field("own")), listed(filled)],
+                                             names=[time, "ix", "iy", "own", "fill"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in nearest.schema}
+    schema = f"`{time}` {kinds[time]}, ix {kinds['ix']}, iy array<long>, own array<{kinds[value]}>, fill array<{kinds[value]}>"
+    cells = columns.select(time, "ix", "cells").mapInArrow(search, schema).select(
+        time, "ix", F.explode(F.arrays_zip("iy", "own", "fill")).alias("c"))
+    own, fill = F.col("c.own"), F.col("c.fill")
+    return cells.select(
+        time, F.col("c.iy").cast(kinds["iy"]).alias("iy"), "ix", F.coalesce(own, fill).alias(value),
+        (own.isNull() & fill.isNotNull()).alias("was_filled"))
+
+
+def nearest_rows(rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a column the place of the row whose value is nearest, and the squared distance.
+
+    ``rows`` ascend; ``reach`` is each row's distance to a value on its own line (NaN: the line
+    has none). The squared distances from one line form a parabola along the column. Going up, a
+    stack keeps the parabolas of the lower envelope, each with the first row where it is strictly
+    less than the one before it, so ties stay with the smaller row; going down, the rows read
+    the stack off. Both passes are linear, in integers. Without any value the distance is infinite.
+    """
+    n = len(rows)
+    place, best = np.zeros(n, np.int64), np.full(n, np.inf)
+    offered = np.flatnonzero(~np.isnan(reach))
+    if not len(offered):
+        return place, best
+    at, height = rows.tolist(), (np.nan_to_num(reach).astype(np.int64) ** 2).tolist()
+    stack, first = [], []
+    for i in offered.tolist():
+        start = at[0]
+        while stack:
+            k = stack[-1]
+            start = 1 + (at[i] * at[i] - at[k] * at[k] + height[i] - height[k]) // (2 * (at[i] - at[k]))
+            if start > first[-1]:
+                break
+            stack.pop()
+            first.pop()
+            start = at[0]
+        stack.append(i)
+        first.append(start)
+    owner = np.array(stack)[np.searchsorted(np.array(first), rows, side="right") - 1]
+    squares = np.array(height)
+    return owner, ((rows - rows[owner]) ** 2 + squares[owner]).astype(float)
 
 
 @dataclass(frozen=True)

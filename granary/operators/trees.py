@@ -1,51 +1,161 @@
-"""Tree models of prices, fitted by MLlib."""
+"""Tree models of prices: a pooled forest by MLlib, forests and boosting per series.
+
+A series model is fitted to one bounded monthly series, which travels as one row of arrays; its
+trees grow level by level on columns that were sorted once, all trees of a forest, all lags of a
+scan, or several series, in the same array operations.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from typing import Sequence
+import zlib
+from typing import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from granary.operators.series import Series, calendar_features, lag_months, rolling_past, split_tail
-from granary.operators.summary import fit_metrics
+from granary.operators.series import Series, calendar_features, lag_months, rolling_past, spread
 
 # Sizes of the models. MLlib trees end at depth 30.
 SEED = 42
 PANEL_FOREST = {"numTrees": 100, "maxDepth": 30}
-SERIES_FOREST = {"numTrees": 200, "maxDepth": 10}
-SERIES_BOOSTING = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5}
-SCAN_BOOSTING = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 4}
+SERIES_FOREST = {"trees": 200, "depth": 10}
+SERIES_BOOSTING = {"rounds": 200, "rate": 0.05, "depth": 5}
+SCAN_BOOSTING = {"rounds": 100, "rate": 0.05, "depth": 4}
 PRICE_LAGS = (1, 3, 6, 12, 24)
 SCAN_LAGS = tuple(range(25))
 SCAN_MIN_ROWS = 36
-#: Cut points tried per feature. MLlib's own 32 would merge districts and prices into 32 classes;
-#: a feature with at most this many values is split exactly. Memory per tree node grows with it.
+#: Boosting leaves are shrunk by one row's weight, and a split must gain more than this.
+PENALTY, LEAST_GAIN = 1.0, 1e-6
+#: Cut points tried per feature of the pooled forest. MLlib's own 32 would merge districts and prices into
+#: 32 classes; a feature with at most this many values is split exactly. Memory per tree node grows with it.
 MAX_BINS = 256
 
 
-def forest(target: str, **params) -> RandomForestRegressor:
-    """A forest that weighs all features at every split. The node of each row is cached:
-    passing rows down trees of depth 30 anew for every level costs several times the fit."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol="predicted", featureSubsetStrategy="all",
-        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024,
-        **{"maxBins": MAX_BINS, **PANEL_FOREST, **params})
+# --- trees -------------------------------------------------------------------------------
 
+def grown(x: np.ndarray, order: np.ndarray, g: np.ndarray, w: np.ndarray, depth: int, penalty: float, least: float):
+    """One regression tree for each of many fits: value of every row's leaf, gain by feature.
 
-def boosting(target: str, **params) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features", labelCol=target, predictionCol="predicted", lossType="squared",
-        featureSubsetStrategy="all", seed=SEED, **{"maxBins": MAX_BINS, **SERIES_BOOSTING, **params})
+    ``x`` is (fits, features, rows) without NaN and ``order`` sorts its rows; ``g`` and ``w`` are
+    (fits, rows): weighted targets and weights. Rows of weight 0 are only sent down the tree. A
+    node's value is sum(g) / (sum(w) + penalty); a split lies midway between two neighbouring
+    values of the node and gains the squares it explains. Of equal gains, give or take the last
+    bits of the squares, the first feature and the smallest value win.
+    """
+    fits, features, n = x.shape
+    at, cells = np.arange(fits)[:, None], x.size
+    # Flat places of a fit's rows in (fits, rows) and of a column's in (fits, features, rows).
+    of_fit, of_column = (np.arange(fits) * n)[:, None, None], (np.arange(fits * features) * n).reshape(fits, features, 1)
+    equal = 1e-12 * np.divide(g ** 2, w, out=np.zeros_like(g), where=w > 0).sum(axis=1)
+    node, still = np.zeros((fits, n), np.int16), np.ones((fits, n), bool)
+    out, gains = np.zeros((fits, n)), np.zeros((fits, features))
+    for level in range(depth + 1):
+        k = 2 ** level
+        live = still & (w > 0)
+        own = (at * k + node)[live]
+        gt = np.bincount(own, weights=g[live], minlength=fits * k).reshape(fits, k)
+        wt = np.bincount(own, weights=w[live], minlength=fits * k).reshape(fits, k)
+        value = np.divide(gt, wt + penalty, out=np.zeros((fits, k)), where=wt > 0)
+        out = np.where(still, value[at, node], out)
+        if level == depth:
+            break
+        # Rows of a node stay sorted by value: a stable sort by node keeps the order it finds.
+        held = np.where(live, node, np.int16(k))
+        again = np.argsort(held.ravel().take(order + of_fit), axis=2, kind="stable")
+        order = order.ravel().take(again + of_column)
+        row, cell = order + of_fit, order + of_column
+        s, xs = held.ravel().take(row), x.ravel().take(cell)
+        left_g, left_w = (np.where(live, v, 0.0).ravel().take(row).cumsum(2) for v in (g, w))
+        name = s + (np.arange(fits) * (k + 1))[:, None, None]
 
+        def of_node(v: np.ndarray) -> np.ndarray:
+            return np.append(v, np.zeros((fits, 1)), axis=1).ravel().take(name)
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+        left_g -= of_node(gt.cumsum(1) - gt)
+        left_w -= of_node(wt.cumsum(1) - wt)
+        right_g, right_w = of_node(gt) - left_g, of_node(wt) - left_w
+        cuts = np.zeros(x.shape, bool)
+        cuts[..., :-1] = (s[..., :-1] == s[..., 1:]) & (s[..., :-1] < k) & (xs[..., :-1] < xs[..., 1:])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left_g * left_g / (left_w + penalty) + right_g * right_g / (right_w + penalty)
+        gain = np.where(cuts, gain, -np.inf).ravel()
+        # Best cut of each (fit, feature, node): its rows are neighbours.
+        first = np.ones(x.shape, bool)
+        first[..., 1:] = s[..., 1:] != s[..., :-1]
+        starts = np.flatnonzero(first)
+        top = np.maximum.reduceat(gain, starts)
+        hit = gain >= np.repeat(top - equal[starts // (features * n)], np.diff(np.append(starts, cells)))
+        place = np.minimum.reduceat(np.where(hit, np.arange(cells), cells), starts)
+        best, cut = np.full((fits, features, k + 1), -np.inf), np.zeros((fits, features, k + 1), np.int64)
+        where = (starts // (features * n), starts // n % features, s.ravel()[starts])
+        best[where], cut[where] = top, place
+        best = best[:, :, :k]
+        feature = (best >= best.max(axis=1, keepdims=True) - equal[:, None, None]).argmax(axis=1)
+        nodes = np.arange(k)[None, :]
+        gained = best[at, feature, nodes] - gt * value
+        cut = cut[at, feature, nodes]
+        split = gained > least
+        if not split.any():
+            break
+        low, high = xs.ravel()[cut], xs.ravel()[np.minimum(cut + 1, cells - 1)]
+        middle = (low + high) / 2
+        middle = np.where(middle > low, middle, high)
+        np.add.at(gains, (np.nonzero(split)[0], feature[split]), gained[split])
+        right = x[at, feature[at, node], np.arange(n)[None, :]] >= middle[at, node]
+        still &= split[at, node]
+        node = np.where(still, 2 * node + right, 0).astype(np.int16)
+    return out, gains
+
+
+def sorted_rows(x: np.ndarray) -> np.ndarray:
+    return np.argsort(x, axis=2, kind="stable")
+
+
+def boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int, rate: float, depth: int):
+    """Gradient boosting of the squared error for many fits: predictions of all rows, gain by feature."""
+    order = sorted_rows(x)
+    total = w.sum(axis=1, keepdims=True)
+    predicted = np.repeat((w * y).sum(axis=1, keepdims=True) / np.maximum(total, 1), y.shape[1], axis=1)
+    gains = np.zeros(x.shape[:2])
+    for _ in range(rounds):
+        step, gained = grown(x, order, w * (y - predicted), w, depth, PENALTY, LEAST_GAIN)
+        predicted += rate * step
+        gains += gained
+    return predicted, gains
+
+
+def bagged(x: np.ndarray, y: np.ndarray, train: np.ndarray, trees: int, depth: int, seed: int, at_once: int = 50):
+    """A forest on one (features, rows) table: mean prediction of each row, mean share of gain by feature.
 
+    Every tree draws as many training rows as there are, with replacement, and weighs all features at each split.
+    """
+    rows = np.flatnonzero(train)
+    middle = y[rows].mean()
+    least = 1e-12 * max(((y[rows] - middle) ** 2).sum(), 1e-300)
+    rng, order = np.random.default_rng(seed), sorted_rows(x[None])
+    total, gains = np.zeros(len(y)), np.zeros(len(x))
+    for start in range(0, trees, at_once):
+        size = min(at_once, trees - start)
+        drawn = rows[rng.integers(0, len(rows), (size, len(rows)))]
+        w = np.zeros((size, len(y)))
+        np.add.at(w, (np.arange(size)[:, None], drawn), 1.0)
+        many = (size, *x.shape)
+        value, gained = grown(np.broadcast_to(x, many), np.broadcast_to(order, many), w * (y - middle), w, depth, 0.0, least)
+        total += value.sum(axis=0)
+        gains += np.divide(gained, gained.sum(axis=1, keepdims=True), out=np.zeros_like(gained), where=gained.sum(axis=1, keepdims=True) > 0).sum(axis=0)
+    share = gains.sum()
+    return middle + total / trees, gains / share if share else gains
+
+
+# --- series ------------------------------------------------------------------------------
 
 def series_features(df: DataFrame, s: Series, target: str = "log_price", lags: Sequence[int] = PRICE_LAGS) -> DataFrame:
     """Price lags, rolling mean and deviation of the past and calendar columns.
@@ -59,55 +169,176 @@ def series_features(df: DataFrame, s: Series, target: str = "log_price", lags: S
     return calendar_features(out, s.time)
 
 
-def fit_and_score(df: DataFrame, model, features: Sequence[str], target: str, keep: Sequence[str] = (),
-                  back: bool = False):
-    """Fit on the rows marked ``train`` and predict all. ``back``: return prices from logs.
+#: A model takes tables of shape (series, features, rows), targets, training marks and a seed each,
+#: and returns predictions of all rows and the share of the gain by feature.
+Model = Callable[[np.ndarray, np.ndarray, np.ndarray, Sequence[int]], tuple[np.ndarray, np.ndarray]]
+#: Series fitted together.
+TOGETHER = 16
+
+
+def forest_model(trees: int, depth: int) -> Model:
+    def fit(x, y, train, seeds):
+        each = [bagged(x[i], y[i], train[i], trees, depth, seed) for i, seed in enumerate(seeds)]
+        return np.array([e[0] for e in each]), np.array([e[1] for e in each])
+    return fit
+
+
+def boosting_model(rounds: int, rate: float, depth: int) -> Model:
+    def fit(x, y, train, seeds):
+        predicted, gains = boosted(x, y, train.astype(float), rounds, rate, depth)
+        total = gains.sum(axis=1, keepdims=True)
+        return predicted, np.divide(gains, total, out=np.zeros_like(gains), where=total > 0)
+    return fit
+
+
+def series_arrays(df: DataFrame, s: Series, columns: Sequence[str]) -> DataFrame:
+    """One row per series: its months in order with the columns as doubles. A series is bounded by the calendar."""
+    month = F.struct(F.col(s.time).cast("date").alias("_month"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    return spread(df, s.keys).groupBy(*s.keys).agg(F.array_sort(F.collect_list(month)).alias("_months"))
+
+
+def _tables(batch: pa.RecordBatch) -> list[tuple[pa.Array, np.ndarray]]:
+    """Months and (columns, months) of each series of a batch, NaN where null."""
+    months = batch.column("_months")
+    flat, ends = months.flatten(), months.offsets.to_numpy() - months.offsets[0].as_py()
+    days = flat.field("_month")
+    values = np.array([flat.field(i + 1).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields - 1)], float)
+    return [(days[a:b], values[:, a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _padded(tables: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of (columns, rows) as one (tables, columns, rows), filled up with zeros; and which rows are theirs."""
+    n = max(t.shape[1] for t in tables)
+    out, held = np.zeros((len(tables), len(tables[0]), n)), np.zeros((len(tables), n), bool)
+    for i, t in enumerate(tables):
+        out[i, :, :t.shape[1]], held[i, :t.shape[1]] = t, True
+    return out, held
+
+
+def _named(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def series_fits(df: DataFrame, s: Series, target: str, features: Sequence[str], model: Model, hold_out: int = 12) -> DataFrame:
+    """One model per series: one row with its months (split, actual, predicted) and the weight of each feature.
 
-    Returns the predictions (``actual``, ``predicted``) and the fitted model.
+    ``df`` holds one row a month. Months without a value in any of the columns are left out; the
+    last ``hold_out`` of the others are the test. A series with no more months than that has no row.
     """
-    rows = assembled(df.dropna(subset=[target, *features]), features).select(*keep, "split", target, "features")
-    # MLlib reads its input several times; the panel behind it is a long plan.
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fitted = model.fit(rows.filter(F.col("split") == "train"))
-    finally:
-        rows.unpersist()
-    value = F.exp if back else (lambda c: F.col(c))
-    scored = fitted.transform(rows).select(
-        *keep, "split", value(target).alias("actual"), value("predicted").alias("predicted"))
-    return scored, fitted
+    keys = list(s.keys)
+    schema = (f"{_named(df, keys)}, months array<struct<month date, split string, actual double, predicted double>>, "
+              "weights array<double>")
+
+    def run(batches):
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            ready = []
+            for name, (days, values) in zip(names, _tables(batch)):
+                whole = np.flatnonzero(~np.isnan(values).any(axis=0))
+                if len(whole) > hold_out:
+                    ready.append((name, days.take(pa.array(whole)).to_pylist(), values[:, whole]))
+            for start in range(0, len(ready), TOGETHER):
+                part = ready[start:start + TOGETHER]
+                table, held = _padded([values for _, _, values in part])
+                sizes = held.sum(axis=1, keepdims=True)
+                train = np.arange(held.shape[1])[None] < sizes - hold_out
+                seeds = [zlib.crc32("|".join(map(str, name)).encode()) ^ SEED for name, _, _ in part]
+                predicted, weights = model(table[:, 1:], table[:, 0], train, seeds)
+                months = [[{"month": d, "split": "train" if t else "test", "actual": a, "predicted": p}
+                           for d, t, a, p in zip(days, train[i], table[i, 0].tolist(), predicted[i].tolist())]
+                          for i, (_, days, _) in enumerate(part)]
+                yield pa.RecordBatch.from_pydict({**{k: [name[j] for name, _, _ in part] for j, k in enumerate(keys)},
+                                                  "months": months, "weights": weights.tolist()}, schema=shape)
 
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    return series_arrays(df, s, [target, *features]).mapInArrow(run, schema)
 
-def importances(fitted, features: Sequence[str], spark, top: int | None = None) -> DataFrame:
-    """Features by importance; as many rows as the model has features."""
-    rows = [(f, float(v)) for f, v in zip(features, fitted.featureImportances.toArray())]
-    ranked = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
-    return ranked.limit(top) if top else ranked
+
+def fitted_months(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Actual and predicted prices by month, from models of log prices."""
+    return fits.select(*keys, F.inline("months")).withColumns({"actual": F.exp("actual"), "predicted": F.exp("predicted")})
+
+
+def feature_weights(fits: DataFrame, keys: Sequence[str], features: Sequence[str], top: int) -> DataFrame:
+    """The heaviest features of each series, ranked; equal weights in the order of the features."""
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = F.zip_with(names, F.col("weights"), lambda f, v: F.struct(f.alias("feature"), v.alias("importance")))
+    rows = fits.select(*keys, F.posexplode(pairs).alias("at", "pair")).select(*keys, "at", "pair.*")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("importance"), "at"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= top).drop("at")
 
 
 def drought_lag_scan(df: DataFrame, s: Series, target: str, index: str, flag: str, base: Sequence[str],
-                     lags: Sequence[int] = SCAN_LAGS, hold_out: int = 12, parallelism: int = 8, **params) -> DataFrame:
-    """One boosted model per lag of the index and its drought flag: R2 and RMSE in prices.
+                     lags: Sequence[int] = SCAN_LAGS, hold_out: int = 12, min_rows: int = SCAN_MIN_ROWS, **params) -> DataFrame:
+    """One boosted model per series and lag of the index and its drought flag: error on the last months.
 
-    ``df`` is monthly and carries the base features. The lagged columns of all fits come
-    from one window pass over a table the caller may have cached. Series with fewer than 36
-    complete rows at a lag are left out there. Several fits run at the same time.
+    ``df`` is a monthly panel without gaps and carries the base features. All lags of a series
+    are fitted together in the task that holds it. A lag with fewer than ``min_rows`` complete
+    months is left out. ``best`` marks the lag of the highest R2, the shortest of equal ones.
     """
-    wide = lag_months(lag_months(df, s, index, lags, "_i"), s, flag, lags, "_d")
-
-    def one(k: int) -> tuple | None:
-        features = [*base, f"_i_{k}", f"_d_{k}"]
-        rows = wide.select(*s.keys, s.time, target, *features).dropna(subset=[target, *features])
-        enough = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= SCAN_MIN_ROWS)
-        rows = split_tail(rows.join(enough.select(*s.keys), list(s.keys), "left_semi"), s, hold_out)
-        if rows.isEmpty():
-            return None
-        scored, _ = fit_and_score(rows, boosting(target, **{**SCAN_BOOSTING, **params}), features, target, back=True)
-        m = fit_metrics(scored.filter("split = 'test'"), []).first()
-        return k, m["n"], m["r2"], m["rmse"]
-
-    # One row per lag comes back: a fit is an action anyway, and scoring it at once finds
-    # the caller's table still cached.
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = [r for r in pool.map(one, lags) if r is not None]
-    return df.sparkSession.createDataFrame(results, "lag int, n long, r2 double, rmse double")
+    keys, base, lags = list(s.keys), list(base), list(lags)
+    params = {**SCAN_BOOSTING, **params}
+    schema = f"{_named(df, keys)}, lag int, n long, n_train long, sse_train double, sst_train double, rmse double, r2 double, best boolean"
+
+    def scanned(values: np.ndarray) -> list[tuple]:
+        y, n = values[0], values.shape[1]
+        x = np.repeat(np.concatenate([values[3:], np.full((2, n), np.nan)])[None], len(lags), axis=0)
+        for i, k in enumerate(lags):
+            x[i, -2:, k:] = values[1:3, :max(n - k, 0)]
+        whole = ~np.isnan(x).any(axis=1) & ~np.isnan(y)
+        count = whole.sum(axis=1)
+        kept = np.flatnonzero(count >= min_rows)
+        if not len(kept):
+            return []
+        x, whole, count = x[kept], whole[kept], count[kept]
+        train = whole & (whole.cumsum(axis=1) <= (count - hold_out)[:, None])
+        clean = np.repeat(np.nan_to_num(y)[None], len(kept), axis=0)
+        predicted, _ = boosted(np.nan_to_num(x), clean, train.astype(float), **params)
+        rows = []
+        for i, k in enumerate(kept):
+            test, seen = whole[i] & ~train[i], train[i]
+            actual, guess = np.exp(clean[i][test]), np.exp(predicted[i][test])
+            sse, sst = ((actual - guess) ** 2).sum(), ((actual - actual.mean()) ** 2).sum()
+            rows.append((lags[k], count[i], seen.sum(), ((clean[i] - predicted[i])[seen] ** 2).sum(),
+                         ((clean[i] - clean[i][seen].mean())[seen] ** 2).sum(), np.sqrt(sse / len(actual)), 1 - sse / sst if sst > 0 else None))
+        scored = [r for r in rows if r[-1] is not None]
+        best = min(scored, key=lambda r: (-r[-1], r[0]))[0] if scored else None
+        return [(*r, r[0] == best) for r in rows]
+
+    def run(batches):
+        for batch in batches:
+            names = zip(*(batch.column(k).to_pylist() for k in keys))
+            rows = [(*name, *row) for name, (_, values) in zip(names, _tables(batch)) for row in scanned(values)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(shape), shape)], schema=shape)
+
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    return series_arrays(df, s, [target, index, flag, *base]).mapInArrow(run, schema)
+
+
+# --- pooled ------------------------------------------------------------------------------
+
+def forest(target: str, **params) -> RandomForestRegressor:
+    """A forest that weighs all features at every split. The node of each row is cached:
+    passing rows down trees of depth 30 anew for every level costs several times the fit."""
+    return RandomForestRegressor(
+        featuresCol="features", labelCol=target, predictionCol="predicted", featureSubsetStrategy="all",
+        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024,
+        **{"maxBins": MAX_BINS, **PANEL_FOREST, **params})
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+
+
+def fit_and_score(df: DataFrame, model, features: Sequence[str], target: str, keep: Sequence[str] = ()):
+    """Fit on the rows marked ``train`` and predict all.
+
+    Returns the predictions (``actual``, ``predicted``) and the fitted model. The rows stay
+    cached, and spill to disk, for whoever reads the predictions.
+    """
+    rows = assembled(df.dropna(subset=[target, *features]), features).select(*keep, "split", target, "features")
+    # MLlib reads its input several times; the panel behind it is a long plan.
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = model.fit(rows.filter(F.col("split") == "train"))
+    scored = fitted.transform(rows).select(*keep, "split", F.col(target).alias("actual"), "predicted")
+    return scored, fitted

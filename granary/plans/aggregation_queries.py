@@ -10,7 +10,7 @@ from granary.operators.index import ANALYSED_SCALES
 from granary.operators.series import Series
 from granary.plans import flows
 from granary.plans.check_sql import (
-    MONTH, WEIGHT_FIRST_NUMBER, any_of, family, guarded_corr, normal_quantile, split_corr, t_pvalue,
+    MONTH, WEIGHT_FIRST_NUMBER, any_of, family, filled, guarded_corr, normal_quantile, split_corr, t_pvalue,
 )
 from granary.plans.join_queries import cell_panel
 from granary.plans.registry import cte, query
@@ -97,12 +97,15 @@ def national_split_correlation(t):
 cte("lag_rows", """
 SELECT p.countryiso3, p.commodity_group, p.month, p.usdprice AS price, s.spi
 FROM national_median p LEFT JOIN (SELECT * FROM country_spi WHERE scale = 6) s ON s.countryiso3 = p.countryiso3 AND s.month = p.month""")
+cte("lag_filled", filled("lag_rows", "countryiso3, commodity_group", "month", "price", "spi")["filled"])
+cte("lag_series", """
+SELECT countryiso3, commodity_group, month, ln(price + 1e-6) AS price, coalesce(spi, 0.0) AS spi FROM lag_filled WHERE price + 1e-6 > 0""")
 cte("lag_pairs", """
 SELECT a.countryiso3, a.commodity_group, k AS lag, a.price, b.spi
-FROM lag_rows a CROSS JOIN (SELECT unnest(range(0, 13)) AS k) l
-LEFT JOIN lag_rows b ON b.countryiso3 = a.countryiso3 AND b.commodity_group = a.commodity_group
+FROM lag_series a CROSS JOIN (SELECT unnest(range(0, 13)) AS k) l
+JOIN lag_series b ON b.countryiso3 = a.countryiso3 AND b.commodity_group = a.commodity_group
   AND b.month = CAST(a.month - to_months(CAST(k AS INT)) AS DATE)""")
-_LAGS = f"""SELECT countryiso3, commodity_group, lag, count(CASE WHEN price IS NOT NULL THEN spi END) AS n,
+_LAGS = f"""SELECT countryiso3, commodity_group, lag, count(*) AS n,
        {guarded_corr('price', 'spi')} AS corr FROM lag_pairs GROUP BY countryiso3, commodity_group, lag"""
 cte("lag_corrs", _LAGS)
 
@@ -111,7 +114,7 @@ def _lag_scan(t):
     spi = flows.country_index(t.grid_precip, t.grid_layers, [6]).drop("scale")
     rows = panel.join_on(flows.national_medians(t.price_obs), spi, ["countryiso3", "month"], "left")
     s = Series(("countryiso3", "commodity_group"), "month")
-    return correlation.lagged_correlation(rows, s, "usdprice", "spi", 12)
+    return correlation.lagged_correlation(correlation.lag_series(rows, s, "usdprice", "spi"), s, "usdprice", "spi", 12)
 
 
 @query("d9_lagged_correlation", "countryiso3 commodity_group lag n corr:5", "SELECT * FROM lag_corrs")

@@ -270,3 +270,33 @@ FROM (SELECT *, last_value(price IGNORE NULLS) OVER up AS pv,
       FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY month) AS i FROM series_dense) a
       WINDOW up AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
              down AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) b""")
+
+
+def filled(table: str, keys: str, time: str, value: str, others: str = "") -> dict[str, str]:
+    """CTE bodies of a monthly grid per series and of the same with ``value`` interpolated, ``i`` its position."""
+    rest = f", {others}" if others else ""
+    dense = f"""
+SELECT {keys}, CAST({time} AS DATE) AS {time}, {value}{rest} FROM (
+  SELECT {keys}, unnest(generate_series(min({time}), max({time}), INTERVAL 1 MONTH)) AS {time} FROM {table} GROUP BY {keys}) g
+LEFT JOIN (SELECT * REPLACE (CAST({time} AS TIMESTAMP) AS {time}) FROM {table}) r USING ({keys}, {time})"""
+    by = f"PARTITION BY {keys} ORDER BY {time}"
+    line = f"""
+SELECT * EXCLUDE (pv, pi, nv, ni) REPLACE (CASE WHEN {value} IS NOT NULL THEN {value}
+         WHEN pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * ((i - pi) / CAST(ni - pi AS DOUBLE)) ELSE pv END AS {value})
+FROM (SELECT *, last_value({value} IGNORE NULLS) OVER up AS pv, last_value(CASE WHEN {value} IS NOT NULL THEN i END IGNORE NULLS) OVER up AS pi,
+             first_value({value} IGNORE NULLS) OVER down AS nv, first_value(CASE WHEN {value} IS NOT NULL THEN i END IGNORE NULLS) OVER down AS ni
+      FROM (SELECT *, row_number() OVER ({by}) AS i FROM ({dense}) d) a
+      WINDOW up AS ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) b"""
+    return {"dense": dense, "filled": line}
+
+
+cte("forecast_rows", """
+SELECT p.countryiso3, p.commodity_group, p.month, usdprice, """ + ", ".join(f"spi_{k}" for k in ANALYSED_SCALES) + """,
+       energy_index, food_index, fertilizer_index
+FROM national_median p JOIN country_spi_wide USING (countryiso3, month) LEFT JOIN macro_month USING (month)""")
+cte("forecast_filled", filled("forecast_rows", "countryiso3, commodity_group", "month", "usdprice",
+                              ", ".join(f"spi_{k}" for k in ANALYSED_SCALES) + ", energy_index, food_index, fertilizer_index")["filled"])
+cte("forecast_lags", """
+SELECT *, lag(log_price, 1) OVER w AS l1, lag(log_price, 3) OVER w AS l3, lag(log_price, 12) OVER w AS l12
+FROM (SELECT *, CASE WHEN usdprice + 1e-6 > 0 THEN ln(usdprice + 1e-6) END AS log_price FROM forecast_filled) f
+WINDOW w AS (PARTITION BY countryiso3, commodity_group ORDER BY month)""")

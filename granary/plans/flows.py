@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from granary.functions import names
 from granary.functions.dates import month_start
-from granary.functions.numeric import above, below, log_of
+from granary.functions.numeric import above, below, log_of, safe_corr
 from granary.operators import correlation, index, panel, regression, series, spatial
+from granary.operators.forecast import prepare
 from granary.operators.series import Series
 
 PANEL_KEYS = ["countryiso3", "month", "commodity_group"]
@@ -151,26 +152,41 @@ def admin2_panel(prices: DataFrame, grid: DataFrame, layers: DataFrame, truncate
     return rows.withColumn("month", F.month("date")).dropna()
 
 
-def forecast_panel(prices: DataFrame, indices_wide: DataFrame, macro: DataFrame, scale: int = 12) -> DataFrame:
-    """Regular monthly series per country and family with the outside factors of the models."""
-    from granary.operators.forecast import prepare
+def forecast_panel(prices: DataFrame, indices_wide: DataFrame, macro: DataFrame, scale: int = 12,
+                   flag_scale: int | None = None) -> DataFrame:
+    """Regular monthly series per country and family with the outside factors of the models.
 
+    The drought and flood flags look at the index of ``flag_scale``, the amounts beside them at
+    that of ``scale``; a month without an index counts as neither.
+    """
     s = Series(tuple(NATIONAL_KEYS), "month")
     rows = panel.join_on(national_medians(prices), indices_wide, ["countryiso3", "month"])
     rows = panel.join_on(rows, macro_months(macro), ["month"], "left")
     rows = prepare(rows, s, "usdprice")
-    spi = F.col(f"spi_{scale}")
-    rows = rows.withColumns({
+    spi, flag = F.col(f"spi_{scale}"), F.col(f"spi_{flag_scale or scale}")
+    return rows.withColumns({
         "log_energy": log_of(F.col("energy_index")), "log_food": log_of(F.col("food_index")),
         "log_fertilizer": log_of(F.col("fertilizer_index")),
-        "drought": below(spi, -0.5), "flood": above(spi, 0.5),
-        "drought_severe": F.when(spi < 0.5, 1).otherwise(0), "flood_severe": F.when(spi > 0.5, 1).otherwise(0),
-        "drought_spi": below(spi, 0.0), "flood_spi": above(spi, 0.0)})
-    w = s.window()
+        "drought_severe": F.when(flag < 0.5, 1).otherwise(0), "flood_severe": F.when(flag > 0.5, 1).otherwise(0),
+        "drought_spi": F.when(flag < 0, spi).otherwise(0.0), "flood_spi": F.when(flag > 0, spi).otherwise(0.0),
+        "spi_lag_6": F.lag(flag, 6).over(s.window())})
+
+
+def with_best_scale(rows: DataFrame, s: Series, price: str = "usdprice",
+                    scales: Sequence[int] = index.ANALYSED_SCALES) -> DataFrame:
+    """The index of each series at the scale where prices fall with it most, its drought and
+    flood parts and these some months earlier. All scales are correlated in one aggregation."""
+    p = F.col(price)
+    corrs = [F.struct(safe_corr(p, F.col(f"spi_{k}")).alias("corr"), F.lit(k).alias("scale")) for k in scales]
+    best = rows.groupBy(*s.keys).agg(F.array_min(F.filter(F.array(*corrs), lambda c: c["corr"].isNotNull())).alias("b"))
+    best = best.select(*s.keys, F.coalesce("b.scale", F.lit(scales[-1])).alias("best_scale"))
+    spi = F.element_at(F.create_map(*[v for k in scales for v in (F.lit(k), F.col(f"spi_{k}"))]), F.col("best_scale"))
+    out = rows.join(best, list(s.keys)).withColumn("best_spi", spi)
+    out = out.withColumns({"drought": below(F.col("best_spi"), -0.5), "flood": above(F.col("best_spi"), 0.5)})
     # The lag with the best effect differs by family; both are positional on the dense series.
-    lag = lambda c: F.when(F.col("commodity_group") == "Sorghum", F.lag(c, 9).over(w)).otherwise(F.lag(c, 7).over(w))
-    return rows.withColumns({"drought_lag": lag("drought"), "flood_lag": lag("flood"),
-                             "spi_lag_6": F.lag(f"spi_{scale}", 6).over(w)})
+    w = s.window()
+    lag = lambda c: F.when(F.col("commodity_group").contains("Sorghum"), F.lag(c, 9).over(w)).otherwise(F.lag(c, 7).over(w))
+    return out.withColumns({"drought_lag": lag("drought"), "flood_lag": lag("flood")})
 
 
 FORECAST_FACTORS = ["drought_lag", "flood_lag", "log_energy", "log_food"]

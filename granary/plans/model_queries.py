@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.operators import clusters, forecast, index, regression, stationarity, summary, trees
-from granary.operators.series import Series, as_monthly, interpolate, split_at
+from granary.operators.series import Series, as_monthly, calendar_features, interpolate, lag_months, split_at
 from granary.plans import flows
 from granary.plans.check_sql import add, guarded_corr, normal_quantile, ols, t_pvalue
 from granary.plans.registry import cte, query
@@ -196,8 +196,8 @@ def stationarity_tests(t):
     return stationarity.stationarity(rows, Series(("form", "series_id")), "x")
 
 
-def _forecast_panel(t):
-    return flows.forecast_panel(t.price_obs, flows.country_index_wide(t.grid_precip, t.grid_layers), t.macro_index)
+def _forecast_panel(t, flag_scale=None):
+    return flows.forecast_panel(t.price_obs, flows.country_index_wide(t.grid_precip, t.grid_layers), t.macro_index, flag_scale=flag_scale)
 
 
 _NS = Series(tuple(_NATIONAL))
@@ -205,26 +205,59 @@ _NS = Series(tuple(_NATIONAL))
 
 @query("h9_forecast_errors", "countryiso3 commodity_group n rmse:6 mae:6 r2:6 pearson_r:6 aic:6 n_train")
 def forecast_errors(t):
-    out = forecast.forecast_arx(_forecast_panel(t), _NS, "log_price", flows.FORECAST_FACTORS)
+    rows = flows.with_best_scale(_forecast_panel(t), _NS)
+    out = forecast.forecast_arx(rows, _NS, "log_price", flows.FORECAST_FACTORS)
+    return forecast.forecast_errors(out, _NATIONAL)
+
+
+@query("h9_series_scale", "countryiso3 commodity_group best_scale n", f"""
+SELECT countryiso3, commodity_group, count(*) AS n, coalesce(any_value(scale), {flows.index.ANALYSED_SCALES[-1]}) AS best_scale
+FROM forecast_filled LEFT JOIN (
+  SELECT countryiso3, commodity_group, scale FROM (
+    SELECT countryiso3, commodity_group, scale, {guarded_corr('usdprice', 'spi')} AS corr FROM (
+      SELECT countryiso3, commodity_group, usdprice, unnest([{', '.join(f'spi_{k}' for k in flows.index.ANALYSED_SCALES)}]) AS spi,
+             unnest([{', '.join(map(str, flows.index.ANALYSED_SCALES))}]) AS scale FROM forecast_filled) GROUP BY ALL)
+  WHERE corr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY countryiso3, commodity_group ORDER BY corr, scale) = 1) b
+USING (countryiso3, commodity_group) GROUP BY ALL""")
+def series_scale(t):
+    rows = flows.with_best_scale(_forecast_panel(t), _NS)
+    return rows.groupBy(*_NATIONAL, "best_scale").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Held-out months and factors of the wide model.
+WIDE_HOLD_OUT = 18
+WIDE_FACTORS = ["log_energy", "energy_index", "fertilizer_index", "food_index", "log_fertilizer", "log_food", "drought_severe",
+                "flood_severe", "drought_spi", "flood_spi", "log_drought_spi", "log_flood_spi", "spi_lag_6"]
+
+
+@query("h9_wide_forecast_errors", "countryiso3 commodity_group n rmse:6 mae:6 r2:6 pearson_r:6 aic:6 n_train")
+def wide_forecast_errors(t):
+    plus_one = lambda c: F.when(F.col(c) > -1, F.ln(F.col(c) + 1))
+    rows = _forecast_panel(t).withColumns({"log_drought_spi": plus_one("drought_spi"), "log_flood_spi": plus_one("flood_spi")})
+    out = forecast.forecast_arx(rows, _NS, "log_price", WIDE_FACTORS, hold_out=WIDE_HOLD_OUT)
     return forecast.forecast_errors(out, _NATIONAL)
 
 
 @query("h10_forecast_interval", "countryiso3 commodity_group month:d actual:6 predicted:6 lower:6 upper:6")
 def forecast_interval(t):
-    return forecast.forecast_arx(_forecast_panel(t), _NS, "log_price", flows.FORECAST_FACTORS)
+    return forecast.forecast_arx(flows.with_best_scale(_forecast_panel(t), _NS), _NS, "log_price", flows.FORECAST_FACTORS)
 
 
 CANDIDATES = ["log_energy", "log_fertilizer", "drought_severe", "drought_spi", "flood_severe", "spi_lag_6"]
 
 
-@query("h11_feature_subsets", "countryiso3 commodity_group features num_vars n rmse:6 r2:6 aic:6")
+#: The index scale behind the drought and flood flags of the subset search and the tree models.
+FLAG_SCALE = 3
+
+
+@query("h11_feature_subsets", "countryiso3 commodity_group features num_vars n rmse:6 r2:6 aic:6 rank")
 def feature_subsets(t):
-    return forecast.feature_subsets(_forecast_panel(t), _NS, "log_price", CANDIDATES)
+    return forecast.feature_subsets(_forecast_panel(t, FLAG_SCALE), _NS, "log_price", CANDIDATES)
 
 
 @query("h12_order_search", "countryiso3 commodity_group model_order aic:6 rmse:6 r2:6 n_train")
 def order_search(t):
-    return forecast.order_search(_forecast_panel(t), _NS, "log_price", ["log_energy", "drought_spi", "flood_spi"])
+    return forecast.order_search(_forecast_panel(t, FLAG_SCALE), _NS, "log_price", ["log_energy", "drought_spi", "flood_spi"])
 
 
 # --- trees -----------------------------------------------------------------------------
@@ -257,40 +290,73 @@ SERIES_FEATURES = [*[f"lag_price_{k}" for k in trees.PRICE_LAGS], "roll_mean_3",
 
 
 def _series_rows(t):
-    rows = trees.series_features(_forecast_panel(t), _NS).dropna(subset=["log_price", *SERIES_FEATURES])
-    from granary.operators.series import split_tail
-    return split_tail(rows, _NS, forecast.HOLD_OUT)
+    return trees.series_features(_forecast_panel(t, FLAG_SCALE), _NS)
+
 
+def _series_fits(t, model):
+    return trees.series_fits(_series_rows(t), _NS, "log_price", SERIES_FEATURES, model, forecast.HOLD_OUT)
 
-@query("h13_series_forest", "split n rmse:6 mae:6 r2:6 pearson_r:6")
+
+_SERIES_ERRORS = "countryiso3 commodity_group split n rmse:6 mae:6 r2:6 pearson_r:6"
+
+
+@query("h13_series_forest", _SERIES_ERRORS)
 def series_forest(t):
-    scored, _ = trees.fit_and_score(_series_rows(t), trees.forest("log_price", **trees.SERIES_FOREST), SERIES_FEATURES,
-                                    "log_price", back=True)
-    return summary.fit_metrics(scored, ["split"])
+    fits = _series_fits(t, trees.forest_model(**trees.SERIES_FOREST))
+    return summary.fit_metrics(trees.fitted_months(fits, _NATIONAL), [*_NATIONAL, "split"])
 
 
-@query("h14_boosted_trees", "split n rmse:6 mae:6 r2:6 pearson_r:6")
+@query("h14_boosted_trees", _SERIES_ERRORS)
 def boosted_trees(t):
-    scored, _ = trees.fit_and_score(_series_rows(t), trees.boosting("log_price"), SERIES_FEATURES, "log_price", back=True)
-    return summary.fit_metrics(scored, ["split"])
+    fits = _series_fits(t, trees.boosting_model(**trees.SERIES_BOOSTING))
+    return summary.fit_metrics(trees.fitted_months(fits, _NATIONAL), [*_NATIONAL, "split"])
 
 
-@query("h15_drought_lag_scan", "lag n r2:6 rmse:6")
-def drought_lag_scan(t):
-    from granary.operators.series import calendar_features, lag_months
-    rows = calendar_features(lag_months(_forecast_panel(t), _NS, "log_price", (1, 3, 12), "lag_price"), "month")
+def _scan(t):
+    rows = lag_months(_forecast_panel(t, FLAG_SCALE), _NS, "log_price", (1, 3, 12), "lag_price")
     base = ["lag_price_1", "lag_price_3", "lag_price_12", "month_num"]
-    rows = rows.select(*_NATIONAL, "month", "log_price", "spi_12", "drought_severe", *base).persist()
-    try:
-        return trees.drought_lag_scan(rows, _NS, "log_price", "spi_12", "drought_severe", base)
-    finally:
-        rows.unpersist()
+    return trees.drought_lag_scan(calendar_features(rows, "month"), _NS, "log_price", "spi_12", "drought_severe", base)
+
+
+@query("h15_drought_lag_scan", "countryiso3 commodity_group lag n n_train rmse:6 r2:6 best")
+def drought_lag_scan(t):
+    return _scan(t)
+
+
+# What the check engine can say of the scan: which months a lag has, and that boosting explains some of them.
+@query("h15_lag_samples", "countryiso3 commodity_group lag n n_train sst_train:6 learned", f"""
+SELECT countryiso3, commodity_group, lag, count(*) AS n, count(*) - 12 AS n_train,
+       regr_syy(log_price, log_price) FILTER (WHERE back > 12) AS sst_train, TRUE AS learned FROM (
+  SELECT *, row_number() OVER (PARTITION BY countryiso3, commodity_group, lag ORDER BY month DESC) AS back FROM (
+    SELECT f.countryiso3, f.commodity_group, f.month, f.log_price, k.lag FROM forecast_lags f
+    CROSS JOIN (SELECT unnest(range(0, 25)) AS lag) k
+    JOIN forecast_lags e ON e.countryiso3 = f.countryiso3 AND e.commodity_group = f.commodity_group AND e.i = f.i - k.lag
+    WHERE f.log_price IS NOT NULL AND f.l1 IS NOT NULL AND f.l3 IS NOT NULL AND f.l12 IS NOT NULL AND e.spi_12 IS NOT NULL))
+GROUP BY ALL HAVING count(*) >= {trees.SCAN_MIN_ROWS}""")
+def lag_samples(t):
+    return _scan(t).withColumn("learned", F.col("sse_train") < F.col("sst_train"))
 
 
-@query("h16_feature_importance", "feature importance:6")
+@query("h16_feature_importance", "countryiso3 commodity_group feature importance:6 rank")
 def feature_importance(t):
-    _, model = trees.fit_and_score(_series_rows(t), trees.forest("log_price", **trees.SERIES_FOREST), SERIES_FEATURES, "log_price")
-    return trees.importances(model, SERIES_FEATURES, t.spark, top=10)
+    fits = _series_fits(t, trees.forest_model(**trees.SERIES_FOREST))
+    return trees.feature_weights(fits, _NATIONAL, SERIES_FEATURES, top=10)
+
+
+@query("h16_series_samples", "countryiso3 commodity_group n n_train total:6", f"""
+SELECT countryiso3, commodity_group, count(*) AS n, count(*) - {forecast.HOLD_OUT} AS n_train, 1.0 AS total FROM (
+  SELECT *, {{deviation}} AS roll_std_6 FROM (SELECT *, lag(log_price, 1) OVER w AS p1, lag(log_price, 2) OVER w AS p2,
+    lag(log_price, 3) OVER w AS p3, lag(log_price, 4) OVER w AS p4, lag(log_price, 5) OVER w AS p5, lag(log_price, 6) OVER w AS p6,
+    lag(log_price, 12) OVER w AS p12, lag(log_price, 24) OVER w AS p24, lag(spi_3, 6) OVER w AS s6
+  FROM forecast_lags WINDOW w AS (PARTITION BY countryiso3, commodity_group ORDER BY month)))
+WHERE log_price IS NOT NULL AND roll_std_6 AND p12 IS NOT NULL AND p24 IS NOT NULL AND s6 IS NOT NULL AND energy_index IS NOT NULL
+  AND (spi_3 IS NULL OR spi_3 >= 0 OR spi_12 IS NOT NULL)
+GROUP BY ALL HAVING count(*) > {forecast.HOLD_OUT}""".replace("{deviation}", " AND ".join(f"p{k} IS NOT NULL" for k in range(1, 7))))
+def series_samples(t):
+    fits = _series_fits(t, trees.forest_model(20, 3))
+    return fits.select(*_NATIONAL, F.size("months").alias("n"),
+                       F.size(F.filter("months", lambda m: m["split"] == "train")).alias("n_train"),
+                       F.aggregate("weights", F.lit(0.0), lambda a, w: a + w).alias("total"))
 
 
 @query("h17_fit_metrics", "split n rmse:3 mae:3 r2:6 pearson_r:6", f"""

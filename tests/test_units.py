@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 import math
+import time
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -198,6 +200,45 @@ def test_nearest_fill_against_brute_force(spark, seed, radius):
         assert got[(t, y, x)] == (v if v is not None else min(near)[3] if near else None)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_nearest_rows_keep_ties_with_the_smaller_row(seed):
+    rng = np.random.default_rng(seed)
+    rows = np.cumsum(rng.integers(1, 3, 40)) - 20
+    reach = np.where(rng.random(40) < 0.7, rng.integers(0, 15, 40), np.nan)
+    place, squared = grids.nearest_rows(rows, reach)
+    for i, y in enumerate(rows):
+        d2, row = min((int((y - a) ** 2 + r ** 2), a) for a, r in zip(rows, reach) if r == r)
+        assert (squared[i], rows[place[i]]) == (d2, row)
+    assert np.isinf(grids.nearest_rows(rows, np.full(40, np.nan))[1]).all()
+
+
+def test_nearest_rows_take_time_in_proportion():
+    def seconds(n):
+        reach = np.random.default_rng(n).integers(0, n, n).astype(float)
+        best = math.inf
+        for _ in range(3):
+            start = time.perf_counter()
+            grids.nearest_rows(np.arange(n), reach)
+            best = min(best, time.perf_counter() - start)
+        return best
+    assert seconds(64_000) < 16 * seconds(16_000)
+
+
+def test_lagged_correlation_of_prepared_series(spark):
+    rng = np.random.default_rng(3)
+    y, x = np.exp(rng.normal(size=40)), rng.normal(size=40)
+    rows = [("a", d, None if i in (0, 7, 8) else float(y[i]), None if i == 12 else float(x[i])) for i, d in enumerate(months(40)) if i != 20]
+    rows += [("flat", d, 2.0, float(v)) for d, v in zip(months(5), x)]
+    df = spark.createDataFrame(rows, "k string, month date, y double, x double")
+    ready = correlation.lag_series(df, S, "y", "x")
+    got = {(r.k, r.lag): r for r in correlation.lagged_correlation(ready, S, "y", "x", 6).collect()}
+    price = pd.Series([np.nan if i in (0, 7, 8, 20) else y[i] for i in range(40)]).interpolate()
+    target, feature = np.log(price + 1e-6)[1:], pd.Series([0.0 if i in (12, 20) else x[i] for i in range(40)])[1:]
+    for k in range(7):
+        assert got["a", k].n == 39 - k and got["a", k].corr == pytest.approx(target.corr(feature.shift(k)), abs=1e-12)
+    assert {k: (got["flat", k].n, got["flat", k].corr) for k in range(5)} == {k: (5 - k, None) for k in range(5)}
+
+
 def test_hexagon_is_the_nearest_centre(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-5, 5, (200, 2)))]
@@ -243,18 +284,31 @@ def test_change_pads_forward_and_window_needs_all_rows(spark):
 
 # --- quantiles --------------------------------------------------------------------------
 
-def test_exact_quantiles_with_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 50)
-    monkeypatch.setattr(quantiles, "_MARGIN", 3 / 50)
+@pytest.mark.parametrize("window_values", [0, 10, 10 ** 6])
+def test_exact_quantiles_with_a_hot_group(spark, window_values):
     rng = np.random.default_rng(0)
     data = {"hot": rng.lognormal(size=20001), "ties": rng.integers(0, 3, 5000).astype(float), "two": np.array([1.0, 4.0]),
-            "one": np.array([7.0]), "six": np.array([6.0, 1, 2, 4, 9, 3])}
+            "one": np.array([7.0]), "six": np.array([6.0, 1, 2, 4, 9, 3]), "same": np.full(9, 2.5),
+            "wide": np.concatenate([[-1.7e308, 1.7e308], rng.normal(size=3001) * 1e-9]), None: np.array([5.0, 1.0, 2.0])}
     rows = [(k, float(x)) for k, xs in data.items() for x in xs] + [("void", None), ("two", None)]
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = {r.k: r for r in quantiles.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", probs).collect()}
-    assert set(got) == {*data, "void"} and got["void"].c is None
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "x", probs, window_values).collect()}
+    assert set(got) == {*data, "void"} if window_values else set(got) - {"void"} == set(data)
+    assert got["void"].c is None
     for k, xs in data.items():
-        assert np.allclose([got[k][n] for n in probs], np.quantile(xs, list(probs.values())), rtol=1e-12)
+        want = np.quantile(xs, list(probs.values())) if k != "wide" else np.sort(xs)[[0, 750, 1501, 2701, 3002]]
+        assert np.allclose([got[k][n] for n in probs][:5 if k != "wide" else 3], want[:5 if k != "wide" else 3], rtol=1e-12)
+    whole = quantiles.exact_quantiles(df.filter("k = 'hot'"), [], "x", {"m": 0.5}, window_values).first().m
+    assert whole == np.median(data["hot"])
+
+
+def test_quantiles_read_their_input_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 7 AS k", "rand(3) AS x").write.parquet(str(tmp_path / "t"))
+    out = quantiles.exact_quantiles(spark.read.parquet(str(tmp_path / "t")), ["k"], "x", {"m": 0.5}, 100)
+    out.collect()
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("FileScan parquet") == 1, text
 
 
 # --- index ------------------------------------------------------------------------------
@@ -372,24 +426,115 @@ def test_forecast_of_a_noiseless_autoregression(spark):
 
 # --- trees and clusters -----------------------------------------------------------------
 
-def test_forest_beats_the_mean_and_ranks_features(spark, sample):
+def test_pooled_forest_beats_the_mean(spark, sample):
     rows = sample.withColumn("split", F.when(F.rand(1) < 0.8, "train").otherwise("test"))
-    scored, model = trees.fit_and_score(rows, trees.forest("y", numTrees=10, maxDepth=6), ["x", "z"], "y")
-    r2 = {r.split: r.r2 for r in summary.fit_metrics(scored, ["split"]).collect()}
-    assert r2["train"] > 0.5
-    ranked = trees.importances(model, ["x", "z"], spark).collect()
-    assert abs(sum(r.importance for r in ranked) - 1) < 1e-9 and ranked[0].importance >= ranked[1].importance
-
-
-def test_lag_scan_finds_the_built_in_lag(spark):
+    scored, _ = trees.fit_and_score(rows, trees.forest("y", numTrees=10, maxDepth=6), ["x", "z"], "y")
+    assert {r.split: r.r2 for r in summary.fit_metrics(scored, ["split"]).collect()}["train"] > 0.5
+
+
+def tree_by_hand(x, y, w, depth, penalty, least, at=None):
+    """(value of each row's leaf, gain by feature) of one tree, every split tried one by one."""
+    at = np.arange(len(y)) if at is None else at
+    live = at[w[at] > 0]
+    total, weight = (w * y)[live].sum(), w[live].sum()
+    value, gains = np.zeros(len(y)), np.zeros(len(x))
+    value[at] = total / (weight + penalty) if weight else 0.0
+    best = (least, None)
+    if depth and len(live):
+        for f in range(len(x)):
+            for low, high in zip(np.unique(x[f, live])[:-1], np.unique(x[f, live])[1:]):
+                left = live[x[f, live] <= low]
+                g, h = (w * y)[left].sum(), w[left].sum()
+                gain = g ** 2 / (h + penalty) + (total - g) ** 2 / (weight - h + penalty) - total ** 2 / (weight + penalty)
+                if gain > best[0] + 1e-10:
+                    best = (gain, (f, (low + high) / 2))
+    if best[1]:
+        f, cut = best[1]
+        gains[f] += best[0]
+        for side in (at[x[f, at] < cut], at[x[f, at] >= cut]):
+            v, g = tree_by_hand(x, y, w, depth - 1, penalty, least, side)
+            value[side] = v[side]
+            gains += g
+    return value, gains
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_trees_split_as_trying_every_cut_does(penalty):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 3, 40))
+    x[:, 1] = np.round(x[:, 1])
+    x[:, 2] = x[:, 2] > 0
+    y, w = rng.normal(size=(5, 40)), rng.integers(0, 3, (5, 40)).astype(float)
+    w[4] = 0
+    w[4, :1] = 1
+    for depth in (1, 3, 6):
+        value, gains = trees.grown(x, trees.sorted_rows(x), w * y, w, depth, penalty, 1e-9)
+        for i in range(5):
+            v, g = tree_by_hand(x[i], y[i], w[i], depth, penalty, 1e-9)
+            assert np.allclose(value[i], v) and np.allclose(gains[i], g)
+
+
+def test_boosting_adds_up_shrunken_trees():
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(1, 2, 30)), rng.normal(size=(1, 30)), np.ones((1, 30))
+    w[0, 20:] = 0
+    predicted, _ = trees.boosted(x, y, w, 3, 0.5, 2)
+    want = np.full(30, y[0, :20].mean())
+    for _ in range(3):
+        want += 0.5 * tree_by_hand(x[0], y[0] - want, w[0], 2, trees.PENALTY, trees.LEAST_GAIN)[0]
+    assert np.allclose(predicted[0], want)
+
+
+def test_series_models_follow_their_series(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, d, float(sign * v + 0.01 * rng.normal()), float(v), float(rng.normal())) for k, sign in (("a", 1), ("b", -1))
+            for d, v in zip(months(90), rng.normal(size=90))]
+    rows += [("short", d, 1.0, 1.0, 1.0) for d in months(12)] + [("a", months(200)[-1], None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, month date, y double, x double, z double")
+    for model in (trees.forest_model(30, 6), trees.boosting_model(60, 0.2, 3)):
+        fits = trees.series_fits(df, S, "y", ["x", "z"], model, 12)
+        got = fits.collect()
+        assert sorted(r.k for r in got) == ["a", "b"] and all(r.weights[0] > 0.9 and abs(sum(r.weights) - 1) < 1e-9 for r in got)
+        assert all([m.split for m in r.months].count("test") == 12 and len(r.months) == 90 for r in got)
+        errors = summary.fit_metrics(trees.fitted_months(fits, ["k"]), ["k", "split"]).collect()
+        assert all(r.r2 > 0.7 for r in errors) and len(errors) == 4
+        assert trees.series_fits(df, S, "y", ["x", "z"], model, 12).collect() == got
+    assert [r.feature for r in trees.feature_weights(fits, ["k"], ["x", "z"], 1).collect()] == ["x", "x"]
+
+
+def test_lag_scan_finds_the_lag_of_each_series(spark):
     rng = np.random.default_rng(8)
-    spi = rng.normal(size=160)
-    rows = [("a", d, float(spi[i - 2] + 0.05 * rng.normal()) if i > 1 else 0.0, float(spi[i]), int(spi[i] < 0), 1.0)
-            for i, d in enumerate(months(160))]
+    rows = []
+    for name, lag in (("a", 2), ("b", 5)):
+        spi = rng.normal(size=160)
+        rows += [(name, d, float(spi[i - lag] + 0.05 * rng.normal()) if i >= lag else 0.0, float(spi[i]), int(spi[i] < 0), 1.0)
+                 for i, d in enumerate(months(160))]
+    rows += [("few", d, 1.0, 1.0, 0, 1.0) for d in months(35)]
     df = spark.createDataFrame(rows, "k string, month date, y double, spi double, dry int, base double")
-    scan = trees.drought_lag_scan(df, S, "y", "spi", "dry", ["base"], lags=(0, 2), maxIter=15, stepSize=0.3)
-    best = panel.best_row(scan.withColumn("all", F.lit(1)), ["all"], F.col("r2"), ["lag"]).first()
-    assert best.lag == 2
+    scan = trees.drought_lag_scan(df, S, "y", "spi", "dry", ["base"], lags=(0, 2, 5), rounds=30, rate=0.3).collect()
+    assert {(r.k, r.lag) for r in scan if r.best} == {("a", 2), ("b", 5)}
+    assert {(r.k, r.lag, r.n, r.n_train) for r in scan} == {(k, lag, 160 - lag, 148 - lag) for k in "ab" for lag in (0, 2, 5)}
+    assert all(r.sse_train < r.sst_train for r in scan)
+
+
+def test_swept_fits_equal_their_own_least_squares():
+    rng = np.random.default_rng(0)
+    for constant in (True, False):
+        x = rng.normal(size=(60, 6)) * [1, 100, 1e-3, 1, 1, 1] + [5, 0, 0, 0, 3, 0]
+        x[:, 3], x[:, 4], x[:, 5] = x[:, 3] > 0, 2 * x[:, 0] - 1 * constant, 7.0
+        y = x[:, 0] + rng.normal(size=60)
+        sweep = forecast.Sweep(x, y, constant)
+        subsets = [c for k in range(7) for c in combinations(range(6), k)]
+        for wanted in sorted(subsets, key=forecast.gray_rank) + subsets:
+            design = np.hstack([np.ones((60, 1 * constant)), x[:, wanted]])
+            coef, err = sweep.fit(wanted)
+            want = np.linalg.lstsq(design, y, rcond=None)[0]
+            assert np.allclose(coef, want, rtol=1e-8, atol=1e-8) and np.allclose(err, y - design @ want, atol=1e-8)
+
+
+def test_gray_neighbours_differ_in_one_member():
+    subsets = sorted([set(c) for k in range(6) for c in combinations(range(5), k)], key=forecast.gray_rank)
+    assert len(subsets) == 32 and all(len(a ^ b) == 1 for a, b in zip(subsets, subsets[1:]))
 
 
 def test_sweep_inertia_falls(spark):
