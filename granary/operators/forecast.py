@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from granary.functions.numeric import log_of
 from granary.operators.panel import best_row
-from granary.operators.series import Series, as_monthly, interpolate, split_tail, spread
+from granary.operators.series import TASK, Series, as_monthly, interpolate, split_tail, spread
 from granary.operators.summary import fit_metrics
 
 #: Held-out months, orders and the shortest series.
@@ -292,7 +292,7 @@ def _forecast_groups(df: DataFrame, s: Series, y: str, specs: Sequence[Spec], si
 
     cols = [*[F.col(k) for k in keys], F.col(s.time).alias("_month"), F.col(y).cast("double").alias("_y"),
             *[F.col(x).cast("double").alias(x) for x in used], *([F.col(split)] if split else [])]
-    return spread(df.select(*cols), keys).groupBy(*keys).applyInPandas(run, schema)
+    return spread(df.select(*cols), keys).groupBy(*keys, TASK).applyInPandas(run, schema)
 
 
 def _priced(out: DataFrame, keys: Sequence[str]) -> DataFrame:

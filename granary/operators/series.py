@@ -29,14 +29,20 @@ class Series:
         return W.partitionBy(*self.keys).orderBy(F.col(self.time).desc())
 
 
+#: Column that :func:`spread` adds; groups of a spread table are those of (keys, TASK).
+TASK = "_task"
+
+
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One shuffle by key into the session's number of partitions.
+    """One shuffle by a hash of the key into the session's number of partitions.
 
-    For grouped Python work: its cost is not in its bytes, and without a given number
-    adaptive execution would merge small partitions until a few tasks do everything.
+    For grouped Python work: its cost is not in its bytes. Rows that already lie by key, after a
+    window, would be grouped where they are, and adaptive execution would have merged their
+    small partitions until a few tasks do everything. The hash is a column of its own, so that
+    this shuffle is neither left out nor merged, and a grouping by the keys and it needs no other.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.withColumn(TASK, F.xxhash64(*keys)).repartition(n, TASK)
 
 
 def as_monthly(df: DataFrame, s: Series) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.tails import normal_cdf
-from granary.operators.series import Series, spread
+from granary.operators.series import TASK, Series, spread
 
 # MacKinnon (1994) approximation for a test with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
@@ -70,7 +70,7 @@ def stationarity(df: DataFrame, s: Series, col: str, level: float = 0.05) -> Dat
         return pd.DataFrame(row).astype({"statistic": float, "lag": "Int32", "n_used": "Int32"})
 
     rows = df.select(*names, s.time, col).filter(F.col(col).isNotNull())
-    tested = spread(rows, names).groupBy(*names).applyInPandas(
+    tested = spread(rows, names).groupBy(*names, TASK).applyInPandas(
         run, f"{key_types}, statistic double, lag int, n_used int")
     t = F.when(~F.isnan("statistic"), F.col("statistic"))
     z = sum((F.lit(c) * F.pow(t, i) for i, c in enumerate(SMALL_P)), F.lit(0.0))

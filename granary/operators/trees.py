@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from granary.operators.series import Series, calendar_features, lag_months, rolling_past, spread
+from granary.operators.series import TASK, Series, calendar_features, lag_months, rolling_past, spread
 
 # Sizes of the models. MLlib trees end at depth 30.
 SEED = 42
@@ -194,7 +194,7 @@ def boosting_model(rounds: int, rate: float, depth: int) -> Model:
 def series_arrays(df: DataFrame, s: Series, columns: Sequence[str]) -> DataFrame:
     """One row per series: its months in order with the columns as doubles. A series is bounded by the calendar."""
     month = F.struct(F.col(s.time).cast("date").alias("_month"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
-    return spread(df, s.keys).groupBy(*s.keys).agg(F.array_sort(F.collect_list(month)).alias("_months"))
+    return spread(df, s.keys).groupBy(*s.keys, TASK).agg(F.array_sort(F.collect_list(month)).alias("_months"))
 
 
 def _tables(batch: pa.RecordBatch) -> list[tuple[pa.Array, np.ndarray]]:

@@ -131,14 +131,14 @@ def strongest_lag(t):
 
 _MACRO = ["energy_index", "food_index", "fertilizer_index", "usd_etb", "fao_index"]
 _MACRO_SQL = """(SELECT coalesce(m.date, e.date, f.date) AS date, energy_index, food_index, fertilizer_index, usd_etb, fao_index
-FROM macro_index m FULL JOIN exchange_rate e ON e.date = m.date FULL JOIN fao_index f ON f.date = coalesce(m.date, e.date)) q"""
+FROM macro_index m FULL JOIN exchange_months e ON e.date = m.date FULL JOIN fao_months f ON f.date = coalesce(m.date, e.date)) q"""
 
 
 @query("d10_correlation_matrix", "x y n corr:5", "\nUNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, count(CASE WHEN {a} IS NOT NULL THEN {b} END) AS n, {guarded_corr(a, b)} AS corr FROM {_MACRO_SQL}"
     for i, a in enumerate(_MACRO) for b in _MACRO[i + 1:]))
 def correlation_matrix(t):
-    wide = panel.outer_join_all([t.macro_index, t.exchange_rate, t.fao_index], ["date"])
+    wide = panel.outer_join_all([t.macro_index, t.exchange_months, t.fao_months], ["date"])
     return correlation.corr_matrix(wide, _MACRO)
 
 
@@ -253,13 +253,13 @@ def describe(t):
 
 
 cte("series_periods", """
-SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY month) <= 16 THEN 'early' ELSE 'rest' END AS period FROM regular_series""")
+SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY month) <= 16 THEN 'early' ELSE 'rest' END AS period FROM series_months""")
 
 
 @query("d15_period_describe", f"series_id period {_SHAPE}",
        f"SELECT series_id, period, {_DESCRIBE} FROM series_periods GROUP BY series_id, period")
 def period_describe(t):
-    return summary.period_describe(t.regular_series, Series(("series_id",)), "price")
+    return summary.period_describe(t.series_months, Series(("series_id",)), "price")
 
 
 @query("d15_early_versus_rest", "series_id mean_early:5 mean_rest:5 mean_diff:5 alert", """
@@ -267,7 +267,7 @@ SELECT *, abs(mean_diff) > 0.5 AS alert FROM (SELECT *, mean_early - mean_rest A
  SELECT series_id, avg(ln(price)) FILTER (WHERE period = 'early') AS mean_early, avg(ln(price)) FILTER (WHERE period = 'rest') AS mean_rest
  FROM series_periods GROUP BY series_id) a) b""")
 def early_versus_rest(t):
-    logs = t.regular_series.withColumn("log_price", F.ln("price"))
+    logs = t.series_months.withColumn("log_price", F.ln("price"))
     return summary.early_versus_rest(logs, Series(("series_id",)), "log_price")
 
 

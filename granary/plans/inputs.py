@@ -81,6 +81,17 @@ SELECT concat('m', CAST(l_suppkey AS VARCHAR(9))) AS series_id,
 FROM {lineitem}
 GROUP BY l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE)
 HAVING (l_suppkey + extract(month FROM CAST(date_trunc('month', l_shipdate) AS DATE))) % 5 <> 0""",
+    # The same three without their gaps.
+    "exchange_months": """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 5000 AS usd_etb
+FROM {orders} GROUP BY CAST(date_trunc('month', o_orderdate) AS DATE)""",
+    "fao_months": """
+SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice) / 500 AS fao_index
+FROM {lineitem} GROUP BY CAST(date_trunc('month', l_shipdate) AS DATE)""",
+    "series_months": """
+SELECT concat('m', CAST(l_suppkey AS VARCHAR(9))) AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+       avg(l_extendedprice / l_quantity) AS price
+FROM {lineitem} GROUP BY l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE)""",
     "predictions": """
 SELECT CASE WHEN l_shipdate < TIMESTAMP '2000-01-01 00:00:00' THEN 'train' ELSE 'test' END AS split,
        CAST(l_shipdate AS DATE) AS date,

@@ -157,11 +157,11 @@ def nearest_fill_limited(t):
 
 
 @query("c10_key_membership", "series_id month:d price:6", """
-SELECT * FROM regular_series WHERE series_id IN
- (SELECT series_id FROM regular_series GROUP BY series_id HAVING count(price) >= 20)""")
+SELECT * FROM series_months WHERE series_id IN
+ (SELECT series_id FROM series_months GROUP BY series_id HAVING count(price) >= 20)""")
 def key_membership(t):
-    members = t.regular_series.groupBy("series_id").agg(F.count("price").alias("n")).filter("n >= 20")
-    return panel.keep_members(t.regular_series, members, ["series_id"])
+    members = t.series_months.groupBy("series_id").agg(F.count("price").alias("n")).filter("n >= 20")
+    return panel.keep_members(t.series_months, members, ["series_id"])
 
 
 @query("c11_unit_audit", "unit weight_kg:6 n_rows defaulted no_kg not_positive", f"""

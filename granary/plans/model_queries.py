@@ -186,7 +186,7 @@ _S = Series(("series_id",))
 
 @query("h8_stationarity", "form series_id statistic:6 lag n_used p_value:6 stationary")
 def stationarity_tests(t):
-    dense = interpolate(as_monthly(t.regular_series, _S), _S, "price").withColumn("log_price", F.ln("price"))
+    dense = interpolate(as_monthly(t.series_months, _S), _S, "price").withColumn("log_price", F.ln("price"))
     w = _S.window()
     forms = F.array(
         F.struct(F.lit("level").alias("form"), F.col("log_price").alias("x")),
@@ -344,13 +344,14 @@ def feature_importance(t):
 
 
 @query("h16_series_samples", "countryiso3 commodity_group n n_train total:6", f"""
-SELECT countryiso3, commodity_group, count(*) AS n, count(*) - {forecast.HOLD_OUT} AS n_train, 1.0 AS total FROM (
+SELECT countryiso3, commodity_group, count(*) AS n, count(*) - {forecast.HOLD_OUT} AS n_train, CASE WHEN regr_syy(log_price, log_price) FILTER (WHERE back > {forecast.HOLD_OUT}) > 1e-12 THEN 1.0 ELSE 0.0 END AS total FROM (
+ SELECT *, row_number() OVER (PARTITION BY countryiso3, commodity_group ORDER BY month DESC) AS back FROM (
   SELECT *, {{deviation}} AS roll_std_6 FROM (SELECT *, lag(log_price, 1) OVER w AS p1, lag(log_price, 2) OVER w AS p2,
     lag(log_price, 3) OVER w AS p3, lag(log_price, 4) OVER w AS p4, lag(log_price, 5) OVER w AS p5, lag(log_price, 6) OVER w AS p6,
     lag(log_price, 12) OVER w AS p12, lag(log_price, 24) OVER w AS p24, lag(spi_3, 6) OVER w AS s6
   FROM forecast_lags WINDOW w AS (PARTITION BY countryiso3, commodity_group ORDER BY month)))
 WHERE log_price IS NOT NULL AND roll_std_6 AND p12 IS NOT NULL AND p24 IS NOT NULL AND s6 IS NOT NULL AND energy_index IS NOT NULL
-  AND (spi_3 IS NULL OR spi_3 >= 0 OR spi_12 IS NOT NULL)
+  AND (spi_3 IS NULL OR spi_3 >= 0 OR spi_12 IS NOT NULL)) kept
 GROUP BY ALL HAVING count(*) > {forecast.HOLD_OUT}""".replace("{deviation}", " AND ".join(f"p{k} IS NOT NULL" for k in range(1, 7))))
 def series_samples(t):
     fits = _series_fits(t, trees.forest_model(20, 3))

@@ -200,9 +200,9 @@ def select_rename(t):
 
 
 @query("b23_calendar_features", "series_id month:d month_num year_num", """
-SELECT series_id, month, extract(month FROM month) AS month_num, extract(year FROM month) AS year_num FROM regular_series""")
+SELECT series_id, month, extract(month FROM month) AS month_num, extract(year FROM month) AS year_num FROM series_months""")
 def calendar_features(t):
-    return series.calendar_features(t.regular_series, "month")
+    return series.calendar_features(t.series_months, "month")
 
 
 @query("b24_plot_sample", "l_orderkey l_linenumber l_discount:6 l_tax:6", """
@@ -220,9 +220,9 @@ def relabel(t):
     return t.orders.select("o_orderkey", names.relabel(F.col("o_orderstatus"), {"F": "Filled", "O": "Open"}).alias("status"))
 
 
-@query("b26_back_transform", "series_id month:d price:6", "SELECT series_id, month, price FROM regular_series")
+@query("b26_back_transform", "series_id month:d price:6", "SELECT series_id, month, price FROM series_months")
 def back_transform(t):
-    return t.regular_series.withColumn("price", F.exp(numeric.log_of(F.col("price"), 0)))
+    return t.series_months.withColumn("price", F.exp(numeric.log_of(F.col("price"), 0)))
 
 
 @query("b27_zero_for_missing", "iy ix time:d scale spi:5", "SELECT iy, ix, time, scale, coalesce(spi, 0) AS spi FROM spi_rows")

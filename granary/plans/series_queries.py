@@ -98,9 +98,9 @@ def accumulate(t):
 
 @query("e9_split_tail", "series_id month:d split", """
 SELECT series_id, month, CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY month DESC) <= 12 THEN 'test' ELSE 'train' END AS split
-FROM regular_series""")
+FROM series_months""")
 def split_tail(t):
-    return series.split_tail(t.regular_series, _S, 12)
+    return series.split_tail(t.series_months, _S, 12)
 
 
 @query("e10_split_date", "part n mean_price:4", """
