@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import written
+from granary.llm.common import join_small, written
 from granary.llm.shingles import finished, window_hashes, word_hashes
 
 UNKNOWN = "und"
@@ -127,8 +127,8 @@ def frequent(table: DataFrame, group: list[str], bound: int) -> DataFrame:
     """Rows of the highest counts per group, at most ``bound``: the least count kept is read off a histogram of counts."""
     falling = Window.partitionBy(*group).orderBy(F.desc("rows"))
     counts = table.groupBy(*group, "rows").agg(F.count(F.lit(1)).alias("k")).withColumn("k", F.sum("k").over(falling))
-    least = counts.where(F.col("k") <= bound).groupBy(*group).agg(F.min("rows").alias("least"))
-    return table.join(least, group).where(F.col("rows") >= F.col("least")).drop("least")
+    least = written(counts.where(F.col("k") <= bound).groupBy(*group).agg(F.min("rows").alias("least")), "language-least")
+    return join_small(table, least, group).where(F.col("rows") >= F.col("least")).drop("least")
 
 
 # --- model -------------------------------------------------------------------------------
