@@ -48,6 +48,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediates of one operator, given back once its own result is written.
+
+    A folder is emptied by writing no rows over it, which works wherever Spark can write.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`written`."""
+        self.paths.append(new_folder(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def release(self) -> None:
+        nothing = self.spark.range(0).coalesce(1)
+        for path in self.paths:
+            nothing.write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that fulfil a condition on columns that are costly to compute.
 

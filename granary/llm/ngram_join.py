@@ -7,7 +7,7 @@ sets form one class; only classes are joined. Two of them link if
 1. One pass finds each document's class (a 128-bit digest of its set) and, over all documents,
    shingles that are frequent. A second pass puts each set in a fixed order, frequent shingles
    last, and keeps the head in which two linked sets must share a shingle (prefix filter), and
-   a bitmap of the set. The order only decides how many candidates there are, never the result.
+   two bitmaps of the set. The order only decides how many candidates there are, never the result.
 2. Classes meet in blocks, one per shared head shingle; shingles of one class fall away.
 3. Seeding: each class is verified against one partner, the hub it shares most blocks
    with outside its component. Near copies become one component after a few verified pairs
@@ -16,8 +16,8 @@ sets form one class; only classes are joined. Two of them link if
    classes, are let go; in each other block a signature tree is built over the classes in order of size.
    Its nodes hold OR- and AND-combined bitmaps, size ranges and component ranges. A dual traversal
    descends into pairs of nodes; it prunes a pair if the sizes or the largest possible overlap
-   rule out a link, or if both lie in one component already. Pairs that remain are verified on
-   their full sets. First come a few turns in which each component of a block gives one plausible
+   rule out a link, or if both lie in one component already. Blocks see the brief bitmap only;
+   pairs that remain meet the full bitmaps, once each, and then their full sets. First come a few turns in which each component of a block gives one plausible
    pair, so that large groups of near copies grow together; blocks without a plausible pair are
    done with at the first turn. The last turn gives every pair that is left.
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import text_of, written
+from granary.llm.common import Scratch, text_of, written
 from granary.llm.shingles import finished, multiplier, window_hashes, word_hashes
 
 WIDTH = 4
@@ -86,17 +86,24 @@ def linked(a: int, b: int, common: int) -> bool:
     return 100 * common >= PERCENT * (a + b - common)
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """At least four bits for each shingle: a power of two from 256 to 262,144.
+def bitmap(own: np.ndarray, each: int = 4, most: int = 262_144) -> bytes:
+    """At least ``each`` bits for each shingle: a power of two from 256 to ``most``.
 
-    So few shingles hide behind another's bit that the bound on the overlap stays sharp.
+    With four bits so few shingles hide behind another's bit that the bound on the overlap stays
+    sharp. One bit tells texts that merely share a passage apart, and longer ones are told apart
+    by their sizes.
     """
-    bits = min(max(256, 4 << int(len(own) - 1).bit_length()), 262_144)
+    bits = min(max(256, each << int(len(own) - 1).bit_length()), most)
     out = np.zeros(bits, np.uint8)
     out[(own >> np.uint64(40)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def brief(own: np.ndarray) -> bytes:
+    """The bitmap that goes into blocks, one copy for each head shingle."""
+    return bitmap(own, 1, 4096)
+
+
 # Passes over the texts.
 
 def classes_and_frequencies(docs: DataFrame) -> DataFrame:
@@ -134,12 +141,12 @@ def classes_and_frequencies(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, n bigint, node binary, token bigint, count bigint")
 
 
-def frequent_tokens(found: DataFrame) -> np.ndarray:
+def frequent_tokens(found: DataFrame, scratch: Scratch) -> np.ndarray:
     """At most ``FREQUENT`` tokens, those with the largest counts, for the order of shingles."""
     counts = found.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= 8)
     # Counts fall into at most 64 levels; whole levels are taken from the top.
     level = F.floor(F.log2(F.col("c").cast("double"))).cast("int").alias("level")
-    counts = written(counts.select("token", level), "join-counts")
+    counts = scratch.written(counts.select("token", level), "join-counts")
     per = sorted(((r["level"], r["n"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     total, least = 0, 64
     for lv, n in per:
@@ -147,17 +154,17 @@ def frequent_tokens(found: DataFrame) -> np.ndarray:
             break
         total, least = total + n, lv
     rows = counts.where(F.col("level") >= least).select("token")
-    return np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(np.uint64))
+    return np.sort(rows.toArrow().column("token").to_numpy().view(np.uint64))
 
 
 def heads(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(node, n, head, sig) per document with a set. ``frequent`` is bounded by ``FREQUENT``."""
+    """(node, n, head, sig, brief) per document with a set. ``frequent`` is bounded by ``FREQUENT``."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
-            nodes, sizes, firsts, sigs = [], [], [], []
+            nodes, sizes, firsts, sigs, briefs = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text)
                 if not len(own):
@@ -170,11 +177,12 @@ def heads(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 sizes.append(len(own))
                 firsts.append(ordered.view(np.int64))
                 sigs.append(bitmap(own))
+                briefs.append(brief(own))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
-                                              pa.array(sigs, pa.binary())], names=["node", "n", "head", "sig"])
+                                              pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())], names=["node", "n", "head", "sig", "brief"])
 
     source = docs.select("doc_id", text_of().alias("text"))
-    return source.mapInArrow(run, "node binary, n bigint, head array<bigint>, sig binary")
+    return source.mapInArrow(run, "node binary, n bigint, head array<bigint>, sig binary, brief binary")
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,17 +193,26 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids, "doc_id", "left_semi")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, own) for the given nodes: their sets, from the text of one document each."""
-    ids = written(members.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "join-wanted")
+def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, own) for the given nodes: their sets, from the text of one document each.
+
+    A node none of whose rows has an id is looked for among all rows without one.
+    """
+    reps = scratch.written(members.join(nodes, "node", "left_semi"), "join-wanted")
+    ids = reps.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], names=["node", "own"])
 
-    source = _wanted(docs.select("doc_id", text_of().alias("text")), ids)
-    return source.mapInArrow(run, "node binary, own binary").dropDuplicates(["node"])
+    texts = docs.select("doc_id", text_of().alias("text"))
+    found = _wanted(texts, ids).mapInArrow(run, "node binary, own binary")
+    nameless = reps.where(F.col("rep").isNull()).select("node")
+    if not nameless.isEmpty():
+        more = texts.where(F.col("doc_id").isNull()).mapInArrow(run, "node binary, own binary")
+        found = found.unionByName(more.join(nameless, "node", "left_semi"))
+    return found.dropDuplicates(["node"])
 
 
 def plausible(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -236,7 +253,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 # Components.
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) and new links (a, b) -> labels in which linked nodes share the smallest label.
 
     Works on the graph of labels: a round hooks each label to the smallest neighbouring one and
@@ -244,8 +261,8 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """
     a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
     edges = links.join(a, "a").join(b, "b").where(F.col("ca") != F.col("cb")).select("ca", "cb")
-    edges = written(edges.union(edges.select("cb", "ca")).distinct(), "join-edges")
-    up = written(edges.groupBy(F.col("ca").alias("c")).agg(F.least(F.min("cb"), F.first("ca")).alias("to")), "join-labels")
+    edges = scratch.written(edges.union(edges.select("cb", "ca")).distinct(), "join-edges")
+    up = scratch.written(edges.groupBy(F.col("ca").alias("c")).agg(F.least(F.min("cb"), F.first("ca")).alias("to")), "join-labels")
     if up.isEmpty():
         return labels
     while True:
@@ -255,7 +272,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         # A smaller label seen next door also hooks the label it replaces.
         moved = jumped.join(near, "c")
         hooks = moved.groupBy(F.col("to").alias("c")).agg(F.min("low").alias("hook"))
-        following = written(moved.join(hooks, "c", "left").select(
+        following = scratch.written(moved.join(hooks, "c", "left").select(
             "c", F.least("to", "low", F.coalesce("hook", "to")).alias("new"), F.col("to").alias("old")), "join-labels")
         before = up.select("c", F.col("to").alias("was"))
         changed = following.join(before, "c").where(F.col("new") != F.col("was"))
@@ -264,7 +281,7 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         if done:
             break
     final = up.select(F.col("c").alias("comp"), "to")
-    return written(labels.join(final, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "join-components")
+    return scratch.written(labels.join(final, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "join-components")
 
 
 # Signature trees.
@@ -379,7 +396,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def block_candidates(turn: int | None):
-    """(token, node, n, comp, sig) sorted by token and size -> candidate pairs (token, a, b).
+    """(token, node, n, comp, brief) sorted by token and size -> candidate pairs (token, a, b).
 
     In a turn each component of a block gives one pair; without one (None) all pairs are given. A
     block that gives none has no plausible pair and is done with.
@@ -394,7 +411,7 @@ def block_candidates(turn: int | None):
                 continue
             comps = np.array([numbers[c] for c in comp_names])
             sizes = block.column("n").to_numpy()
-            sigs = block.column("sig").to_pylist()
+            sigs = block.column("brief").to_pylist()
             width = min(map(len, sigs)) // 8
             bits = np.stack([_fold(np.frombuffer(s, np.uint64), width) for s in sigs])
             token = block.column("token")[0].as_py()
@@ -428,16 +445,17 @@ def open_blocks(rows: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    found = written(classes_and_frequencies(docs), "join-classes")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.written(classes_and_frequencies(docs), "join-classes")
     rows = found.where(F.col("node").isNotNull())
-    members = written(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("rep")), "join-members")
-    signed = written(heads(docs, frequent_tokens(found)).dropDuplicates(["node"]), "join-heads")
+    members = scratch.written(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("rep")), "join-members")
+    signed = scratch.written(heads(docs, frequent_tokens(found, scratch)).dropDuplicates(["node"]), "join-heads")
     postings = signed.select("node", F.explode("head").alias("token"))
     postings = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("df") > 1)
-    postings = written(postings.select("token", "node"), "join-postings")
-    labels = written(postings.select("node").distinct().select("node", F.col("node").alias("comp")), "join-alone")
-    attributes = signed.join(labels.select("node"), "node", "left_semi").select("node", "n", "sig")
-    attributes = written(attributes, "join-attributes")
+    postings = scratch.written(postings.select("token", "node"), "join-postings")
+    labels = scratch.written(postings.select("node").distinct().select("node", F.col("node").alias("comp")), "join-alone")
+    attributes = signed.join(labels.select("node"), "node", "left_semi").select("node", "n", "sig", "brief")
+    attributes = scratch.written(attributes, "join-attributes")
     for seeding in range(SEEDINGS):
         # The hub of a block is drawn anew each time; a class is tried with its most frequent hub.
         own = postings.join(labels, "node")
@@ -446,36 +464,40 @@ def joined(docs: DataFrame) -> DataFrame:
         votes = hubs.where(F.col("hub.comp") != F.col("comp")).groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("best"))
         pairs = _ordered(best.select(F.col("node").alias("a"), F.col("best.hub").alias("b")))
-        pairs = written(plausible(pairs, attributes), "join-seeds")
-        labels = _linked_labels(docs, members, labels, pairs)
-    blocks = written(open_blocks(postings.join(labels, "node")), "join-mixed").drop("comp")
+        labels = _linked_labels(docs, members, labels, attributes, pairs, scratch)
+    blocks = scratch.written(open_blocks(postings.join(labels, "node")), "join-mixed").drop("comp")
     for turn in [*range(ROUNDS), None]:
-        rows_of = blocks.join(labels, "node").join(attributes, "node").select("token", "node", "n", "comp", "sig")
+        rows_of = blocks.join(labels, "node").join(attributes.select("node", "n", "brief"), "node").select("token", "node", "n", "comp", "brief")
         rows_of = rows_of.repartition("token").sortWithinPartitions("token", "n", "node")
-        given = written(rows_of.mapInArrow(block_candidates(turn), "token bigint, a binary, b binary").distinct(), "join-candidates")
+        given = scratch.written(rows_of.mapInArrow(block_candidates(turn), "token bigint, a binary, b binary").distinct(), "join-candidates")
         if given.isEmpty():
             break
-        labels = _linked_labels(docs, members, labels, written(_ordered(given), "join-pairs"))
+        labels = _linked_labels(docs, members, labels, attributes, _ordered(given), scratch)
         # Blocks without a plausible pair are done with, as are those that are one component by now.
         left = blocks.join(given.select("token").distinct(), "token", "left_semi")
         if turn is not None:
-            blocks = written(open_blocks(left.join(labels, "node")), "join-mixed").drop("comp")
+            blocks = scratch.written(open_blocks(left.join(labels, "node")), "join-mixed").drop("comp")
     # The label of a component is the smallest id in it.
     reps = members.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     lowest = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = written(reps.join(lowest, "comp").select("node", "component_id"), "join-result")
+    of_node = scratch.written(reps.join(lowest, "comp").select("node", "component_id"), "join-result")
     # Copies of one text may be a third of all rows: their class is looked up under salted keys.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(16)))
     spread = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     out = salted.join(spread, ["node", "salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "join-rows")
+    scratch.release()
+    return out
 
 
-def _linked_labels(docs: DataFrame, members: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def _linked_labels(docs: DataFrame, members: DataFrame, labels: DataFrame, attributes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after the links among the pairs: full bitmaps first, then full sets."""
+    pairs = scratch.written(plausible(pairs, attributes), "join-pairs")
     if pairs.isEmpty():
         return labels
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return components(labels, written(verified(pairs, sets_of(docs, members, nodes)), "join-links"))
+    links = scratch.written(verified(pairs, sets_of(docs, members, nodes, scratch)), "join-links")
+    return components(labels, links, scratch)
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -485,10 +507,14 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     without an id are told apart. Null ids come last; further ties go to the smallest digest of
     the text, then to the smallest key. Rows without a set have no copies and all stay.
     """
-    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "group-rows")
+    scratch = Scratch(docs.sparkSession)
+    keyed = docs.withColumn("__key", F.monotonically_increasing_id())
+    keyed = scratch.written(keyed, "group-rows")
     groups = joined(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(text_of(), 256).alias("digest"), F.col("__key").alias("key"))
     ranked = keyed.select("__key", order.alias("rank")).join(groups, "__key")
     # A minimum per group is aggregated before the shuffle, so a large group does not land in one task.
     kept = ranked.groupBy("__group").agg(F.min("rank").alias("first")).select(F.col("first.key").alias("__key"))
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+    out = written(keyed.join(kept, "__key", "left_semi").select(*docs.columns), "group-kept")
+    scratch.release()
+    return out

@@ -76,6 +76,20 @@ def test_matching_statistics_of_foreign_queries():
             assert doc[i] == min(d for d, s in enumerate(indexed) for j in range(75) if np.array_equal(s[j:j + 6], query[i:i + 6]))
 
 
+def test_a_link_may_run_through_a_row_without_an_id(spark):
+    words = lambda first: " ".join([f"x{i}" for i in range(first)] + [f"w{i}" for i in range(first, 200)])
+    rows = [(1, words(0)), (None, words(9)), (2, words(18)), (None, "alone and far away from all")]
+    got = sorted(map(str, (r.component_id for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == ["1", "1", "1", "None"]
+
+
+def test_many_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(None, f"{passage} {i}") for i in range(400)] + [(1, passage)]
+    got = ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 401 and {r.component_id for r in got} == {1}
+
+
 def join_by_hand(texts):
     sets = {}
     for i, t in texts.items():
