@@ -40,11 +40,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Candidates of the method: long runs of one alphabet, and signed tokens.
 #: Lines may be wrapped, also by escaped line ends as in JSON and source code.
 LINE_END = r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*"
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}(?:" + LINE_END + r"[A-Za-z0-9+/_-]+={0,2})*")
+ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}(?:" + LINE_END + r"[A-Za-z0-9+/_-]+={0,2})*+")
 PIECE = re.compile(r"\\+[rn]|[A-Za-z0-9+/_-]+={0,2}")
-ARMOURED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/]|[\"'][ \t]*[+.,]?\s*[\"'])+)-----END \1-----")
+ARMOURED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY)-----((?:[A-Za-z0-9+/=\s]|\\++[nrt/]|[\"'](?:[ \t]*+[+.,])?+\s*+[\"'])++)-----END \1-----")
 #: What is no part of the base64 text in an armour: blanks, escaped ones, joints of string literals.
-BETWEEN = re.compile(r"[\"'][ \t]*[+.,]?\s*[\"']|\\+[nrt]|\\+(?=/)|\s+")
+BETWEEN = re.compile(r"[\"'](?:[ \t]*+[+.,])?+\s*+[\"']|\\+[nrt]|\\+(?=/)|\s+")
 #: Where a key can begin: 0x30 with a length, the container's name, a length below 256 and a name.
 STARTS = re.compile(r"M[A-P]|b3BlbnNzaC1rZXkt|AAAA[A-D]")
 HEX_STARTS = re.compile(r"30|6f70656e7373682d|000000(?=[0-9a-f]{2}(?:737368|6563647361|736b))", re.IGNORECASE)
@@ -202,29 +202,78 @@ def encoded_keys(run: str, offset: int) -> Iterator[Span]:
         places.append((size, a))
         size += b - a
         ends.append((size, b))
-    done = 0
+    done, read = 0, Peek(body)
     for m in STARTS.finditer(body):
         at = m.start()
         if at < done:
             continue
-        head = unbase64(body[at:at + 8])
-        if not head or len(head) < 6:
-            continue
-        total = der_size(head)
-        if total is None and not (head == b"openss" or head[:3] == b"\0\0\0" and head[4:] in (b"ss", b"ec", b"sk")):
-            continue
-        least = -(-4 * total // 3) if total else 32
-        for end, place in ends[bisect.bisect_left(ends, (at + least,)):]:
-            if total and end > at + least + 2:
-                break
-            kind = key_kind(unbase64(body[at:end]))
-            if kind:
-                base, first = places[bisect.bisect_right(places, (at, len(run))) - 1]
-                yield offset + first + at - base, offset + place, kind
-                done = end
-                break
-            if "=" in body[end - 1:end]:
-                break
+        for size in key_sizes(read, at):
+            # The key ends with a line, after up to two characters of padding.
+            least = at + -(-4 * size // 3)
+            end, place = next(iter(ends[bisect.bisect_left(ends, (least,)):][:1]), (None, None))
+            if end is None or end > least + 2 or not key_kind(unbase64(body[at:end])):
+                continue
+            base, first = places[bisect.bisect_right(places, (at, len(run))) - 1]
+            yield offset + first + at - base, offset + place, key_kind(unbase64(body[at:end]))
+            done = end
+            break
+
+
+class Peek:
+    """Single bytes out of a base64 body, without decoding the rest."""
+
+    def __init__(self, body: str):
+        self.body = body
+
+    def __call__(self, start: int, at: int, n: int) -> bytes | None:
+        """``n`` bytes from byte ``at`` of what is encoded from character ``start`` on; None beyond the body."""
+        first = start + at // 3 * 4
+        quads = self.body[first:first + (at % 3 + n + 2) // 3 * 4]
+        data = unbase64(quads[:len(quads) - (len(quads) % 4 == 1)]) or b""
+        data = data[at % 3:at % 3 + n]
+        return data if len(data) == n else None
+
+    def number(self, start: int, at: int) -> int | None:
+        data = self(start, at, 4)
+        return None if data is None else int.from_bytes(data, "big")
+
+
+#: Fields of a public or private SSH blob, and keys in one container, at most; real ones have under ten, and one.
+SSH_FIELDS = 16
+
+
+def key_sizes(read: Peek, start: int) -> Iterator[int]:
+    """Bytes that a key beginning at ``start`` may have, by the lengths it states itself, ascending."""
+    head = read(start, 0, 6)
+    if head is None:
+        return
+    total = der_size(head)
+    if total is not None:
+        yield total
+        return
+    container = head == b"openss"
+    if not container and not (head[:3] == b"\0\0\0" and head[4:] in (b"ss", b"ec", b"sk")):
+        return
+    at, left = 15 if container else 0, 3 if container else SSH_FIELDS
+    for field in range(left):
+        size = read.number(start, at)
+        if size is None or size > len(read.body):
+            return
+        at += 4 + size
+        if not container and field:
+            yield at
+    if not container:
+        return
+    count = read.number(start, at)
+    if count is None or not 1 <= count <= SSH_FIELDS:
+        return
+    at += 4
+    for _ in range(count + 1):
+        size = read.number(start, at)
+        if size is None or size > len(read.body):
+            return
+        at += 4 + size
+    yield at
 
 
 def hex_keys(run: str, offset: int) -> Iterator[Span]:
