@@ -7,13 +7,14 @@ that a lost executor left behind is in no index row and is never read.
 
 Reading: records are selected in the index, before any archive byte is read. The selected
 ranges are sorted by file and offset, ranges less than ``GAP`` bytes apart are coalesced
-to one read, and a read is cut after about ``SPAN`` bytes; the reads are spread over all tasks by
-file and span. Digests are verified on what was read.
+to one read, and a read is cut after about ``SPAN`` bytes. Reads are dealt to one task for every
+``SPAN`` bytes of the selected records: the rows that say where to read are few and small, so their own size would
+put them all into one task. Digests are verified on what was read.
 
 Equal payloads are stored once: the page with the largest id of each digest is a response, the
 others are revisit records that name it. Which page that is comes from an aggregation over
-digests; pages themselves are moved once, by page id, so that a payload shared by a third of all
-pages stays spread.
+digests, looked up by a broadcast of bounded size or under salted digests; pages themselves are
+moved once, by page id, so that a payload shared by a third of all pages stays spread.
 
 Defined results: null html is an empty payload; rows that repeat the largest page id of their
 payload are all responses; a null page id is smaller than any other; payloads below ``least``
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import new_folder, written
+from granary.llm.common import join_small, new_folder, written
 
 GAP = 64 * 1024
 SPAN = 8 * 1024 * 1024
@@ -90,7 +91,7 @@ def _roles(pages: DataFrame, least: int) -> DataFrame:
     narrow = written(pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"),
                                   F.octet_length("html").alias("size")).where(F.col("size") >= least).drop("size"), "warc-digests")
     keepers = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    return narrow.join(keepers, "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).dropDuplicates(["page_id", "sha"])
+    return join_small(narrow, written(keepers, "warc-keepers"), ["sha"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).dropDuplicates(["page_id", "sha"])
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
@@ -149,8 +150,10 @@ def reads_of(index: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
 
 
 def read_archives(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """Records of the selected index rows, from coalesced range reads of the archives."""
+    """Records of the selected index rows (a written table), from coalesced range reads of the archives."""
+    size = index.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0
     reads = reads_of(index.select("file", "offset", "length"), gap, span)
+    reads = reads.repartition(size // span + 1, "file", "begin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _files(folder)
