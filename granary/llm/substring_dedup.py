@@ -383,10 +383,11 @@ def report(docs: DataFrame) -> DataFrame:
     shared = keys.join(counts, "key").groupBy("node").agg(
         F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("kinds") > CROWD, F.col("key"))).alias("crowded"))
     shared = written(shared.join(classes, "node"), "dedup-shared")
-    # One text per class with a shared minimizer: rows of its smallest id, told apart by digest.
-    digest_rows = signed.select(F.col("doc_id").alias("id"), "node").distinct().join(shared, "node").where(F.col("id") == F.col("rep"))
-    own = docs.select("id", "text").join(digest_rows, "id").select("text", "rep", "node", "shared", "crowded")
-    segments = written(_cut(_same_text(own)), "dedup-segments")
+    # One text per class with a shared minimizer: rows of its smallest id, told apart by digest, so that
+    # many texts under one id (or without one) do not meet each other.
+    chosen = shared.withColumn("id", F.col("rep"))
+    own = _with_digest(docs).join(chosen, ["id", "node"]).select("text", "rep", "node", "shared", "crowded")
+    segments = written(_cut(own), "dedup-segments")
     distinct = segments.groupBy("seg").agg(F.min("rep").alias("rep"), F.first("words").alias("words"), F.first("shard").alias("shard"))
     dealt = distinct.select("shard", "seg", "words", "rep").repartition("shard").sortWithinPartitions("shard", "seg")
     found = written(dealt.mapInArrow(_search, "seg binary, docs array<bigint>"), "dedup-found")
@@ -414,12 +415,3 @@ def _with_digest(docs: DataFrame) -> DataFrame:
             nodes = pa.array([sequence_digest(words_in(t)) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=["doc_id", "id", "text", "node"])
     return docs.select("doc_id", "id", "text").mapInArrow(run, "doc_id bigint, id bigint, text string, node binary")
-
-
-def _same_text(rows: DataFrame) -> DataFrame:
-    """Drops rows whose text is not the one of their class (rows that share an id), and repeats."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [sequence_digest(words_in(t)) == n for t, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-    return rows.mapInArrow(run, rows.schema)

@@ -1,5 +1,6 @@
 """The text operators on whole small tables and on edge rows, against brute force."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -8,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from granary.llm import fingerprints, licenses, mixing, ngram_join, quality, queries, substring_dedup, toxicity, warc
+from granary.llm import common, fingerprints, licenses, mixing, ngram_join, quality, queries, substring_dedup, toxicity, warc
 from tests.compare import differences, duck, plain
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +63,13 @@ def test_substring_dedup(docs, texts, crowd, monkeypatch):
     assert got == dedup_by_hand(texts)
 
 
+def test_texts_under_one_id_do_not_meet(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(None, f"{i} {passage} {i}") for i in range(3000)] + [(1, passage), (1, f"a {passage}")]
+    got = substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 3002 and {r.n_removed for r in got if r.doc_id is None} == {0} and {r.n_removed for r in got if r.doc_id == 1} == {70}
+
+
 def test_matching_statistics_of_foreign_queries():
     rng = np.random.default_rng(5)
     indexed = [rng.integers(1, 4, 80).astype(np.uint64) for _ in range(4)]
@@ -182,6 +190,41 @@ def test_every_file_with_a_mandatory_phrase_is_labelled(spark):
         assert len(found) >= 2 and all(t.mandatory[0] <= p < t.mandatory[1] for p in found)
 
 
+def warc_by_hand(rows):
+    digest = lambda html: base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
+    largest = {}
+    for page, html in rows:
+        largest[html or ""] = max(largest.get(html or "", -1), page)
+    return sorted((page, len((html or "").encode()), digest(html), *(("response", None) if largest[html or ""] == page else ("revisit", largest[html or ""])))
+                  for page, html in rows)
+
+
+def test_warc_of_the_whole_table(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = warc_by_hand([(r.page_id, r.html) for r in pages.collect()])
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, warc.report(pages).select(columns).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_warc_edges(spark, bound, monkeypatch):
+    monkeypatch.setattr(warc, "join_small", lambda big, small, keys: common.join_small(big, small, keys, bound=bound))
+    rows = [(i, "u", "same" if i % 3 else f"own {i}", "x", 1) for i in range(60)] + [(90, None, None, "x", 1), (91, "", "", "x", 1),
+            (92, "u", "long " * 400_000, "x", 1), (93, "u", "long " * 400_000, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, again int").repartition(4)
+    got = warc.report(pages).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(warc_by_hand([(r[0], r[2]) for r in rows]), key=str)
+
+
+def test_archives_are_read_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 1000)
+    pages = spark.createDataFrame([(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 4) for i in range(200)], "page_id long, url string, html string")
+    folder = common.new_folder(spark, "warc")
+    index = warc.write_archives(pages, folder)
+    records = warc.read_archives(index, folder, span=1000)
+    assert records.rdd.getNumPartitions() > 8 and records.count() == 200
+
+
 def test_warc(spark):
     rows = [(1, "u", "same"), (2, None, "same"), (3, "v", None), (4, "w", ""), (5, "x", "a\r\n\r\nb é"), (5, "x", "a\r\n\r\nb é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
