@@ -9,8 +9,10 @@ windows always meet in one shard. Consecutive windows with one minimizer travel
    class has are dropped, since none of their windows can occur elsewhere.
 2. The segments of shared minimizers are cut out in a second pass, one copy per class, and equal
    segments are grouped before they are shuffled any further, so that copied passages arrive
-   once. Segments of a minimizer with more than ``CROWD`` different ones are cut into single windows,
-   which again are grouped: a passage shared by a third of all documents becomes a few rows.
+   once. Where a minimizer has more than ``CROWD`` different segments, as at the ends of a passage that many
+   documents share, these are halved by the windows' distance to the minimizer, equal halves
+   are grouped, and so on while a half still has too many forms, down to single windows. What is
+   found of the parts is put together again, so a document has one row a segment throughout.
 3. Each shard builds an FM-index of its segments: the suffix array of the concatenation, sorted
    as far as ``WINDOW`` words, the Burrows-Wheeler transform as a wavelet matrix of bit vectors
    with sampled ranks, and the smallest document of each interval. Segments are streamed
@@ -39,12 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import text_of, written
-from granary.llm.shingles import rolling_hashes, word_hashes
+from granary.llm.shingles import finished, rolling_hashes, word_hashes
 
 WINDOW = 50
 GRAM = 20
-#: Different segments of one minimizer above which they are cut into windows.
+#: Different pieces of one shard's key above which they are halved, and how often, to tell all distances apart.
 CROWD = 200
+LEVELS = (WINDOW - GRAM).bit_length()
 #: Words of segments that one index holds, about.
 SHARD_WORDS = 400_000
 BLOCK = 8
@@ -247,58 +250,110 @@ def repeats(sequences: list[np.ndarray], documents: np.ndarray, window: int = WI
 # The job.
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_words, keys, segs) per row: digest of the word sequence, and the minimizers of
-    its segments beside hashes of the segments' windows."""
+    """(doc_id, node, n_words, keys) per row: digest of the word sequence, and the minimizers of its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, segs = [], [], [], []
+            nodes, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_in(text)
                 nodes.append(sequence_digest(words))
                 sizes.append(len(words))
-                hashes = word_hashes(words)
-                own = minimizers(hashes)
+                own = minimizers(word_hashes(words))
                 begin, _ = segments_of(own)
-                windows = rolling_hashes(hashes, WINDOW)
                 keys.append(own[begin].view(np.int64))
-                segs.append((np.add.reduceat(windows, begin) if len(begin) else windows).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.int64()))],
-                                             names=["doc_id", "node", "n_words", "keys", "segs"])
+                                              pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_words", "keys"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, node binary, n_words bigint, keys array<bigint>, segs array<bigint>")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id bigint, node binary, n_words bigint, keys array<bigint>")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, text, shared, crowded) -> segments (doc_id, node, first, seg, words).
+    """(text, rep, node, shared) -> segments of the shared minimizers: (node, rep, first, seg, words, key).
 
     ``words`` holds the word hashes of a segment, ``seg`` its digest; ``first`` is its first
-    window in the text. Windows of crowded minimizers are segments of their own.
+    window in the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("node", "rep", "first", "seg", "words", "shard")}
-            for text, rep, node, shared, crowded in zip(*(c.to_pylist() for c in batch.columns)):
+            out: dict[str, list] = {k: [] for k in ("node", "rep", "first", "seg", "words", "key")}
+            for text, rep, node, shared in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = word_hashes(words_in(text))
                 keys = minimizers(hashes).view(np.int64)
                 begin, end = segments_of(keys)
-                wanted, many = np.array(shared or [], np.int64), set(crowded or [])
+                wanted = set(shared or [])
                 for a, b in zip(begin, end):
-                    if keys[a] not in wanted:
-                        continue
-                    key = int(keys[a])
-                    for x, y in [(i, i + 1) for i in range(a, b)] if key in many else [(a, b)]:
-                        own = hashes[x:y + WINDOW - 1].tobytes()
-                        name = hashlib.blake2b(own, digest_size=16).digest()
-                        for k, v in zip(out, (node, rep, int(x), name, own, int.from_bytes(name[:7], "big") if key in many else key)):
+                    if int(keys[a]) in wanted:
+                        own = hashes[a:b + WINDOW - 1].tobytes()
+                        for k, v in zip(out, (node, rep, int(a), piece_name(own), own, int(keys[a]))):
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["node"], pa.binary()), pa.array(out["rep"], pa.int64()), pa.array(out["first"], pa.int64()), pa.array(out["seg"], pa.binary()),
-                 pa.array(out["words"], pa.binary()), pa.array(out["shard"], pa.int64())], names=list(out))
+                 pa.array(out["words"], pa.binary()), pa.array(out["key"], pa.int64())], names=list(out))
 
-    return rows.mapInArrow(run, "node binary, rep bigint, first bigint, seg binary, words binary, shard bigint")
+    return rows.mapInArrow(run, "node binary, rep bigint, first bigint, seg binary, words binary, key bigint")
+
+
+def piece_name(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def distances(words: np.ndarray, key: int) -> np.ndarray:
+    """For each window of a segment, the words from its start to the next gram that is its minimizer.
+
+    This depends on the window alone, so equal windows of different segments agree.
+    """
+    at = np.flatnonzero(rolling_hashes(words, GRAM).view(np.int64) == key)
+    starts = np.arange(len(words) - WINDOW + 1)
+    return at[np.searchsorted(at, starts)] - starts
+
+
+def _parts(level: int):
+    """(seg, words, rep, key) -> the runs of windows whose distance agrees in its first ``level`` bits:
+    (parent, place, seg, words, rep, key, shard). At the last level every window is a run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("parent", "place", "seg", "words", "rep", "key", "shard")}
+            for parent, words, rep, key in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = np.frombuffer(words, np.uint64)
+                half = distances(hashes, key) >> (LEVELS - level)
+                cuts = np.arange(1, len(half)) if level == LEVELS else np.flatnonzero(np.diff(half)) + 1
+                for place, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(half)])):
+                    own = hashes[a:b + WINDOW - 1].tobytes()
+                    shard = finished(np.array([key], np.int64).view(np.uint64) + np.uint64(level * WINDOW + int(half[a]) + 1)).view(np.int64)[0]
+                    for k, v in zip(out, (parent, place, piece_name(own), own, rep, key, int(shard))):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("parent", pa.binary()), ("place", pa.int32()), ("seg", pa.binary()), ("words", pa.binary()),
+                                                                    ("rep", pa.int64()), ("key", pa.int64()), ("shard", pa.int64())]))
+
+    return run
+
+
+def _found(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """(seg, docs) for different pieces (seg, words, rep, key, shard): the smallest document of each window.
+
+    Shards of up to ``CROWD`` pieces are indexed; the pieces of others are taken apart first.
+    """
+    crowded = written(pieces.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("shard"), "dedup-crowded")
+    if crowded.isEmpty():
+        few = pieces
+    else:
+        few = pieces.join(crowded, "shard", "left_anti")
+    dealt = few.select("shard", "seg", "words", "rep").repartition("shard").sortWithinPartitions("shard", "seg")
+    found = dealt.mapInArrow(_search, "seg binary, docs array<bigint>")
+    if not crowded.isEmpty():
+        many = pieces.join(crowded, "shard", "left_semi").select("seg", "words", "rep", "key")
+        if level == LEVELS:  # single windows: the smallest document of all equal ones is known
+            found = found.unionByName(many.select("seg", F.array("rep").alias("docs")))
+        else:
+            parts = written(many.mapInArrow(_parts(level + 1), "parent binary, place int, seg binary, words binary, rep bigint, key bigint, shard bigint"), "dedup-parts")
+            different = written(parts.groupBy("seg").agg(F.min("rep").alias("rep"), *[F.first(c).alias(c) for c in ("words", "key", "shard")]), "dedup-different")
+            whole = parts.select("parent", "place", "seg").join(_found(different, level + 1), "seg").groupBy("parent").agg(
+                F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "docs"))), lambda p: p["docs"])).alias("docs"))
+            found = found.unionByName(whole.select(F.col("parent").alias("seg"), "docs"))
+    return written(found, "dedup-found")
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,23 +429,19 @@ def report(docs: DataFrame) -> DataFrame:
     long = signed.where(F.col("n_words") >= WINDOW)
     classes = written(long.groupBy("node").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     reps = long.join(classes.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    own = reps.select("node", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("segs").alias("seg")))).toDF("node", "key", "seg")
-    # Equal segments count once: near copies crowd no minimizer, different surroundings of one passage do.
-    kinds = own.groupBy("key", "seg").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    counts = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    counts = written(counts.where(F.col("lo") != F.col("hi")).select("key", "kinds"), "dedup-keys")
-    keys = own.select("node", "key").distinct()
-    shared = keys.join(counts, "key").groupBy("node").agg(
-        F.collect_list("key").alias("shared"), F.collect_list(F.when(F.col("kinds") > CROWD, F.col("key"))).alias("crowded"))
+    own = reps.select("node", F.explode("keys").alias("key"))
+    counts = own.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    counts = written(counts.where(F.col("lo") != F.col("hi")).select("key"), "dedup-keys")
+    keys = own.distinct()
+    shared = keys.join(counts, "key").groupBy("node").agg(F.collect_list("key").alias("shared"))
     shared = written(shared.join(classes, "node"), "dedup-shared")
     # One text per class with a shared minimizer: rows of its smallest id, told apart by digest, so that
     # many texts under one id (or without one) do not meet each other.
     chosen = shared.withColumn("id", F.col("rep"))
-    own = _with_digest(docs).join(chosen, ["id", "node"]).select("text", "rep", "node", "shared", "crowded")
+    own = _with_digest(docs).join(chosen, ["id", "node"]).select("text", "rep", "node", "shared")
     segments = written(_cut(own), "dedup-segments")
-    distinct = segments.groupBy("seg").agg(F.min("rep").alias("rep"), F.first("words").alias("words"), F.first("shard").alias("shard"))
-    dealt = distinct.select("shard", "seg", "words", "rep").repartition("shard").sortWithinPartitions("shard", "seg")
-    found = written(dealt.mapInArrow(_search, "seg binary, docs array<bigint>"), "dedup-found")
+    different = segments.groupBy("seg").agg(F.min("rep").alias("rep"), F.first("words").alias("words"), F.first("key").alias("key"))
+    found = _found(written(different.withColumn("shard", F.col("key")), "dedup-different"))
     # Only segments with a window of an earlier document matter to a class.
     hits = segments.select("node", "rep", "first", "seg").join(found, "seg").where(F.array_min("docs") < F.col("rep"))
     spans = hits.select("node", "rep", "first", "docs").mapInArrow(_intervals, "node binary, first bigint, count bigint")
