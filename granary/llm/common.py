@@ -77,8 +77,11 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     nested expressions again inside it, once per mention. A row number, which is not
     deterministic, keeps the filter above them.
     """
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.where(condition & (F.col("__row") >= 0)).drop("__row")
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    return numbered.where(condition & (F.col(name) >= 0)).drop(name)
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",

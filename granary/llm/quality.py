@@ -146,8 +146,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that break no rule, with the columns of the input."""
-    judged = judge(docs, rules, text).select(*docs.columns, (F.size(P + "broken") == 0).alias(P + "kept"))
-    return where_computed(judged, F.col(P + "kept")).select(*docs.columns)
+    # The row travels as one value, so that its own names cannot clash with those of the measures.
+    held = docs.select(F.struct(*docs.columns).alias(P + "row"), F.col(text).alias(P + "text"))
+    judged = judge(held, rules, P + "text").select(P + "row", (F.size(P + "broken") == 0).alias(P + "kept"))
+    return where_computed(judged, F.col(P + "kept")).select(P + "row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
