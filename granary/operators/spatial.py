@@ -13,6 +13,8 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.lookup import lookup
+
 BUCKET_DEGREES = 1.0
 
 
@@ -63,9 +65,9 @@ def enrich_locations(df: DataFrame, layers: DataFrame, out: Mapping[int, str], l
                      lon: str = "lon", size: float = BUCKET_DEGREES) -> DataFrame:
     """Adds the area names to every row, keeping rows outside all areas.
 
-    Each distinct location is tested once and the result is mapped back by an equi-join.
+    Each distinct location is tested once and the result is looked up; rows without a location have no areas.
     """
-    return df.join(locate(df, layers, out, lat, lon, size), [lat, lon], "left")
+    return lookup(df, locate(df, layers, out, lat, lon, size), [lat, lon])
 
 
 ADMIN_COLUMNS = {0: "country_iso", 1: "admin1", 2: "admin2", 3: "admin3"}

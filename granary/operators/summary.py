@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.functions.tails import t_pvalue
+from granary.operators.lookup import lookup
 from granary.operators.quantiles import exact_quantiles
 from granary.operators.series import Series
 
@@ -86,7 +87,7 @@ def histogram(df: DataFrame, col: str, bins: int, keys: Sequence[str] = ()) -> D
     """Equal bins between minimum and maximum; the maximum belongs to the last bin."""
     span = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     if keys:
-        spread = df.join(span, list(keys))
+        spread = lookup(df, span, list(keys), "inner")
     else:
         limits = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
         spread = df.withColumn("_s", limits).withColumns({"_lo": F.col("_s.lo"), "_hi": F.col("_s.hi")})
@@ -178,5 +179,5 @@ def encode(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     out = df
     for c in cols:
         codes = mapping.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
-        out = out.join(codes, [c], "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+        out = lookup(out, codes, [c]).withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
     return out, mapping

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import cells, dates, names, numeric, tails
 from granary.operators import (
-    clusters, correlation, forecast, grids, index, panel, quantiles, regression, series, spatial, stationarity, summary, trees,
+    clusters, correlation, forecast, grids, index, lookup, panel, quantiles, regression, series, spatial, stationarity, summary, trees,
 )
 from granary.operators.series import Series
 from granary.session import shared_folder
@@ -282,6 +282,29 @@ def test_change_pads_forward_and_window_needs_all_rows(spark):
     assert column(acc, "s_2", "month") == [None, None, 3.0, 6.0]
 
 
+# --- lookups ----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("bound", [0, 100])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_is_the_same_join_on_either_way(spark, how, bound):
+    rows = [("hot", i, None if i % 5 == 0 else i % 3) for i in range(4000)] + [(None, i, 1) for i in range(3000)] + [("rare", 1, 2), ("absent", 1, 1)] * 3
+    df = spark.createDataFrame(rows, "k string, i int, j int").repartition(4)
+    table = spark.createDataFrame([("hot", 1, "a"), ("hot", 2, "b"), ("rare", 2, "c"), (None, 1, "never"), ("hot", None, "never")], "k string, j int, name string")
+    got = lookup.lookup(df, table, ["k", "j"], how, bound)
+    assert got.columns == ["k", "i", "j", "name"]
+    names = {("hot", 1): "a", ("hot", 2): "b", ("rare", 2): "c"}
+    want = [(k, i, j, names.get((k, j))) for k, i, j in rows if how == "left" or (k, j) in names]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_large_lookup_spreads_a_hot_key(spark):
+    df = spark.range(40_000).selectExpr("id", "CASE WHEN id % 5 < 2 THEN 0 ELSE id END AS k")
+    out = lookup.lookup(df, spark.range(40_000).selectExpr("id AS k", "id AS v"), ["k"], bound=0)
+    sizes = [r["count"] for r in out.repartition(8, "k").filter("k = 0").groupBy("v").count().collect()]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert sizes == [16_000] and "_salt" in text
+
+
 # --- quantiles --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("window_values", [0, 10, 10 ** 6])
