@@ -86,22 +86,22 @@ def linked(a: int, b: int, common: int) -> bool:
     return 100 * common >= PERCENT * (a + b - common)
 
 
-def bitmap(own: np.ndarray, each: int = 4, most: int = 262_144) -> bytes:
-    """At least ``each`` bits for each shingle: a power of two from 256 to ``most``.
+def bitmap(own: np.ndarray, each: int = 4, least: int = 256, most: int = 262_144) -> bytes:
+    """At least ``each`` bits for each shingle: a power of two from ``least`` to ``most``.
 
     With four bits so few shingles hide behind another's bit that the bound on the overlap stays
-    sharp. One bit tells texts that merely share a passage apart, and longer ones are told apart
-    by their sizes.
+    sharp.
     """
-    bits = min(max(256, each << int(len(own) - 1).bit_length()), most)
+    bits = min(max(least, each << int(len(own) - 1).bit_length()), most)
     out = np.zeros(bits, np.uint8)
     out[(own >> np.uint64(40)) & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
 def brief(own: np.ndarray) -> bytes:
-    """The bitmap that goes into blocks, one copy for each head shingle."""
-    return bitmap(own, 1, 4096)
+    """The bitmap that goes into blocks, one copy for each head shingle: as sharp as the full one for
+    short texts, one bit a shingle for long ones, which is enough to tell unlike texts apart."""
+    return bitmap(own, 1, 1024, 8192)
 
 
 # Passes over the texts.
