@@ -7,13 +7,13 @@ from typing import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.functions.numeric import pair_count, safe_corr
+from granary.operators.quantiles import exact_quantiles
 from granary.operators.series import Series, fill_both
 from granary.operators.summary import well_observed
 
@@ -23,6 +23,8 @@ SWEEP = tuple(range(2, 15))
 FINAL_K = 15
 RATE_K = 10
 MIN_OBSERVATIONS = 20
+#: Rounds of Lloyd's method, at most.
+ROUNDS = 100
 
 
 def dense_series(df: DataFrame, key: str, time: str, value: str, min_n: int = MIN_OBSERVATIONS) -> DataFrame:
@@ -87,10 +89,40 @@ def membership(labels: DataFrame, markets: DataFrame, key: str, attributes: Sequ
     return labels.join(markets.select(key, *attributes).dropDuplicates(), [key], "left")
 
 
+def interval_of(value: Column, centres: Sequence[float]) -> Column:
+    """Number of the nearest of ascending centres; half way between two, the lower one."""
+    cuts = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    # One constant array, so that the rounds share their generated code.
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda cut: cut < value))
+
+
+def line_centres(df: DataFrame, col: str, k: int, rounds: int = ROUNDS) -> list[float]:
+    """Ascending centres of single numbers: Lloyd's rounds from the middles of ``k`` equal shares of the rows.
+
+    On a line a cluster is an interval, so a round only needs count and sum between neighbouring
+    middles. Values are counted once; a round is one aggregation of those counts with partial
+    sums, and ``k`` numbers come back. Empty intervals are given up.
+    """
+    shares = {f"q{i}": (i + 0.5) / k for i in range(k)}
+    first = exact_quantiles(df, [], col, shares).first()
+    centres = sorted({first[n] for n in shares if first[n] is not None}) if first else []
+    counted = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_x")).agg(F.count(F.lit(1)).alias("_c")).persist()
+    for _ in range(rounds):
+        sums = counted.groupBy(interval_of(F.col("_x"), centres).alias("i")).agg(
+            (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("mean")).collect()
+        moved = sorted(r["mean"] for r in sums)
+        still = len(moved) == len(centres) and all(abs(a - b) <= 1e-12 * (centres[-1] - centres[0]) for a, b in zip(moved, centres))
+        centres = moved
+        if still:
+            break
+    counted.unpersist()
+    return centres
+
+
 def rate_clusters(df: DataFrame, rate: str, k: int = RATE_K) -> DataFrame:
-    """Clusters of single change rates."""
-    rows = VectorAssembler(inputCols=[rate], outputCol="features").transform(df.dropna(subset=[rate]))
-    return kmeans(k).fit(rows).transform(rows).drop("features")
+    """Clusters of single change rates, numbered from the lowest centre."""
+    rows = df.dropna(subset=[rate])
+    return rows.withColumn("cluster", interval_of(F.col(rate), line_centres(rows, rate, k)))
 
 
 def cluster_statistics(series: DataFrame, labels: DataFrame, key: str, value: str) -> DataFrame:

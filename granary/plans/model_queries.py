@@ -425,7 +425,21 @@ def market_clusters(t):
     return clusters.membership(labels, t.price_obs, "market_id", ["market", "countryiso3", "latitude", "longitude"])
 
 
-@query("h23_rate_clusters", "market_id month:d inflation_rate:6 cluster")
+cte("rate_values", "SELECT inflation_rate AS x, count(*) AS c FROM market_inflation WHERE inflation_rate IS NOT NULL GROUP BY ALL")
+cte("rate_starts", "SELECT list(x ORDER BY x) AS m FROM (SELECT DISTINCT unnest(quantile_cont(inflation_rate, [" + ", ".join(
+    str((i + 0.5) / clusters.RATE_K) for i in range(clusters.RATE_K)) + "])) AS x FROM market_inflation)")
+_NEAREST = "len(list_filter(range(1, len(m)), lambda j: x > (m[j] + m[j + 1]) / 2))"
+
+
+@query("h23_rate_clusters", "market_id month:d inflation_rate:6 cluster", f"""
+SELECT market_id, month, x AS inflation_rate, {_NEAREST} AS cluster
+FROM (SELECT market_id, month, inflation_rate AS x FROM market_inflation WHERE inflation_rate IS NOT NULL) r, (
+  WITH RECURSIVE lloyd AS (
+    SELECT 0 AS i, m FROM rate_starts
+    UNION ALL
+    SELECT i + 1, (SELECT list(a ORDER BY a) FROM (SELECT sum(x * c) / sum(c) AS a FROM rate_values GROUP BY {_NEAREST}))
+    FROM lloyd WHERE i < {clusters.ROUNDS})
+  SELECT m FROM lloyd WHERE i = {clusters.ROUNDS}) centres""")
 def rate_clusters(t):
     return clusters.rate_clusters(flows.market_inflation(t.price_obs), "inflation_rate")
 

@@ -560,6 +560,20 @@ def test_gray_neighbours_differ_in_one_member():
     assert len(subsets) == 32 and all(len(a ^ b) == 1 for a, b in zip(subsets, subsets[1:]))
 
 
+def test_centres_on_a_line(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.1, 200) for c in (0, 5, 9)] + [[4.0] * 50])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    for parts in (1, 5):
+        centres = clusters.line_centres(df.repartition(parts), "x", 4)
+        nearest = np.abs(x[:, None] - np.array(centres)).argmin(axis=1)
+        assert len(centres) == 4 and np.allclose(centres, [x[nearest == i].mean() for i in range(4)])
+        got = clusters.rate_clusters(df, "x", 4).collect()
+        assert sorted((r.x, r.cluster) for r in got) == sorted(zip(x.tolist(), nearest.tolist()))
+    assert clusters.line_centres(df.filter("x > 100"), "x", 4) == []
+    assert clusters.line_centres(spark.createDataFrame([(1.0,)] * 9, "x double"), "x", 4) == [1.0]
+
+
 def test_sweep_inertia_falls(spark):
     rng = np.random.default_rng(2)
     rows = [(i, d, float(rng.normal() + 10 * (i % 3))) for i in range(30) for d in months(6)]
