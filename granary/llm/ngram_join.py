@@ -445,17 +445,18 @@ def open_blocks(rows: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    scratch = Scratch(docs.sparkSession)
+    scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     found = scratch.written(classes_and_frequencies(docs), "join-classes")
     rows = found.where(F.col("node").isNotNull())
     members = scratch.written(rows.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("rep")), "join-members")
-    signed = scratch.written(heads(docs, frequent_tokens(found, scratch)).dropDuplicates(["node"]), "join-heads")
+    signed = early.written(heads(docs, frequent_tokens(found, early)).dropDuplicates(["node"]), "join-heads")
     postings = signed.select("node", F.explode("head").alias("token"))
     postings = postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where(F.col("df") > 1)
     postings = scratch.written(postings.select("token", "node"), "join-postings")
     labels = scratch.written(postings.select("node").distinct().select("node", F.col("node").alias("comp")), "join-alone")
     attributes = signed.join(labels.select("node"), "node", "left_semi").select("node", "n", "sig", "brief")
     attributes = scratch.written(attributes, "join-attributes")
+    early.release()  # heads are the largest of all tables, and postings and attributes hold what is needed of them
     for seeding in range(SEEDINGS):
         # The hub of a block is drawn anew each time; a class is tried with its most frequent hub.
         own = postings.join(labels, "node")
