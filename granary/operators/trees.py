@@ -1,4 +1,4 @@
-"""Tree models of prices: a pooled forest by MLlib, forests and boosting per series.
+"""Tree models of prices: a pooled forest, forests and boosting per series.
 
 A series model is fitted to one bounded monthly series, which travels as one row of arrays; its
 trees grow level by level on columns that were sorted once, all trees of a forest, all lags of a
@@ -7,14 +7,14 @@ scan, or several series, in the same array operations.
 
 from __future__ import annotations
 
+import math
 import zlib
+from dataclasses import dataclass
+from itertools import groupby
 from typing import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,8 +22,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from granary.operators.series import TASK, Series, calendar_features, lag_months, rolling_past, spread
+from granary.session import shared_folder
+from granary.sources.tables import materialize
 
-# Sizes of the models. MLlib trees end at depth 30.
+# Sizes of the models.
 SEED = 42
 PANEL_FOREST = {"numTrees": 100, "maxDepth": 30}
 SERIES_FOREST = {"trees": 200, "depth": 10}
@@ -34,8 +36,7 @@ SCAN_LAGS = tuple(range(25))
 SCAN_MIN_ROWS = 36
 #: Boosting leaves are shrunk by one row's weight, and a split must gain more than this.
 PENALTY, LEAST_GAIN = 1.0, 1e-6
-#: Cut points tried per feature of the pooled forest. MLlib's own 32 would merge districts and prices into
-#: 32 classes; a feature with at most this many values is split exactly. Memory per tree node grows with it.
+#: Classes a feature of the pooled forest is cut into; one with at most this many values is split exactly.
 MAX_BINS = 256
 
 
@@ -317,28 +318,311 @@ def drought_lag_scan(df: DataFrame, s: Series, target: str, index: str, flag: st
 
 # --- pooled ------------------------------------------------------------------------------
 
-def forest(target: str, **params) -> RandomForestRegressor:
-    """A forest that weighs all features at every split. The node of each row is cached:
-    passing rows down trees of depth 30 anew for every level costs several times the fit."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=target, predictionCol="predicted", featureSubsetStrategy="all",
-        minInstancesPerNode=1, seed=SEED, cacheNodeIds=True, maxMemoryInMB=1024,
-        **{"maxBins": MAX_BINS, **PANEL_FOREST, **params})
+@dataclass(frozen=True)
+class Forest:
+    """A forest that weighs all features at every split, to be grown on any number of rows.
+
+    Rows travel as codes between the cut points. While a node has more than ``together`` rows, its
+    counts and sums per code are added up over all tasks, one round per level for all trees at once;
+    the rows of a smaller node meet in one task, which grows what is left of the tree below it.
+    """
+
+    target: str
+    numTrees: int = PANEL_FOREST["numTrees"]
+    maxDepth: int = PANEL_FOREST["maxDepth"]
+    maxBins: int = MAX_BINS
+    seed: int = SEED
+    together: int = 1 << 16
+
+
+@dataclass
+class Tops:
+    """The upper parts of all trees: per tree and node the feature, the last code that goes left and the left child (0: none)."""
+
+    feature: list[np.ndarray]
+    cut: list[np.ndarray]
+    left: list[np.ndarray]
+    depth: list[np.ndarray]
+
+    @staticmethod
+    def of(trees: int) -> Tops:
+        return Tops(*([np.zeros(1, np.int64) for _ in range(trees)] for _ in range(4)))
+
+    def split(self, tree: int, node: int, feature: int, cut: int) -> int:
+        """Splits a node; its left child, which the right one follows."""
+        child, below = len(self.left[tree]), self.depth[tree][node] + 1
+        self.feature[tree][node], self.cut[tree][node], self.left[tree][node] = feature, cut, child
+        for v, new in ((self.feature, 0), (self.cut, 0), (self.left, 0), (self.depth, below)):
+            v[tree] = np.append(v[tree], [new, new])
+        return child
+
+
+def forest(target: str, **params) -> Forest:
+    return Forest(target, **params)
+
+
+def walked(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The node without children that each row of (features, rows) codes ends in."""
+    node, rows = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
+    while len(rows):
+        rows = rows[left[node[rows]] > 0]
+        at = node[rows]
+        node[rows] = left[at] + (codes[feature[at], rows] > cut[at])
+    return node
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
 
-def fit_and_score(df: DataFrame, model, features: Sequence[str], target: str, keep: Sequence[str] = ()):
+def times_drawn(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """How often a tree draws each row: Poisson of mean 1, by a hash of the row, the tree and the seed."""
+    h = rows.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (tree + 1 + (seed << 20))) % 2 ** 64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return np.searchsorted(_POISSON[:-1], (h >> np.uint64(11)) / 2.0 ** 53, side="right")
+
+
+def gains_of(gl: np.ndarray, wl: np.ndarray, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What a split explains of the squares, given sums and weights of its left side and of the node."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return gl * gl / wl + (g - gl) ** 2 / (w - wl) - g * g / w
+
+
+def grown_below(codes: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, least: float):
+    """One tree on (features, rows) codes: per node feature, cut, left child (0: none) and value.
+
+    Columns are sorted once and stay sorted within the nodes. Of equal gains the first feature and the smallest code win.
+    """
+    g = w * y
+    feature, cut, left = (np.zeros(1, np.int64) for _ in range(3))
+    value = np.array([g.sum() / w.sum()])
+    orders = [np.argsort(c, kind="stable") for c in codes]
+    # Nodes of this level are numbered from 0; ``first`` is the number of the first one in the tree.
+    slot, first, k = np.zeros(len(y), np.int64), 0, 1
+    for _ in range(depth):
+        live = np.flatnonzero(slot >= 0)
+        size = np.bincount(slot[live], minlength=k)
+        gt, wt = np.bincount(slot[live], g[live], k), np.bincount(slot[live], w[live], k)
+        starts = np.cumsum(size) - size
+        s = np.repeat(np.arange(k), size)
+        same = np.append(s[1:] == s[:-1], False)
+        g_of, w_of = gt[s], wt[s]
+        best, chosen, code = np.full(k, least), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        kind = np.uint16 if k < 2 ** 16 else np.int64
+        for f, column in enumerate(codes):
+            o = orders[f]
+            at = slot[o]
+            o, at = o[at >= 0], at[at >= 0]
+            o = orders[f] = o[np.argsort(at.astype(kind), kind="stable")]
+            c = column[o]
+            gl, wl = g[o].cumsum(), w[o].cumsum()
+            gl -= np.repeat(np.append(0.0, gl)[starts], size)
+            wl -= np.repeat(np.append(0.0, wl)[starts], size)
+            cuts = same & np.append(c[1:] != c[:-1], False)
+            place = np.flatnonzero(cuts)
+            if not len(place):
+                continue
+            gain = gains_of(gl[place], wl[place], g_of[place], w_of[place])
+            own = s[place]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            top = np.maximum.reduceat(gain, begin)
+            hit = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(begin, len(own)))))[::-1]
+            at_top = np.zeros(k, np.int64)
+            at_top[own[hit]] = place[hit]
+            nodes = own[begin]
+            better = top > best[nodes] * (1 + 1e-12)
+            nodes = nodes[better]
+            best[nodes], chosen[nodes], code[nodes] = top[better], f, c[at_top[nodes]]
+        split = np.flatnonzero(best > least)
+        if not len(split):
+            break
+        rank = np.full(k, -1)
+        rank[split] = np.arange(len(split))
+        new = len(left)
+        feature[first + split], cut[first + split], left[first + split] = chosen[split], code[split], new + 2 * np.arange(len(split))
+        own = slot[live]
+        right = codes[chosen[own], live] > code[own]
+        slot[live] = np.where(rank[own] >= 0, 2 * rank[own] + right, -1)
+        first, k = new, 2 * len(split)
+        live = live[slot[live] >= 0]
+        gt, wt = np.bincount(slot[live], g[live], k), np.bincount(slot[live], w[live], k)
+        value = np.append(value, gt / wt)
+        feature, cut, left = (np.append(v, np.zeros(k, np.int64)) for v in (feature, cut, left))
+    return feature, cut, left, value
+
+
+def cut_points(df: DataFrame, features: Sequence[str], most: int) -> list[list[float]]:
+    """Ascending cut points per feature: between all its values if these are few, at equal shares of the rows otherwise."""
+    sizes = df.agg(*[F.approx_count_distinct(f, 0.02).alias(f) for f in features]).first()
+    few = [f for f in features if sizes[f] <= 2 * most]
+    shares = [i / most for i in range(1, most)]
+    found = df.agg(*[(F.array_sort(F.collect_set(f)) if f in few else F.percentile_approx(f, shares, 20 * most)).alias(f) for f in features]).first()
+
+    def middles(values: list[float]) -> list[float]:
+        values = sorted(set(values))
+        if len(values) > most:
+            # More values than bins after all: the middles next to equal shares of the values.
+            values = [values[i * len(values) // most] for i in range(most)]
+        return [(a + b) / 2 for a, b in zip(values, values[1:])]
+
+    return [middles(found[f]) if f in few else sorted(set(found[f])) for f in features]
+
+
+def coded(df: DataFrame, features: Sequence[str], target: str, cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """(_row, _draw, train, y, codes): the codes of all features of a row in one value of two bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            x = [batch.column(f"_f{i}").to_numpy(zero_copy_only=False) for i in range(len(features))]
+            codes = np.stack([np.searchsorted(np.asarray(c), v, side="left").astype("<u2") for c, v in zip(cuts, x)], axis=1)
+            held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * len(features)), len(codes), [None, pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_draw", "train", "y")), held.cast(pa.binary())],
+                                             names=["_row", "_draw", "train", "y", "codes"])
+
+    source = df.select("_row", "_draw", (F.col("split") == "train").alias("train"), F.col(target).cast("double").alias("y"),
+                       *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    return source.mapInArrow(run, "_row bigint, _draw bigint, train boolean, y double, codes binary")
+
+
+def _codes(column: pa.Array, features: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, features).T
+
+
+def grown_tops(rows: DataFrame, model: Forest, features: int, middle: float, least: float) -> Tops:
+    """The splits of all nodes with more than ``together`` drawn rows."""
+    tops, bins = Tops.of(model.numTrees), model.maxBins
+    open_ = {(t, 0) for t in range(model.numTrees)}
+    train = rows.filter("train").drop("_row", "train")
+    if train.limit(model.together + 1).count() <= model.together:
+        return tops
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while open_:
+        state = rows.sparkSession.sparkContext.broadcast((tops, open_))
+
+        def counted(batches):
+            tops, open_ = state.value
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                codes, y = _codes(batch.column("codes"), features), batch.column("y").to_numpy() - middle
+                draws = batch.column("_draw").to_numpy()
+                cell = codes + (np.arange(features) * bins)[:, None]
+                for t in sorted({t for t, _ in open_}):
+                    drawn = np.flatnonzero(w := times_drawn(draws, t, model.seed))
+                    node = walked(codes[:, drawn], tops.feature[t], tops.cut[t], tops.left[t])
+                    for k in np.unique(node).tolist():
+                        if (t, k) in open_:
+                            own = drawn[node == k]
+                            at = cell[:, own].ravel()
+                            held = sums.setdefault((t, k), np.zeros((3, features * bins)))
+                            for i, v in enumerate((np.ones(len(own)), w[own], w[own] * y[own])):
+                                held[i] += np.bincount(at, np.tile(v, features), features * bins)
+            for (t, k), held in sums.items():
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "node": pa.array([k], pa.int32()), "sums": [held.tobytes()]})
+
+        def chosen(batches):
+            for name, many in groupby(((batch.column("tree")[i].as_py(), batch.column("node")[i].as_py(), batch.column("sums")[i].as_py())
+                                       for batch in batches for i in range(batch.num_rows)), key=lambda r: r[:2]):
+                total = np.zeros((3, features, bins))
+                for *_, held in many:
+                    total += np.frombuffer(held).reshape(total.shape)
+                n, w, g = total.cumsum(axis=2)
+                gain = gains_of(g[:, :-1], w[:, :-1], g[:, -1:], w[:, -1:])
+                # A cut below or above all rows is none, and one between codes without rows is the one before.
+                gain = np.where((n[:, :-1] > 0) & (n[:, :-1] < n[:, -1:]) & (total[0, :, :-1] > 0), gain, -np.inf)
+                f, c = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[f, c] > least:
+                    yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.int32()) for k, v in zip(("tree", "node", "feature", "cut"), (*name, f, c))},
+                                                      "n_left": [int(n[f, c])], "n_right": [int(n[f, -1] - n[f, c])]})
+
+        parts = train.mapInArrow(counted, "tree int, node int, sums binary").repartition(tasks, "tree", "node").sortWithinPartitions("tree", "node")
+        found = parts.mapInArrow(chosen, "tree int, node int, feature int, cut int, n_left bigint, n_right bigint").collect()
+        open_ = set()
+        for r in sorted(found, key=lambda r: (r["tree"], r["node"])):
+            child = tops.split(r["tree"], r["node"], r["feature"], r["cut"])
+            if tops.depth[r["tree"]][child] < model.maxDepth:
+                open_ |= {(r["tree"], child + i) for i, n in enumerate((r["n_left"], r["n_right"])) if n > model.together}
+        state.unpersist()
+    return tops
+
+
+def predictions(rows: DataFrame, model: Forest, features: int, tops: Tops, middle: float, least: float) -> DataFrame:
+    """(_row, predicted): each tree is grown below its tops, node by node, by the task that holds the node's rows."""
+    state = rows.sparkSession.sparkContext.broadcast(tops)
+    width = 2 * features
+
+    def dealt(batches):
+        tops = state.value
+        for batch in batches:
+            codes, ids, y = _codes(batch.column("codes"), features), batch.column("_row").to_numpy(), batch.column("y").to_numpy() - middle
+            train, draws = batch.column("train").to_numpy(zero_copy_only=False), batch.column("_draw").to_numpy()
+            for t in range(model.numTrees):
+                w = np.where(train, times_drawn(draws, t, model.seed), 0)
+                node = walked(codes, tops.feature[t], tops.cut[t], tops.left[t])
+                # Drawn rows first: they grow the tree before any row is sent down.
+                order = np.lexsort((w == 0, node))
+                name = 2 * node[order] + (w[order] == 0)
+                ends = np.append(np.flatnonzero(name[1:] != name[:-1]) + 1, len(name))
+                out = []
+                for a, b in zip(np.append(0, ends[:-1]), ends):
+                    own = order[a:b]
+                    out.append((t, int(name[a]) // 2, int(name[a]) % 2, ids[own].tobytes(), codes.T[own].tobytes(),
+                                y[own].tobytes() if w[own[0]] else b"", w[own].astype(np.uint8).tobytes() if w[own[0]] else b""))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), packed)], schema=packed)
+
+    def fitted(batches):
+        records = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        for (t, k), many in groupby(records, key=lambda r: (r["tree"], r["node"])):
+            grows, tree = [], None
+
+            def grow():
+                codes = np.concatenate([np.frombuffer(r["codes"], "<u2").reshape(-1, features) for r in grows]).T
+                y, w = (np.concatenate([np.frombuffer(r[c], kind) for r in grows]) for c, kind in (("y", float), ("w", np.uint8)))
+                return grown_below(np.ascontiguousarray(codes), y, w.astype(float), model.maxDepth - int(state.value.depth[t][k]), least)
+
+            def sent(r):
+                codes = np.frombuffer(r["codes"], "<u2").reshape(-1, features).T
+                feature, cut, left, value = tree
+                return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(value[walked(codes, feature, cut, left)])], names=["_row", "value"])
+
+            for r in many:
+                if tree is None and not r["rest"]:
+                    grows.append(r)
+                    continue
+                tree = tree or grow()
+                yield sent(r)
+            tree = tree or grow()
+            for r in grows:
+                yield sent(r)
+
+    schema = "tree int, node int, rest int, ids binary, codes binary, y binary, w binary"
+    packed = to_arrow_schema(StructType.fromDDL(schema))
+    nodes = sum(int((left == 0).sum()) for left in tops.left)
+    # A task gets about one node, so that it holds no more than that node's rows.
+    blocks = rows.mapInArrow(dealt, schema).repartition(min(nodes, 10_000), "tree", "node").sortWithinPartitions("tree", "node", "rest")
+    values = blocks.mapInArrow(fitted, "_row bigint, value double")
+    return values.groupBy("_row").agg((F.sum("value") / model.numTrees + middle).alias("predicted"))
+
+
+def fit_and_score(df: DataFrame, model: Forest, features: Sequence[str], target: str, keep: Sequence[str] = ()):
     """Fit on the rows marked ``train`` and predict all.
 
-    Returns the predictions (``actual``, ``predicted``) and the fitted model. The rows stay
-    cached, and spill to disk, for whoever reads the predictions.
+    Returns the predictions (``actual``, ``predicted``) and the upper parts of the trees. The rows
+    are written once, since they are read several times and the panel behind them is a long plan.
+    Rows are drawn by a hash of their ``keep`` columns (all columns, if there are none), so that
+    reruns agree.
     """
-    rows = assembled(df.dropna(subset=[target, *features]), features).select(*keep, "split", target, "features")
-    # MLlib reads its input several times; the panel behind it is a long plan.
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = model.fit(rows.filter(F.col("split") == "train"))
-    scored = fitted.transform(rows).select(*keep, "split", F.col(target).alias("actual"), "predicted")
-    return scored, fitted
+    folder, features = shared_folder(df.sparkSession), list(features)
+    rows = df.dropna(subset=[target, *features]).select(*dict.fromkeys([*keep, "split", target, *features]))
+    rows = rows.withColumns({"_row": F.monotonically_increasing_id(), "_draw": F.xxhash64(*(keep or rows.columns))})
+    rows = materialize(rows, f"{folder}/panel")
+    train = rows.filter(F.col("split") == "train")
+    total = train.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("spread")).first()
+    if not total["n"]:
+        raise ValueError("no row is marked train")
+    middle, least = total["mean"], 1e-12 * max(total["n"] * total["spread"], 1e-300)
+    codes = materialize(coded(rows, features, target, cut_points(train, features, model.maxBins)), f"{folder}/codes")
+    tops = grown_tops(codes, model, len(features), middle, least)
+    values = predictions(codes, model, len(features), tops, middle, least)
+    scored = rows.join(values, "_row").select(*keep, "split", F.col(target).alias("actual"), "predicted")
+    return scored, tops

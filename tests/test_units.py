@@ -590,3 +590,38 @@ def test_codes_are_alphabetical_and_missing_is_minus_one(spark):
     coded, mapping = summary.encode(df, ["c"])
     assert {(r.c, r.c_code) for r in coded.collect()} == {("a", 0), ("b", 1), (None, -1)}
     assert mapping.count() == 2
+
+
+def test_pooled_forest_grows_alike_over_tasks_and_in_one(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=400), rng.integers(0, 5, 400), rng.normal(size=400).round(1)])
+    y = x[:, 0] + x[:, 1] ** 2 + rng.normal(size=400)
+    rows = [(i, *map(float, v), float(t), "train" if i % 4 else "test") for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, y double, split string")
+
+    def predicted(part, **params):
+        scored, tops = trees.fit_and_score(part, trees.forest("y", numTrees=3, **params), ["a", "b", "c"], "y", ["i"])
+        return {r.i: r.predicted for r in scored.collect()}, tops
+
+    whole, _ = predicted(df, maxDepth=4)
+    # The same trees from rounds over all tasks, and from rows in another order and other partitions.
+    parts, tops = predicted(df, maxDepth=4, together=20)
+    assert all(len(left) > 5 for left in tops.left)
+    moved, _ = predicted(df.repartition(7), maxDepth=4)
+    assert len(whole) == 400 and all(abs(parts[i] - p) < 1e-9 and abs(moved[i] - p) < 1e-9 for i, p in whole.items())
+
+
+def test_tree_below_a_node_is_the_tree_by_hand():
+    rng = np.random.default_rng(5)
+    codes, y = rng.integers(0, 9, (3, 60)), rng.normal(size=60)
+    w = trees.times_drawn(np.arange(60), 0, 1).astype(float)
+    drawn = w > 0
+    feature, cut, left, value = trees.grown_below(codes[:, drawn], y[drawn], w[drawn], 30, 1e-12)
+    assert 0.8 < trees.times_drawn(np.arange(100_000), 3, 42).mean() / 1.0 < 1.2
+    for depth in (1, 3):
+        short = trees.grown_below(codes[:, drawn], y[drawn], w[drawn], depth, 1e-12)
+        by_hand, _ = tree_by_hand(codes.astype(float), y, w, depth, 0.0, 1e-12)
+        assert np.allclose(short[3][trees.walked(codes, *short[:3])][drawn], by_hand[drawn])
+    # Rows of the same codes share a leaf, all others are told apart.
+    ends = trees.walked(codes[:, drawn], feature, cut, left)
+    assert len(set(ends.tolist())) == len({tuple(c) for c in codes[:, drawn].T})
