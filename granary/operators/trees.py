@@ -22,8 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from granary.operators.series import TASK, Series, calendar_features, lag_months, rolling_past, spread
-from granary.session import shared_folder
-from granary.sources.tables import materialize
+from granary.sources.tables import kept
 
 # Sizes of the models.
 SEED = 42
@@ -612,16 +611,16 @@ def fit_and_score(df: DataFrame, model: Forest, features: Sequence[str], target:
     Rows are drawn by a hash of their ``keep`` columns (all columns, if there are none), so that
     reruns agree.
     """
-    folder, features = shared_folder(df.sparkSession), list(features)
+    features = list(features)
     rows = df.dropna(subset=[target, *features]).select(*dict.fromkeys([*keep, "split", target, *features]))
     rows = rows.withColumns({"_row": F.monotonically_increasing_id(), "_draw": F.xxhash64(*(keep or rows.columns))})
-    rows = materialize(rows, f"{folder}/panel")
+    rows = kept(rows, "forest-rows")
     train = rows.filter(F.col("split") == "train")
     total = train.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("spread")).first()
     if not total["n"]:
         raise ValueError("no row is marked train")
     middle, least = total["mean"], 1e-12 * max(total["n"] * total["spread"], 1e-300)
-    codes = materialize(coded(rows, features, target, cut_points(train, features, model.maxBins)), f"{folder}/codes")
+    codes = kept(coded(rows, features, target, cut_points(train, features, model.maxBins)), "forest-codes")
     tops = grown_tops(codes, model, len(features), middle, least)
     values = predictions(codes, model, len(features), tops, middle, least)
     scored = rows.join(values, "_row").select(*keep, "split", F.col(target).alias("actual"), "predicted")

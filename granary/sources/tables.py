@@ -11,6 +11,7 @@ from pyspark.sql.types import (
 )
 
 from granary.functions.numeric import nan_to_null, null_if_nan
+from granary.session import shared_folder
 
 PRICE_SCHEMA = StructType([
     StructField("countryiso3", StringType()),
@@ -139,3 +140,8 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     if not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it several times."""
+    return materialize(df, f"{shared_folder(df.sparkSession)}/{name}")
