@@ -16,6 +16,7 @@ from granary.functions.numeric import pair_count, safe_corr
 from granary.operators.quantiles import exact_quantiles
 from granary.operators.series import Series, fill_both
 from granary.operators.summary import well_observed
+from granary.sources.tables import kept
 
 # Cluster counts and the fewest observations of a market.
 SEED = 42
@@ -23,6 +24,8 @@ SWEEP = tuple(range(2, 15))
 FINAL_K = 15
 RATE_K = 10
 MIN_OBSERVATIONS = 20
+#: Vectors of markets a task holds.
+TOGETHER = 8192
 #: Rounds of Lloyd's method, at most.
 ROUNDS = 100
 
@@ -31,7 +34,8 @@ def dense_series(df: DataFrame, key: str, time: str, value: str, min_n: int = MI
     """Mean value per market and month for markets with enough months, on the months of the
     whole table, gaps filled forward and then backward."""
     means = df.dropna(subset=[key, time]).groupBy(key, time).agg(F.avg(value).alias(value))
-    means = well_observed(means, [key], value, min_n)
+    # The means are read for their counts, for the calendar, for the markets and for themselves.
+    means = kept(well_observed(kept(means, "market-months"), [key], value, min_n), "observed-months")
     first, last = means.agg(F.min(time)).scalar(), means.agg(F.max(time)).scalar()
     frame = means.select(key).distinct().select(
         key, F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias(time))
@@ -50,9 +54,11 @@ def standardise_by_date(df: DataFrame, time: str, value: str, out: str = "z") ->
 
 
 def market_vectors(df: DataFrame, key: str, time: str, z: str = "z") -> DataFrame:
-    """One vector per market, its values in date order; as long as the calendar."""
+    """One vector per market, its values in date order; as long as the calendar. Markets lie in order of their key."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(time), F.col(z)))), lambda s: s[z])
-    return df.groupBy(key).agg(ordered.alias("_a")).select(key, array_to_vector("_a").alias("features"))
+    vectors = kept(df.groupBy(key).agg(ordered.alias("_a")), "vectors").select(key, array_to_vector("_a").alias("features"))
+    # Each task of each round of each fit sends sums to the driver: as few tasks as the vectors need, not one per shuffle partition.
+    return vectors.repartitionByRange(-(-vectors.count() // TOGETHER) or 1, key).sortWithinPartitions(key)
 
 
 def kmeans(k: int, **params) -> KMeans:
@@ -121,7 +127,7 @@ def line_centres(df: DataFrame, col: str, k: int, rounds: int = ROUNDS) -> list[
 
 def rate_clusters(df: DataFrame, rate: str, k: int = RATE_K) -> DataFrame:
     """Clusters of single change rates, numbered from the lowest centre."""
-    rows = df.dropna(subset=[rate])
+    rows = kept(df.dropna(subset=[rate]), "rates")
     return rows.withColumn("cluster", interval_of(F.col(rate), line_centres(rows, rate, k)))
 
 
