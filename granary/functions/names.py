@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 from typing import Sequence
 
 from pyspark.sql import Column
@@ -58,14 +57,20 @@ def unit_weight(unit: Column, mode: str = "first_number") -> Column:
 
 
 def names_any(name: Column, targets: Sequence[str]) -> Column:
-    return reduce(or_, (F.contains(name, F.lit(t)) for t in targets))
+    # One pattern: a name that is a long expression itself is computed once, not once per target.
+    return name.rlike("|".join(re.escape(t) for t in targets))
 
 
 def commodity_group(name: Column, targets: Sequence[str], ignore_case: bool = False) -> Column:
     """First target contained in the name, in list order; the name itself if none is."""
-    text = F.lower(name) if ignore_case else name
-    tests = [F.contains(text, F.lit(t.lower() if ignore_case else t)) for t in targets]
-    return F.coalesce(*[F.when(hit, F.lit(t)) for hit, t in zip(tests, targets)], name)
+
+    def family(n: Column) -> Column:
+        text = F.lower(n) if ignore_case else n
+        tests = [F.contains(text, F.lit(t.lower() if ignore_case else t)) for t in targets]
+        return F.coalesce(*[F.when(hit, F.lit(t)) for hit, t in zip(tests, targets)], n)
+
+    # Bound once: a name that is a long expression itself is computed once, not once per target.
+    return F.element_at(F.transform(F.array(name), family), 1)
 
 
 def matches(name: Column, pattern: str) -> Column:

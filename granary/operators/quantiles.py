@@ -77,7 +77,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
 
 def _selected(counted: DataFrame, many: DataFrame, ks: Sequence[str], wanted: Mapping[str, Column]) -> DataFrame:
     """Rows of (group, _q, _n, _x): the value at each wanted rank of the groups in ``many``."""
-    values = counted.filter(F.col("_x").isNotNull())
+    # NULLs have the count 0. A filter on the value itself would go below the count, and the rows be read and counted again.
+    values = counted.filter(F.col("_c") > 0).select(*ks, F.when(F.col("_c") > 0, F.col("_x")).alias("_x"), "_c")
     holds = lambda rank, start, end: (start <= rank) & (rank < end)
 
     # The first round is the same for all ranks of a group.

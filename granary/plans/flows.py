@@ -13,6 +13,7 @@ from granary.functions.numeric import above, below, log_of, safe_corr
 from granary.operators import correlation, index, panel, regression, series, spatial
 from granary.operators.forecast import prepare
 from granary.operators.series import Series
+from granary.sources.tables import kept
 
 PANEL_KEYS = ["countryiso3", "month", "commodity_group"]
 
@@ -81,8 +82,10 @@ def with_logs(rows: DataFrame, price: str) -> DataFrame:
 def regression_rows(prices: DataFrame, indices: DataFrame, macro: DataFrame, price: str) -> DataFrame:
     """Prices, index by scale, its drought and flood parts (0 where there is no index) and log controls."""
     rows = panel.join_on(price_index_rows(prices, indices), macro_months(macro), ["month"], "left")
-    return with_logs(rows, price).withColumns({
+    rows = with_logs(rows, price).withColumns({
         "spi_drought": below(F.col("spi"), -0.5), "spi_flood": above(F.col("spi"), 0.5)})
+    # Correlations, fits and residuals all read these few rows; the tables behind them are read once.
+    return kept(rows, "regression-rows")
 
 
 def at_best_scale(rows: DataFrame, keys: Sequence[str], price: str, mode: str, min_n: int = 20) -> DataFrame:
@@ -164,12 +167,13 @@ def forecast_panel(prices: DataFrame, indices_wide: DataFrame, macro: DataFrame,
     rows = panel.join_on(rows, macro_months(macro), ["month"], "left")
     rows = prepare(rows, s, "usdprice")
     spi, flag = F.col(f"spi_{scale}"), F.col(f"spi_{flag_scale or scale}")
-    return rows.withColumns({
+    rows = rows.withColumns({
         "log_energy": log_of(F.col("energy_index")), "log_food": log_of(F.col("food_index")),
         "log_fertilizer": log_of(F.col("fertilizer_index")),
         "drought_severe": F.when(flag < 0.5, 1).otherwise(0), "flood_severe": F.when(flag > 0.5, 1).otherwise(0),
         "drought_spi": F.when(flag < 0, spi).otherwise(0.0), "flood_spi": F.when(flag > 0, spi).otherwise(0.0),
         "spi_lag_6": F.lag(flag, 6).over(s.window())})
+    return kept(rows, "forecast-panel")
 
 
 def with_best_scale(rows: DataFrame, s: Series, price: str = "usdprice",
