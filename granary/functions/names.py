@@ -64,13 +64,12 @@ def names_any(name: Column, targets: Sequence[str]) -> Column:
 def commodity_group(name: Column, targets: Sequence[str], ignore_case: bool = False) -> Column:
     """First target contained in the name, in list order; the name itself if none is."""
 
-    def family(n: Column) -> Column:
-        text = F.lower(n) if ignore_case else n
-        tests = [F.contains(text, F.lit(t.lower() if ignore_case else t)) for t in targets]
-        return F.coalesce(*[F.when(hit, F.lit(t)) for hit, t in zip(tests, targets)], n)
-
-    # Bound once: a name that is a long expression itself is computed once, not once per target.
-    return F.element_at(F.transform(F.array(name), family), 1)
+    text = F.lower(name) if ignore_case else name
+    # Contained and absent are told apart in compiled code; a lambda over the name is interpreted row by row.
+    out = name
+    for t in reversed(targets):
+        out = F.when(F.contains(text, F.lit(t.lower() if ignore_case else t)), F.lit(t)).otherwise(out)
+    return out
 
 
 def matches(name: Column, pattern: str) -> Column:

@@ -50,6 +50,17 @@ def group_commodities(df: DataFrame, targets: Sequence[str], ignore_case: bool =
     return df.withColumn("commodity_group", commodity_group(F.col("commodity"), targets, ignore_case))
 
 
+def only_groups(df: DataFrame, targets: Sequence[str], ignore_case: bool = False) -> DataFrame:
+    """As ``group_commodities``, without the rows that have no name and so no group.
+
+    The group then cannot be NULL, and a later test of the group key is not pushed down as a
+    copy of the whole expression, which would work out the name once per target.
+    """
+    named = with_keys(df, ["commodity"])
+    group = commodity_group(F.col("commodity"), targets, ignore_case)
+    return named.withColumn("commodity_group", F.coalesce(group, F.lit("")))
+
+
 def mean_by(df: DataFrame, keys: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     return with_keys(df, keys).groupBy(*keys).agg(F.avg(col).alias(out or col))
 

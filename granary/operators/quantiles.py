@@ -52,7 +52,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     ks = [f"_g{i}" for i in range(len(keys))]
     x = F.col("_x")
     counted = df.select(*[F.col(k).alias(g) for k, g in zip(keys, ks)], F.col(col).cast("double").alias("_x")).groupBy(
-        *ks, "_x").agg(F.sum(F.when(x.isNotNull(), 1).otherwise(0)).alias("_c"))
+        *ks, "_x").agg(F.sum(F.when(x.isNotNull(), 1).otherwise(0)).alias("_c"), F.max("_x").alias("_m"))
+    # The value as an aggregate: a filter on it stays above the count, so that all readers share one. (0 has one sign, as in a key.)
+    counted = counted.select(*ks, (F.col("_m") + F.lit(0.0)).alias("_x"), "_c")
     sizes = counted.groupBy(*ks).agg(F.sum("_c").alias("_n"), F.count("_x").alias("_v"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
     sizes = sizes.select(*[F.col(g).alias(f"_{g}") for g in ks], "_n", "_v", "_low", "_high")
     ranks = {n: (F.col("_n") - 1) * F.lit(float(p)) for n, p in probs.items()}
@@ -70,7 +72,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping
     sides = selected.groupBy(*ks).agg(F.max("_n").alias("_n"), *[
         F.max(F.when(F.col("_q") == f"{n}:{side}", x)).alias(f"{n}:{side}") for n in probs for side in ("low", "high")])
     sides = sides.withColumns({f"{n}:part": r - F.floor(r) for n, r in ranks.items()}).select(ranked.columns)
-    both = ranked.unionByName(sides)
+    both = sides.unionByName(ranked)
     value = lambda n: F.col(f"`{n}:low`") + (F.col(f"`{n}:high`") - F.col(f"`{n}:low`")) * F.col(f"`{n}:part`")
     return both.select(*[F.col(g).alias(k) for g, k in zip(ks, keys)], *[value(n).alias(n) for n in probs])
 

@@ -21,20 +21,20 @@ PANEL_KEYS = ["countryiso3", "month", "commodity_group"]
 def monthly_prices(prices: DataFrame, targets: Sequence[str] = names.STAPLES_AND_TEFF) -> DataFrame:
     """Mean price per kg by country, month and commodity family."""
     rows = panel.without(panel.only_commodities(prices, targets), names.NOT_FOOD)
-    rows = panel.price_per_kg(panel.group_commodities(series.with_month(rows), targets))
+    rows = panel.price_per_kg(panel.only_groups(series.with_month(rows), targets))
     return panel.mean_by(rows, PANEL_KEYS, "price_per_kg")
 
 
 def monthly_usd_prices(prices: DataFrame, targets: Sequence[str] = names.STAPLES) -> DataFrame:
     """Mean price of whatever unit is sold, as the pooled regression uses it."""
-    rows = panel.group_commodities(panel.only_commodities(series.with_month(prices), targets), targets)
+    rows = panel.only_groups(panel.only_commodities(series.with_month(prices), targets), targets)
     return panel.mean_by(rows, PANEL_KEYS, "usdprice")
 
 
 def national_medians(prices: DataFrame) -> DataFrame:
     """Exact median price per country, month and family, sacks brought to one kg."""
     rows = panel.normalise_sacks(series.with_month(prices))
-    rows = panel.group_commodities(rows, names.NATIONAL_STAPLES, ignore_case=True)
+    rows = panel.only_groups(rows, names.NATIONAL_STAPLES, ignore_case=True)
     return panel.median_by(rows, PANEL_KEYS, "usdprice")
 
 
@@ -48,7 +48,8 @@ def area_index(grid: DataFrame, layers: DataFrame, out: dict[int, str], keys: Se
 
     Cells get their areas before the scales multiply the rows.
     """
-    enriched = spatial.enrich_locations(grid, layers, out)
+    # The locations and the rows that get them read the grid; what it is made from is read once.
+    enriched = spatial.enrich_locations(kept(grid, "grid"), layers, out)
     return panel.mean_by_month(index.spi(enriched, scales), [*keys, "scale"], "spi", "spi")
 
 
@@ -134,7 +135,7 @@ def admin2_prices(prices: DataFrame, truncate_first: bool = False) -> DataFrame:
     several rows; ``truncate_first`` averages per month instead.
     """
     rows = panel.positive_weight(panel.price_per_kg(prices, "kg_or_litre"))
-    rows = panel.group_commodities(panel.only_commodities(rows, names.STAPLES_AND_TEFF), names.STAPLES_AND_TEFF)
+    rows = panel.only_groups(panel.only_commodities(rows, names.STAPLES_AND_TEFF), names.STAPLES_AND_TEFF)
     rows = rows.withColumnRenamed("countryiso3", "country_iso")
     if truncate_first:
         rows = rows.withColumn("date", month_start(F.col("date")))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import cells, dates, names, numeric, tails
+from granary.functions.numeric import nan_to_null
 from granary.operators import (
     clusters, correlation, forecast, grids, index, lookup, panel, quantiles, regression, series, spatial, stationarity, summary, trees,
 )
@@ -334,6 +335,28 @@ def test_quantiles_read_their_input_once(spark, tmp_path):
     assert text.count("FileScan parquet") == 1, text
 
 
+def test_quantiles_of_a_computed_value_with_gaps_read_their_input_once(spark, tmp_path):
+    # Group 0 has few values and is ranked, the others are selected in rounds.
+    spark.range(5000).selectExpr("id % 7 AS k", "if(id % 5 = 0, NULL, if(id % 7 = 0, id % 9, id) / 3) AS x", "id % 4 AS d").write.parquet(str(tmp_path / "t"))
+    rows = nan_to_null(spark.read.parquet(str(tmp_path / "t")).selectExpr("k", "CASE WHEN d = 3 THEN NULL ELSE x / 2 END AS x"))
+    out = quantiles.exact_quantiles(panel.with_keys(rows, ["k"]), ["k"], "x", {"m": 0.5}, 100)
+    assert column(out, "m", "k") == pytest.approx(column(rows.groupBy("k").agg(F.median("x").alias("m")), "m", "k"))
+    out.collect()
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("FileScan parquet") == 1, text
+
+
+def test_a_key_of_families_tests_the_name_and_not_each_target(spark):
+    df = spark.createDataFrame([("Rice and Maize", 1.0), ("maize", 2.0), (None, 3.0), ("Milk", None)], "commodity string, x double")
+    df = df.withColumn("commodity", F.when(F.col("x") > 100, "much").otherwise(F.col("commodity")))
+    rows = panel.with_keys(panel.only_groups(df, names.STAPLES, True), ["commodity_group"])
+    assert sorted(r["commodity_group"] for r in rows.collect()) == ["Maize", "Maize", "Milk"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Filter" in line]
+    assert tests and not any("Contains" in line or "lower" in line for line in tests), plan
+    assert "lambda" not in plan
+
+
 # --- index ------------------------------------------------------------------------------
 
 def rain(spark, n_years=40, n_cells=2, dry=0.0):
