@@ -10,8 +10,9 @@ windows always meet in one shard. Consecutive windows with one minimizer travel
 2. The segments of shared minimizers are cut out in a second pass, one copy per class, and equal
    segments are grouped before they are shuffled any further, so that copied passages arrive
    once. Where a minimizer has more than ``CROWD`` different segments, as at the ends of a passage that many
-   documents share, these are halved by the windows' distance to the minimizer, equal halves
-   are grouped, and so on while a half still has too many forms, down to single windows. What is
+   documents share, these are dealt again by the minimizers of longer grams: a gram that reaches into a
+   document's own words leaves the crowd, so few windows are dealt again and again. Equal parts
+   are grouped, and so on while a minimizer still has too many forms, down to single windows. What is
    found of the parts is put together again, so a document has one row a segment throughout.
 3. Each shard builds an FM-index of its segments: the suffix array of the concatenation, sorted
    as far as ``WINDOW`` words, the Burrows-Wheeler transform as a wavelet matrix of bit vectors
@@ -45,9 +46,10 @@ from granary.llm.shingles import finished, rolling_hashes, word_hashes
 
 WINDOW = 50
 GRAM = 20
-#: Different pieces of one shard's key above which they are halved, and how often, to tell all distances apart.
+#: Different pieces of one shard's key above which they are taken apart.
 CROWD = 200
-LEVELS = (WINDOW - GRAM).bit_length()
+#: Words of the grams whose minimizers part them, one length after the other, up to the window itself.
+GRAMS = (GRAM, 32, 41, 46, WINDOW)
 #: Words of segments that one index holds, about.
 SHARD_WORDS = 400_000
 BLOCK = 8
@@ -299,40 +301,32 @@ def piece_name(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
-def distances(words: np.ndarray, key: int) -> np.ndarray:
-    """For each window of a segment, the words from its start to the next gram that is its minimizer.
-
-    This depends on the window alone, so equal windows of different segments agree.
-    """
-    at = np.flatnonzero(rolling_hashes(words, GRAM).view(np.int64) == key)
-    starts = np.arange(len(words) - WINDOW + 1)
-    return at[np.searchsorted(at, starts)] - starts
-
-
 def _parts(level: int):
-    """(seg, words, rep, key) -> the runs of windows whose distance agrees in its first ``level`` bits:
-    (parent, place, seg, words, rep, key, shard). At the last level every window is a run."""
+    """(seg, words, rep) -> the runs of windows with one minimizer of ``GRAMS[level]`` words:
+    (parent, place, seg, words, rep, shard). At the last level every window is a run."""
+    gram = GRAMS[level]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("parent", "place", "seg", "words", "rep", "key", "shard")}
-            for parent, words, rep, key in zip(*(c.to_pylist() for c in batch.columns)):
+            out: dict[str, list] = {k: [] for k in ("parent", "place", "seg", "words", "rep", "shard")}
+            for parent, words, rep in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = np.frombuffer(words, np.uint64)
-                half = distances(hashes, key) >> (LEVELS - level)
-                cuts = np.arange(1, len(half)) if level == LEVELS else np.flatnonzero(np.diff(half)) + 1
-                for place, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(half)])):
+                keys = minimizers(hashes, WINDOW, gram)
+                begin, end = (np.arange(len(keys)), np.arange(1, len(keys) + 1)) if gram == WINDOW else segments_of(keys)
+                # The hash of a gram does not tell its length.
+                shards = finished(keys + np.uint64(gram)).view(np.int64)
+                for place, (a, b) in enumerate(zip(begin, end)):
                     own = hashes[a:b + WINDOW - 1].tobytes()
-                    shard = finished(np.array([key], np.int64).view(np.uint64) + np.uint64(level * WINDOW + int(half[a]) + 1)).view(np.int64)[0]
-                    for k, v in zip(out, (parent, place, piece_name(own), own, rep, key, int(shard))):
+                    for k, v in zip(out, (parent, place, piece_name(own), own, rep, int(shards[a]))):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("parent", pa.binary()), ("place", pa.int32()), ("seg", pa.binary()), ("words", pa.binary()),
-                                                                    ("rep", pa.int64()), ("key", pa.int64()), ("shard", pa.int64())]))
+                                                                    ("rep", pa.int64()), ("shard", pa.int64())]))
 
     return run
 
 
 def _found(pieces: DataFrame, level: int = 0) -> DataFrame:
-    """(seg, docs) for different pieces (seg, words, rep, key, shard): the smallest document of each window.
+    """(seg, docs) for different pieces (seg, words, rep, shard): the smallest document of each window.
 
     Shards of up to ``CROWD`` pieces are indexed; the pieces of others are taken apart first.
     """
@@ -344,12 +338,12 @@ def _found(pieces: DataFrame, level: int = 0) -> DataFrame:
     dealt = few.select("shard", "seg", "words", "rep").repartition("shard").sortWithinPartitions("shard", "seg")
     found = dealt.mapInArrow(_search, "seg binary, docs array<bigint>")
     if not crowded.isEmpty():
-        many = pieces.join(crowded, "shard", "left_semi").select("seg", "words", "rep", "key")
-        if level == LEVELS:  # single windows: the smallest document of all equal ones is known
+        many = pieces.join(crowded, "shard", "left_semi").select("seg", "words", "rep")
+        if level == len(GRAMS) - 1:  # single windows: the smallest document of all equal ones is known
             found = found.unionByName(many.select("seg", F.array("rep").alias("docs")))
         else:
-            parts = written(many.mapInArrow(_parts(level + 1), "parent binary, place int, seg binary, words binary, rep bigint, key bigint, shard bigint"), "dedup-parts")
-            different = written(parts.groupBy("seg").agg(F.min("rep").alias("rep"), *[F.first(c).alias(c) for c in ("words", "key", "shard")]), "dedup-different")
+            parts = written(many.mapInArrow(_parts(level + 1), "parent binary, place int, seg binary, words binary, rep bigint, shard bigint"), "dedup-parts")
+            different = written(parts.groupBy("seg").agg(F.min("rep").alias("rep"), *[F.first(c).alias(c) for c in ("words", "shard")]), "dedup-different")
             whole = parts.select("parent", "place", "seg").join(_found(different, level + 1), "seg").groupBy("parent").agg(
                 F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "docs"))), lambda p: p["docs"])).alias("docs"))
             found = found.unionByName(whole.select(F.col("parent").alias("seg"), "docs"))
@@ -440,8 +434,8 @@ def report(docs: DataFrame) -> DataFrame:
     chosen = shared.withColumn("id", F.col("rep"))
     own = _with_digest(docs).join(chosen, ["id", "node"]).select("text", "rep", "node", "shared")
     segments = written(_cut(own), "dedup-segments")
-    different = segments.groupBy("seg").agg(F.min("rep").alias("rep"), F.first("words").alias("words"), F.first("key").alias("key"))
-    found = _found(written(different.withColumn("shard", F.col("key")), "dedup-different"))
+    different = segments.groupBy("seg").agg(F.min("rep").alias("rep"), F.first("words").alias("words"), F.first("key").alias("shard"))
+    found = _found(written(different, "dedup-different"))
     # Only segments with a window of an earlier document matter to a class.
     hits = segments.select("node", "rep", "first", "seg").join(found, "seg").where(F.array_min("docs") < F.col("rep"))
     spans = hits.select("node", "rep", "first", "docs").mapInArrow(_intervals, "node binary, first bigint, count bigint")

@@ -70,6 +70,27 @@ def test_texts_under_one_id_do_not_meet(spark):
     assert len(got) == 3002 and {r.n_removed for r in got if r.doc_id is None} == {0} and {r.n_removed for r in got if r.doc_id == 1} == {70}
 
 
+def test_crowded_segments_are_not_cut_into_all_their_windows(spark, monkeypatch):
+    """Texts of their own around one passage: windows that reach into them leave the crowd at once."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    of = lambda i: " ".join([*(f"a{i}x{k}" for k in range(60)), passage, *(f"b{i}x{k}" for k in range(60))])
+    texts = {i: of(i) for i in range(200)}
+    parts, write = [], substring_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "dedup-parts":
+            parts.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "CROWD", 20)
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r[0]: tuple(r[1:4]) for r in substring_dedup.report(docs).collect()}
+    assert got == dedup_by_hand(texts)
+    assert parts and sum(parts) < 40 * len(texts), parts
+
+
 def test_matching_statistics_of_foreign_queries():
     rng = np.random.default_rng(5)
     indexed = [rng.integers(1, 4, 80).astype(np.uint64) for _ in range(4)]
