@@ -55,6 +55,8 @@ SEEDINGS = 1
 ROUNDS = 2
 LEAF = 32
 FAN = 4
+#: Smallest open blocks of a class that travel with it in the last turn, so that a pair is given by one block.
+FIRST_BLOCKS = 32
 #: Hash classes of the prefilter on ids; its table never has more rows.
 FILTER_CLASSES = 1 << 20
 
@@ -362,6 +364,36 @@ def candidate_pairs(bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> I
                 yield i[ok], j[ok], (most / np.maximum(total - most, 1))[ok]
 
 
+def sharper(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sigs: list[np.ndarray], sizes: np.ndarray,
+            width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs that bitmaps as wide as the two of them allow do not rule out either.
+
+    A block is searched at the width of its smallest text, at which long texts are all bits.
+    """
+    widths = np.array([len(s) for s in sigs])
+    for i, j, key in found:
+        keep, own = np.ones(len(i), bool), np.minimum(widths[i], widths[j])
+        for w in np.unique(own[own > width]):
+            at = np.flatnonzero(own == w)
+            rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            bits = np.stack([_fold(sigs[r], w) for r in rows])
+            differ = np.bitwise_count(bits[place[:len(at)]] ^ bits[place[len(at):]]).sum(axis=1, dtype=np.int64)
+            total = sizes[i[at]] + sizes[j[at]]
+            most = np.minimum((total - differ) // 2, np.minimum(sizes[i[at]], sizes[j[at]]))
+            keep[at] = 100 * most >= PERCENT * (total - most)
+        if keep.any():
+            yield i[keep], j[keep], key[keep]
+
+
+def given_first(found: Iterator[tuple[np.ndarray, ...]], firsts: list[np.ndarray], token: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that no smaller block known of both holds: the smallest block they share always gives them."""
+    smaller = [set(f[f < token].tolist()) for f in firsts]
+    for i, j, *_ in found:
+        keep = np.array([smaller[x].isdisjoint(smaller[y]) for x, y in zip(i, j)], bool)
+        if keep.any():
+            yield i[keep], j[keep]
+
+
 def one_partner(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], comps: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of all candidate pairs one for each component: the most similar one, in later turns one drawn by a hash."""
     best, left, right = np.full(int(comps.max()) + 1, -1.0), *np.zeros((2, int(comps.max()) + 1), np.int64)
@@ -396,10 +428,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def block_candidates(turn: int | None):
-    """(token, node, n, comp, brief) sorted by token and size -> candidate pairs (token, a, b).
+    """(token, node, n, comp, brief, firsts) sorted by token and size -> candidate pairs (token, a, b).
 
-    In a turn each component of a block gives one pair; without one (None) all pairs are given. A
-    block that gives none has no plausible pair and is done with.
+    In a turn each component of a block gives one pair; a block that gives none has no plausible
+    pair and is done with. Without a turn (None) all pairs are given, each by the smallest of the
+    blocks that its classes share as far as ``firsts``, their smallest blocks, tell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,12 +444,14 @@ def block_candidates(turn: int | None):
                 continue
             comps = np.array([numbers[c] for c in comp_names])
             sizes = block.column("n").to_numpy()
-            sigs = block.column("brief").to_pylist()
-            width = min(map(len, sigs)) // 8
-            bits = np.stack([_fold(np.frombuffer(s, np.uint64), width) for s in sigs])
+            sigs = [np.frombuffer(s, np.uint64) for s in block.column("brief").to_pylist()]
+            width = min(map(len, sigs))
+            bits = np.stack([_fold(s, width) for s in sigs])
             token = block.column("token")[0].as_py()
-            found = candidate_pairs(bits, sizes, comps)
-            for i, j, *_ in found if turn is None else one_partner(found, comps, turn):
+            found = sharper(candidate_pairs(bits, sizes, comps), sigs, sizes, width)
+            if turn is None:
+                firsts = [np.array(f, np.int64) for f in block.column("firsts").to_pylist()]
+            for i, j in given_first(found, firsts, token) if turn is None else one_partner(found, comps, turn):
                 yield pa.RecordBatch.from_arrays([pa.array([token] * len(i), pa.int64()), pa.array([nodes[k] for k in i], pa.binary()),
                                                   pa.array([nodes[k] for k in j], pa.binary())], names=["token", "a", "b"])
 
@@ -469,6 +504,10 @@ def joined(docs: DataFrame) -> DataFrame:
     blocks = scratch.written(open_blocks(postings.join(labels, "node")), "join-mixed").drop("comp")
     for turn in [*range(ROUNDS), None]:
         rows_of = blocks.join(labels, "node").join(attributes.select("node", "n", "brief"), "node").select("token", "node", "n", "comp", "brief")
+        if turn is None:
+            # A class has at most its head of open blocks.
+            firsts = blocks.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST_BLOCKS).alias("firsts"))
+            rows_of = rows_of.join(firsts, "node").select(*rows_of.columns, "firsts")
         rows_of = rows_of.repartition("token").sortWithinPartitions("token", "n", "node")
         given = scratch.written(rows_of.mapInArrow(block_candidates(turn), "token bigint, a binary, b binary").distinct(), "join-candidates")
         if given.isEmpty():

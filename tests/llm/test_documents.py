@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from granary.llm import common, fingerprints, licenses, mixing, ngram_join, quality, queries, substring_dedup, toxicity, warc
@@ -153,6 +154,35 @@ def test_ngram_join(spark, docs, texts):
     assert got == join_by_hand(dict(chain)) and len({c for _, c in got.values()}) == 1
 
 
+def block_rows(tokens, texts):
+    """Sorted rows of the last turn: every text in every block, each a component of its own."""
+    sets = {bytes([k]) * 16: ngram_join.shingle_set(t) for k, t in enumerate(texts)}
+    rows = sorted((t, len(s), node) for t in tokens for node, s in sets.items())
+    return pa.RecordBatch.from_pydict({
+        "token": pa.array([t for t, *_ in rows], pa.int64()), "node": pa.array([x for *_, x in rows], pa.binary()),
+        "n": pa.array([n for _, n, _ in rows], pa.int64()), "comp": pa.array([x for *_, x in rows], pa.binary()),
+        "brief": pa.array([ngram_join.brief(sets[x]) for *_, x in rows], pa.binary()),
+        "firsts": pa.array([sorted(tokens)] * len(rows), pa.list_(pa.int64()))})
+
+
+def test_a_pair_is_given_by_one_block():
+    """Texts that share many blocks met once in each of them."""
+    base = [f"w{i}" for i in range(300)]
+    rows = block_rows(range(-5, 25), [" ".join(base), " ".join(base[:-3]), " ".join(base[2:])])
+    got = [r for b in ngram_join.block_candidates(None)(iter([rows])) for r in b.to_pylist()]
+    assert len(got) == 3 and {r["token"] for r in got} == {-5}
+    # Blocks beyond those that travel with a class give their pairs again; none is lost.
+    cut = rows.set_column(5, "firsts", pa.array([[7]] * len(rows), pa.list_(pa.int64())))
+    got = [r for b in ngram_join.block_candidates(None)(iter([cut])) for r in b.to_pylist()]
+    assert {r["token"] for r in got} == set(range(-5, 8)) and len({(r["a"], r["b"]) for r in got}) == 3
+
+
+def test_long_texts_are_told_apart_beside_a_short_one():
+    """The block's smallest text sets the width of the search, at which long texts are all bits."""
+    texts = ["a b c d e", *(" ".join(f"{k}x{i}" for i in range(7000)) for k in "pq")]
+    assert not list(ngram_join.block_candidates(None)(iter([block_rows([1], texts)])))
+
+
 def test_one_per_group_keeps_one_row_a_component(spark):
     base = [f"w{i}" for i in range(100)]
     near = " ".join([*base[:-1], "other"])
