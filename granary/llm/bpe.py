@@ -16,8 +16,9 @@ its halves by encoding a window around the boundary again:
 
 The encoding of a text is thus the fold of an associative join and does not depend on where the
 tree is cut; tests cut it at random. Decoding concatenates bytes up the same tree. Rows are
-encoded where they lie, an Arrow batch at a time. Words repeat, so each worker keeps the ids of
-pieces it has met in a table of bounded size.
+encoded where they lie, some rows at a time. Words repeat, so each worker keeps the ids of
+pieces it has met in a table of bounded size; ``encoded`` empties it after each task, as the
+worker may go on to other steps of a job.
 
 Defined results: null is the empty text, which has no ids. Rows are encoded one by one; other
 columns pass through or are ignored. The vocabulary file's path is a parameter.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.common import text_of
+from granary.llm.common import in_parts, text_of
 
 #: Characters of a leaf; pieces up to this many bytes are merged directly.
 LEAF = 4096
@@ -191,10 +192,11 @@ def encoded(docs: DataFrame, keep: list[str], vocabulary: tuple[str, str] | None
     source = docs.select(*keep, text_of().alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path, pattern).encode
-        for batch in batches:
-            ids = pa.array([encode(t) for t in batch.column(len(keep)).to_pylist()], pa.list_(pa.int32()))
+        own = codec(path, pattern)
+        for batch in in_parts(batches):
+            ids = pa.array([own.encode(t) for t in batch.column(len(keep)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], ids], names=[*keep, "__ids"])
+        own.kept.clear()  # the worker stays, and its next task may be of another step
 
     return source.mapInArrow(run, schema)
 
@@ -207,7 +209,7 @@ def decoded(rows: DataFrame, keep: list[str], vocabulary: tuple[str, str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = codec(path, pattern).decode
-        for batch in batches:
+        for batch in in_parts(batches):
             data = pa.array([decode(i or []) for i in batch.column(len(keep)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], data], names=[*keep, "__bytes"])
 
@@ -225,7 +227,7 @@ def report(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         digest = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
+        for batch in in_parts(batches):
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text)

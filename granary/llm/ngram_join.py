@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.llm.common import Scratch, text_of, written
+from granary.llm.common import Scratch, in_parts, text_of, written
 from granary.llm.shingles import finished, multiplier, window_hashes, word_hashes
 
 WIDTH = 4
@@ -106,6 +106,17 @@ def brief(own: np.ndarray) -> bytes:
     return bitmap(own, 1, 1024, 8192)
 
 
+def repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values met twice or more, ascending, and how often. Sorts in place: no copy as long as the input is made."""
+    values.sort()
+    same = values[1:] == values[:-1]
+    first, last = same.copy(), same.copy()
+    first[1:] &= ~same[:-1]
+    last[:-1] &= ~same[1:]
+    at = np.flatnonzero(first)
+    return values[at], np.flatnonzero(last) - at + 2
+
+
 # Passes over the texts.
 
 def classes_and_frequencies(docs: DataFrame) -> DataFrame:
@@ -115,14 +126,15 @@ def classes_and_frequencies(docs: DataFrame) -> DataFrame:
         kept, size = [], 0
 
         def tokens():
-            values, counts = np.unique(np.concatenate(kept), return_counts=True)
-            values, counts = values[counts > 1], counts[counts > 1]
+            values = np.concatenate(kept)
+            kept.clear()
+            values, counts = repeated(values)
             none = pa.nulls(len(values), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [none, none, pa.nulls(len(values), pa.binary()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
                 names=["doc_id", "n", "node", "token", "count"])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             sizes, nodes = [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text)
@@ -132,7 +144,7 @@ def classes_and_frequencies(docs: DataFrame) -> DataFrame:
                 size += len(own)
                 if size >= COUNTED:
                     yield tokens()
-                    kept, size = [], 0
+                    size = 0
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), none, none],
                                              names=["doc_id", "n", "node", "token", "count"])
@@ -165,7 +177,7 @@ def heads(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        for batch in batches:
+        for batch in in_parts(batches):
             nodes, sizes, firsts, sigs, briefs = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text)
@@ -204,7 +216,7 @@ def sets_of(docs: DataFrame, members: DataFrame, nodes: DataFrame, scratch: Scra
     ids = reps.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), pa.array((s.tobytes() for s in sets), pa.binary())], names=["node", "own"])
 
@@ -221,7 +233,7 @@ def plausible(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = []
             for m, n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -240,7 +252,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.common import text_of
+from granary.llm.common import in_parts, text_of
 
 #: The base patterns.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -338,7 +338,7 @@ def report(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
             for text in batch.column(1).to_pylist():
                 base, every = scan(text)
@@ -373,7 +373,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return "".join([*out, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)

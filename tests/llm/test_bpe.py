@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -64,3 +65,15 @@ def test_edge_rows_and_round_trip(spark):
     back = bpe.decoded(bpe.encoded(docs, ["doc_id"]), ["doc_id"]).collect()
     assert sorted(bytes(r["__bytes"]) for r in back) == sorted((t or "").encode() for _, t, _ in rows)
     assert bpe.report(docs.limit(0)).count() == 0
+
+
+def test_a_task_leaves_no_pieces_in_its_worker(spark):
+    docs = spark.createDataFrame([(i, f"unheardof{i} words{i}") for i in range(40)], "doc_id long, text string")
+
+    def left(batches):
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"n": [rows], "kept": [len(bpe.codec(*bpe.default_vocabulary()).kept)]})
+
+    # Both steps run in one worker each: the second finds the table that the first has left.
+    assert bpe.encoded(docs.coalesce(1), ["doc_id"]).count() == 40
+    assert {r["kept"] for r in spark.range(8).repartition(8).mapInArrow(left, "n long, kept long").collect()} == {0}

@@ -320,6 +320,20 @@ def test_toxicity_pair_below_the_discount_in_one_class_is_not_absent(spark):
     assert len(model.pairs.keys) == 1 and abs(model.pairs.values[0, 0]) < 1.0
 
 
+def test_workers_hold_few_rows_at_a_time():
+    batches = [pa.RecordBatch.from_pydict({"a": list(range(lo, hi))}) for lo, hi in ((0, 1300), (1300, 1300), (1300, 1301))]
+    parts = list(common.in_parts(iter(batches)))
+    assert [p.num_rows for p in parts] == [512, 512, 276, 1]
+    assert [a for p in parts for a in p.column(0).to_pylist()] == list(range(1301))
+
+
+@pytest.mark.parametrize("values", [[], [7], [7, 7], [3, 1, 3, 2, 3, 1], [0, 2**64 - 1, 2**64 - 1]])
+def test_repeated_values_are_those_met_twice(values):
+    once, counts = np.unique(np.array(values, np.uint64), return_counts=True)
+    got = ngram_join.repeated(np.array(values, np.uint64))
+    assert got[0].tolist() == once[counts > 1].tolist() and got[1].tolist() == counts[counts > 1].tolist()
+
+
 @pytest.mark.parametrize("report", [quality.report, licenses.report, mixing.report, fingerprints.report, ngram_join.joined, substring_dedup.report])
 def test_edge_rows(edge, report):
     rows = report(edge).collect()
