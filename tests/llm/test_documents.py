@@ -320,6 +320,68 @@ def test_toxicity_pair_below_the_discount_in_one_class_is_not_absent(spark):
     assert len(model.pairs.keys) == 1 and abs(model.pairs.values[0, 0]) < 1.0
 
 
+def test_toxicity_rare_pairs_and_small_differences_give_evidence(spark):
+    """No pair has to be seen a number of times, and no difference of the classes has to be of a size."""
+    words = spark.createDataFrame([(5, 40, 20, 20, 20, 20), (6, 900, 440, 460, 440, 460)], "word long, n long, c0 long, c1 long, b0 long, b1 long")
+    pair = "array<struct<word:long,c0:long,c1:long,b0:long,b1:long>>"
+    rows = [(9, 8, 8, 2, 2, [(5, 0, 2, 0, 2), (6, 8, 6, 8, 6)])]
+    contexts = spark.createDataFrame(rows, f"before long, nb0 long, nb1 long, fb0 long, fb1 long, pairs {pair}")
+    model = toxicity.evident(words, contexts, toxicity.totals(words), "b", [0], 2.0)
+    pairs = dict(zip(model.pairs.keys.tolist(), model.pairs.values[:, 0]))
+    of = lambda w: pairs[int(toxicity.joint(np.array([9], np.uint64), np.array([w], np.uint64))[0])]
+    assert of(5) > 0.1 and of(6) < 0
+    assert len(model.words.keys) == 2 and (model.words.values != 0).all() and np.abs(model.words.values).max() < 0.1
+    # The more a difference is doubted, the less it counts, but never nothing.
+    doubted = toxicity.evident(words, contexts, toxicity.totals(words), "b", [0], 2.0, 9.0).pairs.values
+    assert (np.abs(doubted[:, 1]) < np.abs(doubted[:, 0])).all() and (doubted[:, 1] != 0).all()
+
+
+def test_toxicity_contexts_hold_all_pairs(spark, monkeypatch):
+    """Every pair of the labelled rows, in texts; a busy context has several rows with the sums of the whole."""
+    monkeypatch.setattr(toxicity, "BUSY", 8)
+    texts = [f"a w{i % 5} a w{i % 5} b{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = toxicity.training_marks(spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    words = toxicity.counted_words(docs, marks).select("word", "texts.*")
+    rows = toxicity.counted_contexts(docs, marks, words, toxicity.totals(words), common.Scratch(spark)).collect()
+    got = {(r["before"], p["word"]): (p["b0"], p["b1"]) for r in rows for p in r["pairs"]}
+    want = {}
+    for i in (i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1):
+        h = toxicity.hashes_of(texts[i])
+        for key in set(zip([1, *h[:-1].view(np.int64).tolist()], h.view(np.int64).tolist())):
+            want.setdefault(key, [0, 0])[i % 2] += 1
+    assert got == {k: tuple(v) for k, v in want.items()} and sum(len(r["pairs"]) for r in rows) == len(want)
+    a = int(toxicity.hashes_of("a").view(np.int64)[0])
+    assert len([r for r in rows if r["before"] == a]) > 1
+    for r in rows:
+        own = [v for (before, _), v in got.items() if before == r["before"]]
+        assert [r["nb0"], r["nb1"], r["fb0"], r["fb1"]] == [sum(v[0] for v in own), sum(v[1] for v in own), sum(v[0] > 0 for v in own), sum(v[1] > 0 for v in own)]
+
+
+def test_toxicity_scores_alike_however_terms_reach_the_texts(spark, monkeypatch):
+    """The driver and the tasks hold ``HOT`` terms at most; the joined ones add the same."""
+    rows = [(i, f"ordinary word{i % 13} text{i % 7} only{i} " + ("vile you" if i % 4 == 0 else "kind")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (3, "vile again"), (None, "vile"), (1000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fitted(docs, labels)
+    gathered, real = [], toxicity._gathered
+    monkeypatch.setattr(toxicity, "_gathered", lambda terms: gathered.append(real(terms)) or gathered[-1])
+    scores = []
+    for hot, passes in ((10**6, 1), (20, 2), (0, 4)):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        monkeypatch.setattr(toxicity, "PASSES", passes)
+        scores.append(sorted(map(str, toxicity.scored(docs, model).collect())))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 303
+    assert len(gathered[0][0]) > 300 and len(gathered[1][0]) <= 20 and len(gathered[2][0]) == 0
+    # Against the sum of the terms of a text, one by one.
+    terms = dict(zip(*(np.concatenate([getattr(t, x).ravel() for t in (model.words, model.pairs)]).tolist() for x in ("keys", "values"))))
+    h = toxicity.hashes_of(rows[4][1])
+    sums = sum(terms.get(k, 0.0) for k in [*h.tolist(), *toxicity.pairs_of(h).tolist()])
+    x = model.scale * (sums - model.middle * len(h)) / np.sqrt(len(h)) + model.shift
+    score = [r["score"] for r in toxicity.scored(docs, model).where("doc_id = 4").collect()]
+    assert score == pytest.approx([1 / (1 + np.exp(-x))], abs=1e-9)
+
+
 def test_workers_hold_few_rows_at_a_time():
     batches = [pa.RecordBatch.from_pydict({"a": list(range(lo, hi))}) for lo, hi in ((0, 1300), (1300, 1300), (1300, 1301))]
     parts = list(common.in_parts(iter(batches)))
